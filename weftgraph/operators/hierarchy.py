@@ -26,17 +26,18 @@ def tree_links(edges: DataFrame, parent: str, child: str) -> DataFrame:
     )
 
 
-def _double(cut: Cut, jumps: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
+def _double(cut: Cut, jumps: DataFrame, with_path: bool) -> DataFrame:
     """Pointer doubling of (id, to, dist, done[, path]) until each row is done, or none gets done any more.
 
     A walk of length d passes walks of every smaller length, so the first round in which the number of open rows
     stays as it is proves that all open rows lead into a ring. Open rows alone are joined and rewritten; what is
-    done stays in its table. Returns the done rows and the open ones.
+    done stays in its table. A row that leads to an id without a pointer (a splitter whose own walk never ends) falls
+    out. Returns the done rows.
     """
     done = [jumps.where("done")]
     open_ = cut(jumps.where("not done"))
     known = jumps
-    left, made = open_.count(), []
+    left = open_.count()
     for _ in range(MOST_ROUNDS):
         if not left:
             break
@@ -52,7 +53,6 @@ def _double(cut: Cut, jumps: DataFrame, with_path: bool) -> tuple[DataFrame, Dat
             *([F.concat("path", "path2").alias("path")] if with_path else []),
         )
         step = cut(step)
-        made.append(step)
         done.append(step.where("done"))
         before, open_ = left, step.where("not done")
         left = open_.count()
@@ -65,7 +65,7 @@ def _double(cut: Cut, jumps: DataFrame, with_path: bool) -> tuple[DataFrame, Dat
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, open_
+    return out
 
 
 def _rings(cut: Cut, links: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def hierarchy(links: DataFrame, with_path: bool = False, splitter_every: int = S
        the depth of the trees, and doubles its step each round.
     3. The splitters' own walks are a graph of pointers, smaller by that factor; it is solved by doubling.
     4. A node's answer is its walk followed by the answer of the splitter that the walk ends at.
-    5. Nodes whose walks never end (rings without a splitter) and those whose splitters never reach a root are
-       solved apart: depth -1, root = smallest id of the ring, state ``ring`` or ``below_ring``, path null.
+    5. Nodes without an answer (their walks never end, on rings without a splitter, or their splitters never reach
+       a root) are solved apart: depth -1, root = smallest id of the ring, state ``ring`` or ``below_ring``, path null.
 
     Each round is one shuffled join of open rows with pointers, all keyed by id: a parent of a third of all nodes
     is only ever the *looked-up* side, whose key is unique, and AQE splits the skewed side. Lineage is cut each
@@ -132,14 +132,14 @@ def hierarchy(links: DataFrame, with_path: bool = False, splitter_every: int = S
             *([F.array("parent").alias("path")] if with_path else []),
         )
     )
-    walked, lost = _double(cut, cut(first), with_path)
+    walked = _double(cut, cut(first), with_path)
     walked = cut(walked.drop("done"))
     mine = F.pmod(F.xxhash64("id"), F.lit(splitter_every)) == 0
     reduced = cut(
         walked.where(mine).join(is_root.withColumnRenamed("id", "to"), "to", "left")
         .select("id", "to", "dist", F.coalesce("_root", F.lit(False)).alias("done"), *(["path"] if with_path else []))
     )
-    solved, looping = _double(cut, reduced, with_path)
+    solved = _double(cut, reduced, with_path)
     solved = cut(solved.drop("done"))
     answers = solved.select(F.col("id").alias("to"), F.col("to").alias("root"), F.col("dist").alias("dist2"), *([F.col("path").alias("path2")] if with_path else []))
     if with_path:
@@ -147,12 +147,10 @@ def hierarchy(links: DataFrame, with_path: bool = False, splitter_every: int = S
     else:
         answers = answers.unionByName(roots.select(F.col("id").alias("to"), F.col("id").alias("root"), F.lit(0).cast("long").alias("dist2")))
     full = [F.reverse(F.concat(F.array("id"), "path", "path2")).alias("path")] if with_path else []
-    trees = walked.join(answers, "to").select("id", "root", (F.col("dist") + F.col("dist2")).alias("depth"), F.lit("tree").alias("state"), *full)
+    trees = cut(walked.join(answers, "to").select("id", "root", (F.col("dist") + F.col("dist2")).alias("depth"), F.lit("tree").alias("state"), *full))
     own = [F.array("id").alias("path")] if with_path else []
     out = roots.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit("tree").alias("state"), *own).unionByName(trees)
-    ends = looping.select(F.col("id").alias("to"))
-    hanging = lost.select("id").unionByName(walked.join(ends, "to", "left_semi").select("id"))
-    hanging = cut(hanging)
+    hanging = cut(kids.join(trees.select("id"), "id", "left_anti"))
     if not hanging.isEmpty():
         solved_rings = cut(_rings(cut, links.join(hanging, "id", "left_semi")))
         none = [F.lit(None).cast("array<string>").alias("path")] if with_path else []
