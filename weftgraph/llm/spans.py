@@ -240,11 +240,10 @@ def shared_coverage(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> Data
     inner = cut(long_.join(_repeated(long_, "long_key"), "long_key", "left_semi").select("doc_id", "pos", F.col("long_len").alias("len")))
     shared = cut(edges.join(_repeated(edges, "key"), "key", "left_semi").select("doc_id", "pos", "key"))
     rim = shared.join(inner.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
-    # before the first repeated long edge, and after an edge whose long run is not repeated, stretches are compared
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    first = (
-        inner.withColumn("_p", F.lag("pos").over(by_doc)).where(F.col("_p").isNull() | (F.col("pos") - F.col("_p") > w)).select("doc_id", "pos")
-    )
+    # a stretch that begins before a run of repeated long edges may have any edge of the run's first w characters as its first
+    runs = inner.select("doc_id", "pos", F.lag("pos").over(by_doc).alias("_p")).withColumn("_s", F.when(F.col("_p").isNull() | (F.col("pos") - F.col("_p") > w), F.col("pos")))
+    first = runs.withColumn("_s", F.last("_s", ignorenulls=True).over(by_doc)).where(F.col("pos") - F.col("_s") < w).select("doc_id", "pos")
     # whoever else holds such an edge is compared there as well, though it may lie inside a longer stretch of theirs
     ends = rim.select("key").unionByName(shared.join(first, ["doc_id", "pos"], "left_semi").select("key")).distinct()
     places = shared.join(ends, "key", "left_semi").select("doc_id", F.col("pos").alias("from_"), F.col("pos").alias("to_"))
