@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import spans
+from pyspark.sql import functions as F
+
+from weftgraph.llm import leaks, spans
 from weftgraph.session import table
 
 
+#: An alignment counts as an edited copy from this share of a perfect copy's score.
+IDENTITY = 0.5
+
+
+def _leaks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.leaks(docs, table(spark, sf_dir, "eval_items").select("item_id", "text"))
+
+
+def p6_found(spark, sf_dir):
+    return _leaks(spark, sf_dir).where(F.col("run") >= leaks.RUN).select("item_id", "doc_id")
+
+
+def p6_alignments(spark, sf_dir):
+    """Copies and edited copies with their scores."""
+    found = _leaks(spark, sf_dir).where((F.col("run") >= leaks.RUN) | (F.col("identity") >= IDENTITY))
+    return found.select("item_id", "doc_id", "run", "score", F.round("identity", 6).alias("identity"))
+
+
+def p6_leaked_items(spark, sf_dir):
+    """For each item that leaked, in how many documents and how much of it at most."""
+    got = p6_alignments(spark, sf_dir)
+    return got.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("run").alias("longest_run"), F.max("identity").alias("best_identity"))
+
+
 def p8_found(spark, sf_dir):
     return spans.shared_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -18,6 +45,6 @@ def p8_unitigs(spark, sf_dir):
     return spans.unitigs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_coverage, p8_unitigs)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_alignments, p6_leaked_items, p8_found, p8_coverage, p8_unitigs)}
 
 SQL: dict[str, str] = {}
