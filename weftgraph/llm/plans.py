@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm import leaks, spans
+from weftgraph.llm import leaks, mixing, spans
 from weftgraph.session import table
 
 
@@ -33,6 +33,24 @@ def p6_leaked_items(spark, sf_dir):
     return got.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("run").alias("longest_run"), F.max("identity").alias("best_identity"))
 
 
+def _mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.Mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark, sf_dir):
+    return _mix(spark, sf_dir).report().where(~F.col("reachable")).select("source")
+
+
+def p7_shares(spark, sf_dir):
+    got = _mix(spark, sf_dir).report()
+    return got.withColumn("share", F.round("share", 6)).withColumn("passes", F.round("passes", 6))
+
+
+def p7_selection(spark, sf_dir):
+    return _mix(spark, sf_dir).documents()
+
+
 def p8_found(spark, sf_dir):
     return spans.shared_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,6 +63,6 @@ def p8_unitigs(spark, sf_dir):
     return spans.unitigs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_alignments, p6_leaked_items, p8_found, p8_coverage, p8_unitigs)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
 
 SQL: dict[str, str] = {}
