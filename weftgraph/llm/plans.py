@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm import leaks, mixing, spans
+from weftgraph.llm import credentials, leaks, mixing, spans
 from weftgraph.session import table
 
 
+def _contents(spark, sf_dir):
+    return table(spark, sf_dir, "file_content").select("id", "content")
+
+
+def p3_found(spark, sf_dir):
+    return credentials.credentials(_contents(spark, sf_dir)).select("id", "line").distinct()
+
+
+def p3_credentials(spark, sf_dir):
+    return credentials.credentials(_contents(spark, sf_dir))
+
+
+def p3_redacted(spark, sf_dir):
+    return credentials.redacted(_contents(spark, sf_dir))
+
+
 #: An alignment counts as an edited copy from this share of a perfect copy's score.
 IDENTITY = 0.5
 
@@ -63,6 +79,6 @@ def p8_unitigs(spark, sf_dir):
     return spans.unitigs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_credentials, p3_redacted, p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
 
 SQL: dict[str, str] = {}
