@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm import credentials, leaks, mixing, spans
+from weftgraph.llm import credentials, leaks, mixing, origin, spans
 from weftgraph.session import table
 
 
@@ -12,6 +12,14 @@ def _contents(spark, sf_dir):
     return table(spark, sf_dir, "file_content").select("id", "content")
 
 
+def p1_origins(spark, sf_dir):
+    return origin.origins(table(spark, sf_dir, "files").select("id", "ext", "size", "loc", "last_seen"), _contents(spark, sf_dir))
+
+
+def p1_found(spark, sf_dir):
+    return p1_origins(spark, sf_dir).where(~F.col("kind").isin("hand", "own")).select("id")
+
+
 def p3_found(spark, sf_dir):
     return credentials.credentials(_contents(spark, sf_dir)).select("id", "line").distinct()
 
@@ -79,6 +87,6 @@ def p8_unitigs(spark, sf_dir):
     return spans.unitigs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_credentials, p3_redacted, p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p3_found, p3_credentials, p3_redacted, p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
 
 SQL: dict[str, str] = {}
