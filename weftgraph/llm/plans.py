@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm import credentials, leaks, mixing, origin, spans
+from weftgraph.llm import credentials, leaks, mixing, origin, parsing, spans
 from weftgraph.session import table
 
 
@@ -20,6 +20,26 @@ def p1_found(spark, sf_dir):
     return p1_origins(spark, sf_dir).where(~F.col("kind").isin("hand", "own")).select("id")
 
 
+def p2_files(spark, sf_dir):
+    return parsing.unparsed(_contents(spark, sf_dir))
+
+
+def p2_found(spark, sf_dir):
+    return p2_files(spark, sf_dir).where(~F.col("ok")).select("id").distinct()
+
+
+def p2_rates(spark, sf_dir):
+    """Judged and invalid files of each repository and language, with the repository's main language where it is listed."""
+    listed = table(spark, sf_dir, "corpus_manifest").groupBy(F.col("name").alias("repository")).agg(F.lower(F.min("lang")).alias("main_lang"))
+    return (
+        p2_files(spark, sf_dir)
+        .groupBy(F.substring_index("id", "/", 1).alias("repository"), "lang")
+        .agg(F.count(F.lit(1)).alias("n_files"), F.sum((~F.col("ok")).cast("long")).alias("n_invalid"))
+        .join(F.broadcast(listed), "repository", "left")
+        .select("repository", "lang", "main_lang", "n_files", "n_invalid", F.round(F.col("n_invalid") / F.col("n_files"), 6).alias("rate"))
+    )
+
+
 def p3_found(spark, sf_dir):
     return credentials.credentials(_contents(spark, sf_dir)).select("id", "line").distinct()
 
@@ -87,6 +107,6 @@ def p8_unitigs(spark, sf_dir):
     return spans.unitigs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p3_found, p3_credentials, p3_redacted, p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p2_found, p2_files, p2_rates, p3_found, p3_credentials, p3_redacted, p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
 
 SQL: dict[str, str] = {}
