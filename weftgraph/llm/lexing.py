@@ -105,9 +105,10 @@ for _lang, _extra in (
     ("json", r"(?!)()|(\n)|(\"(?:[^\"\\\x00-\x1f]|\\[\"\\/bfnrt]|\\u[0-9a-fA-F]{4})*\")"),
 ):
     _num = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?" if _lang == "json" else _NUM
-    _TOKEN[_lang] = re.compile(rf"({_SPACE})|{_extra}|({_NAME})|({_num})|({_PUNCT[_lang]})", re.S)
+    _TOKEN[_lang] = re.compile(rf"(?:{_SPACE})?(?:{_extra}|({_NAME})|({_num})|({_PUNCT[_lang]})|(\Z))", re.S)
 _TOKEN["ts"] = _TOKEN["js"]
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_BLANKS = re.compile(rf"(?:{_SPACE})?")
 _CONFLICT = re.compile(r"(?:<{7}|>{7}|={7})(?![<>=])")
 _DIRECTIVE = re.compile(r"\s*#\s*(?:include\s*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)|define\s+[A-Za-z_]\w*|undef\s+[A-Za-z_]\w*|(?:if|elif|ifdef|ifndef)\s*\S|else\b|endif\b|pragma\b|error\b|warning\b|line\b|embed\b|$)")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
@@ -155,45 +156,28 @@ def lex(text: str, lang: str) -> list[tuple[str, str]]:
         raise Bad("fence")
     split = lang in ("js", "ts", "java", "c")
     lined = lang in ("js", "ts", "go", "py", "c")
+    match, put = token.match, out.append
     while pos < n:
-        m = token.match(text, pos)
+        m = match(text, pos)
         if m is None:
-            if js and text[pos] == "`":
-                end = _template(text, pos + 1)
-                prev = "s"
-                out.append(("s", "`"))
-                pos = end
-                continue
+            if js:
+                at = _BLANKS.match(text, pos).end()
+                if text[at : at + 1] == "`":
+                    prev, pos = "s", _template(text, at + 1)
+                    put(("s", "`"))
+                    continue
             raise Bad(repr(text[pos : pos + 10]))
         g, pos = m.lastindex, m.end()
-        if g == 1:
-            continue
-        t = m[0]
-        if g == 2:
-            if t.lstrip()[:1] == "#" and lang == "c" and not _DIRECTIVE.match(t):
-                raise Bad("directive")
-            if js and "\n" in t and prev != "N":
-                prev = "N"
-                out.append(("N", "\n"))
-            continue
-        if g == 3:
-            if lined and prev != "N":
-                prev = "N"
-                out.append(("N", "\n"))
-            continue
-        if g == 7 and t[0] in "<>=" and _CONFLICT.match(text, m.start()) and (m.start() == 0 or text[m.start() - 1] == "\n"):
-            raise Bad("conflict marker")
+        t = m[g]
         if g == 4:
-            c = "s"
-        elif g == 5:
             c = words.get(t, "i")
         elif g == 6:
-            c = "n"
-            if pos < n and (text[pos].isalnum() or text[pos] == "_") and lang != "c":
-                raise Bad("number")
-        else:
+            if t in "<>=" or t[0] in "<>=":
+                start = m.start(g)
+                if _CONFLICT.match(text, start) and (start == 0 or text[start - 1] == "\n"):
+                    raise Bad("conflict marker")
             if js and t in ("/", "/=") and prev not in _ENDS:
-                r = _REGEX.match(text, m.start())
+                r = _REGEX.match(text, m.start(g))
                 if not r:
                     raise Bad("regex")
                 c, pos, t = "s", r.end(), "/"
@@ -201,6 +185,25 @@ def lex(text: str, lang: str) -> list[tuple[str, str]]:
                 c = _CLASS.get(t)
                 if c is None:
                     c = "=" if t[-1] == "=" and t not in ("==", "===", "!=", "!==", "<=", ">=") else "+" if t in sign else "O" if split and t not in "<>" else "o"
+        elif g == 2:
+            if not lined or prev == "N":
+                continue
+            c, t = "N", "\n"
+        elif g == 3:
+            c = "s"
+        elif g == 5:
+            c = "n"
+            if pos < n and (text[pos].isalnum() or text[pos] == "_") and lang != "c":
+                raise Bad("number")
+        elif g == 1:
+            if lang == "c" and t.lstrip()[:1] == "#" and not _DIRECTIVE.match(t):
+                raise Bad("directive")
+            if js and "\n" in t and prev != "N":
+                prev = "N"
+                put(("N", "\n"))
+            continue
+        else:
+            break
         prev = c
-        out.append((c, t))
+        put((c, t))
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import functools
 import json
 import re
 import warnings
@@ -205,47 +206,62 @@ def _annotate(tokens: list[tuple[str, str]], lang: str) -> tuple[str, set[str],
     A closing parenthesis of a header becomes H. Line ends inside parentheses and square brackets say nothing, nor in
     braces of Python and JSON; elsewhere they do.
     """
-    pairs: set[str] = set()
-    kinds: list[str] = []
-    stack: list[tuple[str, bool]] = []
-    ctx, prev, before = "T", "^", ""
-    quiet = False
-    wrong = ""
     objects = lang == "json"
     braces_quiet = lang in ("py", "json")
-    lines_count = lang in ("js", "ts", "go", "py")
-    for c, _ in tokens:
-        if c == "N" and (quiet or not lines_count):
-            continue
-        inside = ctx
+    text = "".join([c for c, _ in tokens])
+    if lang not in ("js", "ts", "go", "py"):
+        text = text.replace("N", "")
+    pairs: set[str] = set()
+    stack: list[tuple[str, bool]] = []
+    ctx, at, prev, quiet, wrong = "T", 0, "^", False, ""
+    out: list[str] = []
+    for m in _BRACKET.finditer(text):
+        p = m.start()
+        c = text[p]
+        seg = text[at:p]
+        at = p + 1
+        if quiet and "N" in seg:
+            seg = seg.replace("N", "")
         if c in ")]}":
+            whole = prev + seg + c
+            pairs |= _segment(ctx, whole)
             if not stack or stack[-1][0] != c:
                 wrong = wrong or "nesting"
-                kinds.append(c)
-                pairs.add(ctx + prev + c)
                 prev = c
+                out.append(whole[1:])
                 continue
-            header = stack.pop()[1]
-            pairs.add(inside + prev + c)
-            if header:
-                c = "H"
+            prev = "H" if stack.pop()[1] else c
             top = stack[-1][0] if stack else ""
-            ctx = ("O" if top == "}" else "A" if top == "]" else "T") if objects else {")": "P", "]": "S", "}": "B"}.get(top, "T")
+            ctx = ("O" if top == "}" else "A" if top == "]" else "T") if objects else _CTX.get(top, "T")
             quiet = lang != "go" and (top in (")", "]") or braces_quiet and top == "}")
+            out.append(seg + prev)
         else:
-            pairs.add(inside + prev + c)
-            if c in "([{":
-                stack.append((_OPEN[c], c == "(" and (prev == "h" or before == "@")))
-                ctx = ("O" if c == "{" else "A") if objects else {"(": "P", "[": "S", "{": "B"}[c]
-                quiet = lang != "go" and (c != "{" or braces_quiet)
-        kinds.append(c)
-        before, prev = prev, c
-    while kinds and kinds[-1] == "N":
-        kinds.pop()
+            whole = prev + seg + c
+            pairs |= _segment(ctx, whole)
+            stack.append((_OPEN[c], c == "(" and (whole[-2] == "h" or whole[-3:-2] == "@")))
+            ctx = ("O" if c == "{" else "A") if objects else {"(": "P", "[": "S", "{": "B"}[c]
+            quiet = lang != "go" and (c != "{" or braces_quiet)
+            prev = c
+            out.append(seg + c)
+    seg = text[at:]
+    if quiet:
+        seg = seg.replace("N", "")
+    pairs |= _segment(ctx, prev + seg)
+    kinds = ("".join(out) + seg).rstrip("N")
     last = kinds[-1] if kinds else "^"
     if kinds:
         pairs.add(ctx + last + "$")
-    return "".join(kinds), pairs, wrong or ("unclosed" if stack else "")
+    return kinds, pairs, wrong or ("unclosed" if stack else "")
+
+
+_BRACKET = re.compile(r"[()\[\]{}]")
+_CTX = {")": "P", "]": "S", "}": "B"}
+
+
+@functools.lru_cache(65536)
+def _segment(ctx: str, classes: str) -> frozenset[str]:
+    """The pairs of a stretch between two brackets; stretches of classes repeat, so they are remembered."""
+    return frozenset(ctx + classes[i : i + 2] for i in range(len(classes) - 1))
 
 
 # Productions that pairs cannot say, as patterns of what must not stand in the class string or the token texts.
@@ -277,6 +293,8 @@ def _statements(tokens: list[tuple[str, str]], kinds: str, lang: str) -> str:
 def _js_statements(tokens: list[tuple[str, str]]) -> str:
     t = [x for x in tokens if x[0] != "N"]
     n = len(t)
+    if not any(c in "dD" for c, _ in t):
+        return ""
     for k, (c, w) in enumerate(t):
         if c not in "dD":
             continue
