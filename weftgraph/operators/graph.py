@@ -119,6 +119,30 @@ def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(seed, id, depth): every other id that each id reaches along edges, by its shortest way.
+
+    Doubling: pairs within 2**k steps, extended by the pairs of exactly 2**k, are the pairs within 2**(k + 1); so a
+    chain of a hundred hops takes seven rounds. Ways of equal ends are reduced to the shortest before the next round.
+    """
+    cut = Cut(edges.sparkSession, "closure")
+    exact = cut(edges.select(F.col("s").alias("seed"), F.col("t").alias("id")).distinct())
+    within = exact.withColumn("depth", F.lit(1).cast("long"))
+    reach, n = 1, -1
+    while True:
+        step = exact.select(F.col("seed").alias("id"), F.col("id").alias("to"))
+        far = within.join(step, "id").select("seed", F.col("to").alias("id"), (F.col("depth") + reach).alias("depth"))
+        within = cut(within.unionByName(far).where(F.col("seed") != F.col("id")).groupBy("seed", "id").agg(F.min("depth").alias("depth")))
+        now = within.count()
+        if now == n:
+            return within
+        n = now
+        exact = cut(exact.join(step, "id").select("seed", F.col("to").alias("id")).distinct())
+        if exact.isEmpty():
+            return within
+        reach *= 2
+
+
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
     """(id, package): the package whose root is the longest prefix of each file's path; null where none is.
 
