@@ -528,10 +528,9 @@ def unparsed(files: DataFrame) -> DataFrame:
         return out
 
     lexed = map_arrow(have, fn, "id string, lang string, pairs array<string>, reason string, stands boolean")
-    table = F.broadcast(spark.createDataFrame([(lang, p) for lang in LANGUAGES for p in sorted(PERMITTED[lang])], "lang string, pair string"))
-    permitted = table.groupBy("lang").agg(F.collect_set("pair").alias("allowed"))
-    left = F.array_except("pairs", "allowed")
-    reason = F.coalesce(F.when(F.col("reason") != "", F.col("reason")), F.when(F.size(left) > 0, F.concat(F.lit("pair "), F.array_join(left, " "))))
-    judged = lexed.join(F.broadcast(permitted), "lang").select("id", "lang", reason.alias("reason"), "stands")
-    bad = F.col("reason").isNotNull() & F.col("stands")
-    return judged.groupBy("id", "lang").agg(F.min(F.when(bad, F.col("reason"))).alias("reason")).select("id", "lang", F.col("reason").isNull().alias("ok"), "reason")
+    table = F.broadcast(spark.createDataFrame([(lang, p, True) for lang in LANGUAGES for p in sorted(PERMITTED[lang])], "lang string, pair string, permitted boolean"))
+    # the anti-join: pairs without a partner in the table stay; a text without tokens keeps a row of its own
+    rows = lexed.select("id", "lang", F.nullif(F.col("reason"), F.lit("")).alias("reason"), "stands", F.explode_outer("pairs").alias("pair")).join(table, ["lang", "pair"], "left")
+    odd = F.when(F.col("permitted").isNull() & F.col("pair").isNotNull(), F.concat(F.lit("pair "), F.col("pair")))
+    fault = F.when(F.col("stands"), F.coalesce("reason", odd))
+    return rows.groupBy("id", "lang").agg(F.min(fault).alias("reason")).select("id", "lang", F.col("reason").isNull().alias("ok"), "reason")
