@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import functools
 import json
 import re
 import warnings
@@ -258,10 +257,20 @@ _BRACKET = re.compile(r"[()\[\]{}]")
 _CTX = {")": "P", "]": "S", "}": "B"}
 
 
-@functools.lru_cache(65536)
+#: Pair sets of stretches seen before; bounded, and started afresh when full.
+_SEEN: dict[tuple[str, str], frozenset[str]] = {}
+
+
 def _segment(ctx: str, classes: str) -> frozenset[str]:
     """The pairs of a stretch between two brackets; stretches of classes repeat, so they are remembered."""
-    return frozenset(ctx + classes[i : i + 2] for i in range(len(classes) - 1))
+    got = _SEEN.get((ctx, classes))
+    if got is None:
+        got = frozenset([ctx + classes[i : i + 2] for i in range(len(classes) - 1)])
+        if len(_SEEN) >= 65536:
+            _SEEN.clear()
+        if len(classes) < 200:
+            _SEEN[ctx, classes] = got
+    return got
 
 
 # Productions that pairs cannot say, as patterns of what must not stand in the class string or the token texts.
