@@ -23,25 +23,49 @@ ENV_NAME = r"(?:^|/)\.env(?:\.[\w.-]+)?$|(?:^|/)[^/]+\.env$"
 
 
 def scan(spark: SparkSession, root: str, ignore_text: str = "") -> tuple[DataFrame, DataFrame]:
-    """(files, contents) of a directory tree, read by Spark's binary source in parallel.
+    """(files, contents) of a directory tree that all executors see.
 
-    Tool directories and what the ignore rules name are left out; only tracked extensions and environment files stay.
-    ``loc`` counts lines (0 without text). An unreadable or binary text is null, one beyond the gate empty.
+    The driver lists names only, leaving tool directories out as it walks; executors read the files. (Spark's own file
+    sources pass over names that begin with a dot or an underscore, which source trees are full of.) Only tracked
+    extensions and environment files stay. ``loc`` counts lines (0 without text). An unreadable or binary text is null,
+    one beyond the gate empty.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    top = "file:" + os.path.abspath(root) if "://" not in root else root
-    rel = F.regexp_replace("path", "^" + re.escape(top.rstrip("/")) + "/+", "")
-    rel = F.regexp_replace(rel, "^file:/+" + re.escape(os.path.abspath(root).strip("/")) + "/+", "")
-    rows = raw.select(rel.alias("id"), F.col("length").alias("size"), "modificationTime", "content")
-    ext = F.lower(F.regexp_extract("id", r"\.([^./]+)$", 1))
-    kept = rows.where(~paths.ignored("id") & ~paths.ignored_by("id", paths.ignore_rules(ignore_text)) & (ext.isin(*TRACKED) | F.col("id").rlike(ENV_NAME)))
-    binary = F.instr(F.substring(F.hex("content"), 1, 16384), "00") > 0
-    text = F.when(F.col("size") > PARSE_GATE, "").when(F.contains(F.col("content"), F.unhex(F.lit("00"))), F.lit(None)).otherwise(F.decode("content", "UTF-8"))
-    del binary
-    with_text = kept.select("id", ext.alias("ext"), "size", F.col("modificationTime").cast("timestamp_ntz").alias("last_seen"), text.alias("content"))
+    listed = []
+    for at, below, names in os.walk(root):
+        below[:] = sorted(x for x in below if x not in paths.IGNORED_DIRS and not re.match(paths.IGNORED_PREFIX, x))
+        for n in sorted(names):
+            full = os.path.join(at, n)
+            rel = os.path.relpath(full, root).replace(os.sep, "/")
+            if rel.rpartition(".")[2].lower() in TRACKED or re.search(ENV_NAME, rel):
+                try:
+                    st = os.stat(full)
+                except OSError:
+                    continue
+                listed.append((rel, st.st_size, int(st.st_mtime * 1_000_000)))
+    names = spark.createDataFrame(listed, "id string, size long, mtime long")
+    names = names.where(~paths.ignored_by("id", paths.ignore_rules(ignore_text))).repartition(max(1, len(listed) // 500))
+    base, gate = os.path.abspath(root), PARSE_GATE
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = []
+            for i, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    raw = b"" if size > gate else open(os.path.join(base, i), "rb").read()
+                    texts.append(None if b"\x00" in raw else raw.decode("utf-8", "replace"))
+                except OSError:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["id", "size", "mtime", "content"])
+
+    rows = names.mapInArrow(read, "id string, size long, mtime long, content string")
     loc = F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("content", "\n"))).cast("long")
-    files = with_text.select("id", "ext", loc.alias("loc"), "size", "last_seen", F.when(F.col("content").isNull(), "low").otherwise("high").alias("confidence"))
-    return files, with_text.select("id", "content")
+    files = rows.select(
+        "id", F.lower(F.regexp_extract("id", r"\.([^./]+)$", 1)).alias("ext"), loc.alias("loc"), "size", F.timestamp_micros("mtime").cast("timestamp_ntz").alias("last_seen"),
+        F.when(F.col("content").isNull(), "low").otherwise("high").alias("confidence"),
+    )
+    return files, rows.select("id", "content")
 
 
 def env_files(contents: DataFrame) -> DataFrame:
