@@ -17,8 +17,26 @@ IMPORTS = {
     "css": ((r"""@import\s+(?:url\()?\s*['"]?([^'")\s;]+)""", "import"), (r"""@(?:use|forward)\s+['"]([^'"\n]+)['"]""", "use"), (r"""url\(\s*['"]?([^'")\s]+)""", "asset")),
     "md": ((r"!?\[[^\]\n]*\]\(([^)\s#]+)", "ref"),),
     "sh": ((r"(?m)^\s*(?:source|\.)\s+([^\s;&|]+)", "source"),),
+    "html": ((r"""(?i)<(?:script|img|iframe|video|source|audio|embed)\b[^>]*?\bsrc\s*=\s*["']([^"']+)""", "asset"), (r"""(?i)<link\b[^>]*?\bhref\s*=\s*["']([^"']+)""", "asset")),
+    "rs": ((r"(?m)^\s*(?:pub\s+)?mod\s+([A-Za-z_]\w*)\s*;", "import"), (r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "use"), (r"(?m)^\s*extern\s+crate\s+([A-Za-z_]\w*)", "import")),
+    "rb": ((r"""(?m)^\s*require(?:_relative)?\s*\(?\s*['"]([^'"\n]+)""", "require"),),
+    "php": ((r"""\b(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"\n]+)""", "require"), (r"(?m)^\s*use\s+(?:function\s+|const\s+)?([\w\\\\]+)", "use")),
+    "cs": ((r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;", "using"),),
+    "swift": ((r"(?m)^\s*(?:@testable\s+)?import\s+(?:class\s+|struct\s+|func\s+)?([\w.]+)", "import"),),
+    "dart": ((r"""(?m)^\s*import\s+['"]([^'"\n]+)""", "import"), (r"""(?m)^\s*export\s+['"]([^'"\n]+)""", "export"), (r"""(?m)^\s*part\s+['"]([^'"\n]+)""", "part")),
+    "ps1": ((r"(?m)^\s*\.\s+['\"]?([^\s'\"]+\.ps1)", "source"), (r"(?mi)^\s*Import-Module\s+['\"]?([^\s'\"]+)", "import-module")),
+    "clj": ((r"\[([a-zA-Z][\w.-]*\.[\w.-]+)(?:\s+:(?:as|refer))", "require"),),
+    "lisp": ((r"(?i)\((?:load|require)\s+['\"]+([^\s'\")]+)", "require"),),
+    "rst": ((r"(?m)^\.\.\s+include::\s*(\S+)", "include"), (r":doc:`(?:[^`<\n]*<)?([^`>\n]+)", "doc")),
+    "lua": ((r"""\brequire\s*\(?\s*['"]([^'"\n]+)""", "require"),),
 }
-FAMILY = {"ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "cjs": "js", "pyi": "py", "pyw": "py", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "kt": "java", "scss": "css", "less": "css", "sass": "css", "bash": "sh", "zsh": "sh", "mdx": "md"}
+# How model definitions begin; group 1 is the name.
+MODELS = {
+    "prisma": ((r"(?m)^model\s+([A-Za-z_]\w*)\s*\{", "prisma"),),
+    "py": ((r"(?m)^class\s+([A-Za-z_]\w*)\s*\([^)\n]*\b(?:Base|Model|DeclarativeBase|SQLModel)\b", "sqlalchemy"),),
+    "js": ((r"""\b(?:pgTable|mysqlTable|sqliteTable)\s*\(\s*['"]([^'"\n]+)""", "drizzle"), (r"""\bmongoose\.model\s*(?:<[^>\n]*>)?\(\s*['"]([^'"\n]+)""", "mongoose"), (r"@Entity\([^)\n]*\)\s*(?:export\s+)?class\s+([A-Za-z_]\w*)", "typeorm")),
+}
+FAMILY = {"ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "cjs": "js", "pyi": "py", "pyw": "py", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "kt": "java", "scss": "css", "less": "css", "sass": "css", "bash": "sh", "zsh": "sh", "mdx": "md", "htm": "html", "kts": "java", "psm1": "ps1", "cljc": "clj", "lsp": "lisp", "el": "lisp", "scm": "lisp", "vue": "js", "svelte": "js", "astro": "js"}
 ENV_READS = (
     r"process\.env\.([A-Z][A-Z0-9_]*)", r"""process\.env\[\s*['"]([A-Z][A-Z0-9_]*)""", r"import\.meta\.env\.([A-Z][A-Z0-9_]*)", r"""os\.(?:environ\.get|getenv)\(\s*['"]([A-Z][A-Z0-9_]*)""",
     r"""os\.environ\[\s*['"]([A-Z][A-Z0-9_]*)""", r"""os\.(?:Getenv|LookupEnv)\(\s*"([A-Z][A-Z0-9_]*)""", r"""System\.getenv\(\s*"([A-Z][A-Z0-9_]*)""", r"""\bgetenv\(\s*"([A-Z][A-Z0-9_]*)""", r"""env::var\(\s*"([A-Z][A-Z0-9_]*)""", r"""ENV\[\s*['"]([A-Z][A-Z0-9_]*)""", r"\$\{([A-Z][A-Z0-9_]*)[}:-]",
@@ -113,6 +131,104 @@ def symbols(contents: DataFrame) -> DataFrame:
     return by_language(with_family(contents), SYMBOLS).withColumnRenamed("value", "name")
 
 
+def models(contents: DataFrame) -> DataFrame:
+    """(id, name, kind) of database models that code or schema files define."""
+    return by_language(with_family(contents), MODELS).withColumnRenamed("value", "name")
+
+
+def notebook_code(contents: DataFrame) -> DataFrame:
+    """(id, content): notebooks as the Python of their code cells, without lines of magics, under an id that ends in .py."""
+    cell = "struct<cells:array<struct<cell_type:string,source:array<string>>>>"
+    nb = contents.where(F.col("id").rlike(r"(?i)\.ipynb$")).select("id", F.from_json("content", cell).alias("j"))
+    code = F.transform(F.filter("j.cells", lambda c: c["cell_type"] == "code"), lambda c: F.array_join(F.filter(c["source"], lambda x: ~x.rlike(r"^\s*[%!]")), ""))
+    return nb.select(F.concat("id", F.lit(".py")).alias("id"), F.array_join(code, "\n").alias("content")).where(F.col("content").isNotNull())
+
+
+def deprecated(contents: DataFrame, symbols_at: DataFrame) -> DataFrame:
+    """(symbol, deprecated) of (symbol, file, line): a marker in the first five lines of the file or in the five above the declaration."""
+    lines = contents.select(F.col("id").alias("file"), F.split("content", "\n").alias("ls")).where(F.col("ls").isNotNull())
+    near = lambda at, n: F.array_join(F.slice("ls", at, n), "\n").rlike(r"(?i)@?deprecated")
+    j = symbols_at.join(lines, "file", "left")
+    start = F.greatest(F.lit(1), F.col("line") - 5).cast("int")
+    return j.select("symbol", F.coalesce(near(F.lit(1), F.lit(5)) | near(start, (F.col("line") - start).cast("int")), F.lit(False)).alias("deprecated"))
+
+
+def python_flow(contents: DataFrame) -> DataFrame:
+    """(id, fn, fact, name, arg, origin, line): where the arguments and returns of each Python function come from.
+
+    ``fact`` is param, arg (``name`` is the callee, ``arg`` the position) or return; ``origin`` is ``param:x``, ``call:f``, ``literal`` or
+    ``unknown``. A name that is assigned twice, or from itself, is unknown.
+    """
+    import ast
+    import warnings
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = "id string, fn string, fact string, name string, arg long, origin string, line long"
+    kinds = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
+
+    def called(node):
+        f = node.func
+        return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+
+    def facts(i: str, text: str):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        for fn in ast.walk(tree):
+            if not isinstance(fn, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                continue
+            params = [a.arg for a in (*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs)]
+            known = {p: f"param:{p}" for p in params}
+            inside = [n for n in ast.walk(fn) if n is not fn]
+
+            def origin(e):
+                if isinstance(e, ast.Constant):
+                    return "literal"
+                if isinstance(e, ast.Name):
+                    return known.get(e.id, "unknown")
+                if isinstance(e, ast.Call) and called(e):
+                    return f"call:{called(e)}"
+                return "unknown"
+
+            targets: dict[str, int] = {}
+            for n in inside:
+                if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.For)):
+                    for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                        for x in ast.walk(t):
+                            if isinstance(x, ast.Name):
+                                targets[x.id] = targets.get(x.id, 0) + (2 if isinstance(n, (ast.AugAssign, ast.For)) else 1)
+            for n in inside:
+                if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
+                    x = n.targets[0].id
+                    known[x] = origin(n.value) if targets[x] == 1 and x not in params else "unknown"
+            for x, times in targets.items():
+                if times > 1 or x in params:
+                    known[x] = "unknown"
+            for k, p in enumerate(params):
+                yield i, fn.name, "param", p, k, None, fn.lineno
+            for n in inside:
+                if isinstance(n, ast.Call) and called(n):
+                    for k, a in enumerate(n.args):
+                        yield i, fn.name, "arg", called(n), k, origin(a), n.lineno
+                elif isinstance(n, ast.Return) and n.value is not None:
+                    yield i, fn.name, "return", None, None, origin(n.value), n.lineno
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [r for i, t in zip(*[c.to_pylist() for c in b.columns]) for r in facts(i, t)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "fn", "fact", "name", "arg", "origin", "line"])
+
+    return with_family(contents).where("lang = 'py'").select("id", "content").mapInArrow(run, schema).distinct()
+
+
 def python_facts(contents: DataFrame) -> DataFrame:
     """(id, fact, name, line, end_line, owner) of Python files by the standard library's parser, in Arrow batches.
 

@@ -50,6 +50,58 @@ def cosine_top(vectors: DataFrame, query: list[float], k: int = 30, least: float
     return vectors.select("id", F.round(dot, 6).alias("similarity")).where(F.col("similarity") > least).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
+def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """(query, id, similarity, rank): for each query of (id, vector) its ``k`` best other rows; vectors of unit length, ties by id.
+
+    Queries go to the executors in blocks of ``block`` rows, which bounds what a task holds; each Arrow batch is one matrix product
+    and keeps ``k`` rows a query, so what is shuffled is ``k`` rows a query and batch.
+    """
+    import numpy as np
+
+    spark = vectors.sparkSession
+    kind = vectors.schema["id"].dataType.simpleString()
+    out = None
+    rows: list = []
+
+    def part(chunk):
+        ids = [r["id"] for r in chunk]
+        m = np.array([r["vector"] for r in chunk], np.float64)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = np.array(b.column(0).to_pylist(), object)
+                v = np.array(b.column(1).to_pylist(), np.float64)
+                sims = np.round(m @ v.T, 5)
+                q, i, s = [], [], []
+                for j, x in enumerate(ids):
+                    order = sorted(np.flatnonzero(own != x).tolist(), key=lambda p: (-sims[j, p], own[p]))[:k] if len(own) <= 4 * k else None
+                    if order is None:
+                        row = np.where(own == x, -np.inf, sims[j])
+                        edge = np.partition(row, len(row) - k)[len(row) - k]
+                        order = sorted(np.flatnonzero(row >= edge).tolist(), key=lambda p: (-sims[j, p], own[p]))[:k]
+                    q += [x] * len(order)
+                    i += [own[p] for p in order]
+                    s += [float(sims[j, p]) for p in order]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s, pa.float64())], names=["query", "id", "similarity"])
+
+        return vectors.select("id", "vector").where(F.col("vector").isNotNull()).mapInArrow(run, f"query {kind}, id {kind}, similarity double")
+
+    for r in queries.select("id", "vector").where(F.col("vector").isNotNull()).orderBy("id").toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            out, rows = (part(rows) if out is None else out.unionByName(part(rows))), []
+    if rows:
+        out = part(rows) if out is None else out.unionByName(part(rows))
+    if out is None:
+        return spark.createDataFrame([], f"query {kind}, id {kind}, similarity double, rank long")
+    w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
 def line_diff(pairs: DataFrame, most_cells: int = 2_000_000) -> DataFrame:
     """(id, n, op, before_line, after_line, text) of (id, before, after): longest common subsequence of lines; deletions first on ties.
 
