@@ -273,10 +273,14 @@ def _in_data(text: str, a: int, b: int) -> bool:
 
 def redact(text: str | None) -> str | None:
     """``text`` with each credential's letters and digits replaced by ``*``: quotes, escapes, line ends and lengths stay."""
+    return _masked(text)[0]
+
+
+def _masked(text: str | None) -> tuple[str | None, int]:
     if not text:
-        return text
-    parts, at = [], 0
-    for _, s, e, kind in find(text):
+        return text, 0
+    parts, at, found = [], 0, find(text)
+    for _, s, e, kind in found:
         parts.append(text[at:s])
         got = text[s:e]
         if kind == "key":
@@ -287,7 +291,7 @@ def redact(text: str | None) -> str | None:
             parts.append("*" * len(got))
         at = e
     parts.append(text[at:])
-    return "".join(parts)
+    return "".join(parts), len(found)
 
 
 def credentials(files: DataFrame) -> DataFrame:
@@ -315,6 +319,6 @@ def redacted(files: DataFrame) -> DataFrame:
 
     def fn(cols):
         ids, texts = cols
-        return [ids, [redact(t) for t in texts], [len(find(t)) for t in texts]]
+        return [ids, *zip(*[_masked(t) for t in texts])]
 
     return map_arrow(files.select("id", "content"), fn, "id string, content string, n_masked int")

@@ -187,7 +187,7 @@ class Mix:
             w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
             return sums.select(*keys, order, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias(f"{order}_before"), F.col("_t").alias(f"{order}_own"))
 
-        rows = rows.join(F.broadcast(before(rows, part, "_a")), [*part, "_a"])
+        rows = rows.join(small(before(rows, part, "_a")), [*part, "_a"])
         whole = F.col("_a_before") + F.col("_a_own") <= F.col("rest")
         edge = rows.where(~whole & (F.col("_a_before") < F.col("rest")))
         edge = edge.join(before(edge, [*part, "_a"], "_c"), [*part, "_a", "_c"]).withColumn("_b", F.col("_a_before") + F.col("_c_before"))
