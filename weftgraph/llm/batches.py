@@ -8,6 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, if it comes straight from a scan with fewer.
+
+    A table of few row groups would otherwise keep most cores idle through Python's share of the work. Large scans have
+    more partitions than cores and are never shuffled; the rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[list[list]], list], schema: str) -> DataFrame:
     """``fn`` over column lists of slices of Arrow batches; it returns column lists (or arrays) of the result.
 

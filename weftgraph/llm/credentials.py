@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.batches import map_arrow
+from weftgraph.llm.batches import map_arrow, spread
 
 #: Shortest token judged by entropy alone, and the share of the greatest entropy for its length that it must have.
 LEAST_TOKEN, SHARE = 20, 0.78
@@ -311,7 +311,7 @@ def credentials(files: DataFrame) -> DataFrame:
         return [pa.array(i), pa.array(line, pa.int64()), pa.array(kind), pa.array(s, pa.int32()), pa.array([y - x for x, y in zip(s, e)], pa.int32())]
 
     have = files.select("id", "content").where(F.col("id").isNotNull() & (F.length("content") > 0))
-    return map_arrow(have, fn, "id string, line long, kind string, start int, length int").distinct()
+    return map_arrow(spread(have), fn, "id string, line long, kind string, start int, length int").distinct()
 
 
 def redacted(files: DataFrame) -> DataFrame:
@@ -321,4 +321,4 @@ def redacted(files: DataFrame) -> DataFrame:
         ids, texts = cols
         return [ids, *zip(*[_masked(t) for t in texts])]
 
-    return map_arrow(files.select("id", "content"), fn, "id string, content string, n_masked int")
+    return map_arrow(spread(files.select("id", "content")), fn, "id string, content string, n_masked int")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.batches import map_arrow
+from weftgraph.llm.batches import map_arrow, spread
 from weftgraph.session import Cut, small
 
 #: Words of a seed, of a run that counts as a leak, kept on either side of seeds, and items that one pass over the corpus takes.
@@ -145,7 +145,7 @@ def _hits(docs: DataFrame, vocab: dict[str, int], known: np.ndarray, n: int) ->
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     have = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return map_arrow(have, fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, ids array<int>, grams array<long>")
+    return map_arrow(spread(have), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, ids array<int>, grams array<long>")
 
 
 def _seeds(items: list, counts: dict[int, int], run: int, n: int) -> list[tuple]:

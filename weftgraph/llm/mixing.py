@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from weftgraph.llm.batches import spread
 from weftgraph.session import Cut, small
 
 #: A public byte-level BPE vocabulary as base64 ranks; any file of that form will do.
@@ -136,7 +137,7 @@ class Mix:
         #: the targets are a table of parameters, one row a source
         self.targets = [(r["source"], r["weight"], r["max_repeat"]) for r in targets.select("source", "weight", "max_repeat").where(F.col("source").isNotNull()).orderBy("source").collect()]
         self.spelt = {t[0].strip().lower(): t[0] for t in self.targets}
-        sized = docs.select("doc_id", norm(F.col("source")).alias("source"), F.md5("text").alias("_text"), token_count(F.col("text"), vocabulary).alias("tokens"))
+        sized = spread(docs.select("doc_id", "source", "text")).select("doc_id", norm(F.col("source")).alias("source"), F.md5("text").alias("_text"), token_count(F.col("text"), vocabulary).alias("tokens"))
         self.sized = self.cut(sized)
 
     def _patterned(self) -> DataFrame:

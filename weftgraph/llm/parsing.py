@@ -10,7 +10,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.batches import map_arrow
+from weftgraph.llm.batches import map_arrow, spread
 from weftgraph.llm.lexing import LANGUAGES, Bad, lex
 
 _OPEN = {"(": ")", "[": "]", "{": "}"}
@@ -536,7 +536,7 @@ def unparsed(files: DataFrame) -> DataFrame:
                 c.append(v)
         return out
 
-    lexed = map_arrow(have, fn, "id string, lang string, pairs array<string>, reason string, stands boolean")
+    lexed = map_arrow(spread(have), fn, "id string, lang string, pairs array<string>, reason string, stands boolean")
     table = F.broadcast(spark.createDataFrame([(lang, p, True) for lang in LANGUAGES for p in sorted(PERMITTED[lang])], "lang string, pair string, permitted boolean"))
     # the anti-join: pairs without a partner in the table stay; a text without tokens keeps a row of its own
     rows = lexed.select("id", "lang", F.nullif(F.col("reason"), F.lit("")).alias("reason"), "stands", F.explode_outer("pairs").alias("pair")).join(table, ["lang", "pair"], "left")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.batches import map_arrow
+from weftgraph.llm.batches import map_arrow, spread
 from weftgraph.llm.winnow import Rolling, codes, minima
 from weftgraph.session import Cut, small
 
@@ -90,7 +90,7 @@ def token_edges(docs: DataFrame, min_len: int = MIN_LEN, q: int = Q, w: int = W)
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = docs.schema["doc_id"].dataType.simpleString()
     long_enough = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= min_len))
-    return map_arrow(long_enough, fn, f"doc_id {kind}, pos int, len int, key long, long_len int, long_key long")
+    return map_arrow(spread(long_enough), fn, f"doc_id {kind}, pos int, len int, key long, long_len int, long_key long")
 
 
 def _repeated(df: DataFrame, key: str) -> DataFrame:
