@@ -30,42 +30,33 @@ def _double(cut: Cut, jumps: DataFrame, with_path: bool) -> DataFrame:
     """Pointer doubling of (id, to, dist, done[, path]) until each row is done, or none gets done any more.
 
     A walk of length d passes walks of every smaller length, so the first round in which the number of open rows
-    stays as it is proves that all open rows lead into a ring. Open rows alone are joined and rewritten; what is
-    done stays in its table. A row that leads to an id without a pointer (a splitter whose own walk never ends) falls
-    out. Returns the done rows.
+    stays as it is proves that all open rows lead into a ring. Only open rows are joined; the others are copied as they
+    stand. A row that leads to an id without a pointer (a splitter whose own walk never ends) falls out. Returns the
+    done rows.
     """
-    done = [jumps.where("done")]
-    open_ = cut(jumps.where("not done"))
-    known = jumps
-    left = open_.count()
+    open_rows = F.coalesce(F.sum((~F.col("done")).cast("long")), F.lit(0))
+    now = cut(jumps, left=open_rows)
+    left = now._weft_seen["left"]
     for _ in range(MOST_ROUNDS):
         if not left:
             break
-        ahead = known.select(
+        ahead = now.select(
             F.col("id").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"),
             *([F.col("path").alias("path2")] if with_path else []),
         )
-        step = open_.join(ahead, "to").select(
+        step = now.where("not done").join(ahead, "to").select(
             "id",
             F.col("to2").alias("to"),
             (F.col("dist") + F.col("dist2")).alias("dist"),
             F.col("done2").alias("done"),
             *([F.concat("path", "path2").alias("path")] if with_path else []),
         )
-        step = cut(step)
-        done.append(step.where("done"))
-        before, open_ = left, step.where("not done")
-        left = open_.count()
-        known = done[0]
-        for d in done[1:]:
-            known = known.unionByName(d)
-        known = known.unionByName(open_)
+        old, now = now, cut(now.where("done").unionByName(step), left=open_rows)
+        Cut.drop(old)
+        before, left = left, now._weft_seen["left"]
         if left == before:
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return now.where("done")
 
 
 def _rings(cut: Cut, links: DataFrame) -> DataFrame:
@@ -132,15 +123,13 @@ def hierarchy(links: DataFrame, with_path: bool = False, splitter_every: int = S
             *([F.array("parent").alias("path")] if with_path else []),
         )
     )
-    walked = _double(cut, cut(first), with_path)
-    walked = cut(walked.drop("done"))
+    walked = _double(cut, first, with_path).drop("done")
     mine = F.pmod(F.xxhash64("id"), F.lit(splitter_every)) == 0
-    reduced = cut(
+    reduced = (
         walked.where(mine).join(is_root.withColumnRenamed("id", "to"), "to", "left")
         .select("id", "to", "dist", F.coalesce("_root", F.lit(False)).alias("done"), *(["path"] if with_path else []))
     )
-    solved = _double(cut, reduced, with_path)
-    solved = cut(solved.drop("done"))
+    solved = _double(cut, reduced, with_path).drop("done")
     answers = solved.select(F.col("id").alias("to"), F.col("to").alias("root"), F.col("dist").alias("dist2"), *([F.col("path").alias("path2")] if with_path else []))
     if with_path:
         answers = answers.unionByName(roots.select(F.col("id").alias("to"), F.col("id").alias("root"), F.lit(0).cast("long").alias("dist2"), F.array().cast("array<string>").alias("path2")))

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while it has at most so many rows.
@@ -63,13 +63,16 @@ class Cut:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, **seen) -> DataFrame:
+        """The rows of ``df``, written and read again; aggregates in ``seen`` are taken while writing and kept as ``_weft_seen``."""
         self.n += 1
         path = f"{self.base}/{self.n}"
         _LIVE[path] = self.spark
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        watch = Observation() if seen else None
+        watched = df.observe(watch, *[c.alias(k) for k, c in seen.items()]) if seen else df
+        watched.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._weft_path = path
+        out._weft_path, out._weft_seen = path, watch.get if seen else {}
         return out
 
     @staticmethod
