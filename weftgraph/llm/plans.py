@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm import credentials, leaks, mixing, origin, parsing, spans
+from weftgraph.llm import credentials, leaks, mixing, oracle, origin, parsing, spans
 from weftgraph.session import table
 
 
@@ -109,4 +109,4 @@ def p8_unitigs(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p2_found, p2_files, p2_rates, p3_found, p3_credentials, p3_redacted, p6_found, p6_alignments, p6_leaked_items, p7_found, p7_shares, p7_selection, p8_found, p8_coverage, p8_unitigs)}
 
-SQL: dict[str, str] = {}
+SQL = oracle.SQL
