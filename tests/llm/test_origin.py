@@ -58,6 +58,19 @@ def test_many_copies_meet_without_pairs(spark):
     assert {got[f"r{k}/src/f{k}.js"] for k in range(30)} == {"vendored"}
 
 
+def test_copies_that_make_their_own_lines_frequent(spark):
+    """A third of the files are edited copies of one file: its lines are frequent, so nothing rare is left to compare; a shared licence is no copy."""
+    base = code("lib", 40).split("\n")
+    licence = [f"// licence text of everyone, line {i}" for i in range(9)]
+    contents = [("up/src/lib.js", "// Copyright (c) the up authors\n" + "\n".join(licence + base))]
+    for k in range(30):
+        contents.append((f"r{k}/src/f{k}.js", "\n".join(x if i % 20 != k % 20 else f"changed line {k}.{i} of this file" for i, x in enumerate(base))))
+    contents += [(f"t{k}/a.js", "\n".join([*licence, f"export const only{k} = load({k})"])) for k in range(60)]
+    got = kinds(spark, contents)
+    assert got["up/src/lib.js"] == "own" and {got[f"t{k}/a.js"] for k in range(60)} == {"hand"}
+    assert {got[f"r{k}/src/f{k}.js"] for k in range(30)} == {"vendored"}
+
+
 def test_empty(spark):
     f = spark.createDataFrame([], FILE)
     c = spark.createDataFrame([], "id string, content string")

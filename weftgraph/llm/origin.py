@@ -6,13 +6,13 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.batches import map_arrow, spread
 from weftgraph.session import Cut, small
 
-#: A file is a copy of another if it holds at least this share of its rare lines; a line is rare in at most so many
+#: A file is a copy of another if it holds at least this share of its counted lines; a line is rare in at most so many
 #: files (a share of all files, or this number where that is more); shortest line that counts, and lines a file must have.
 CONTAINED, COMMON_SHARE, COMMON_LEAST, LINE, FEWEST = 0.8, 0.01, 8, 12, 5
 #: A file whose content was not kept is no one's handwriting from this size in bytes on.
@@ -26,6 +26,8 @@ LOCK_NAME = r"(?i)^(?:(?:package|composer|packages|pnpm|flake|deno)[-.]lock(?:\.
 CODE = ("py", "js", "ts", "go", "java", "c", "h", "jsx", "tsx", "mjs", "cjs", "cpp", "cc", "hpp", "rb", "rs", "cs", "kt", "swift", "php", "scala", "css", "sh")
 
 _COMMENT = re.compile(r"\s*(?://+|#+|/\*+!?|\*+|<!--|--+|;+|\"\"\"|''')\s*(.*)")
+#: What a comment may begin with.
+_OPENS = frozenset("/#*<-;\"'")
 _TOOL = re.compile(
     r"(?i)(?:@generated\b|auto-?generated\b|(?:this )?(?:code|file|module|source)?(?: is| was|:)?\s*(?:auto-?generated|automatically generated|machine generated|generated by)\b|code generated\b|"
     r"machine[- ](?:written|generated|made)|generator: ?\S|generated (?:by|from|with|using) \S+|produced by (?:the )?.*(?:compiler|generator)|automati(?:sch|quement|camente) |"
@@ -109,7 +111,7 @@ def composition(text: str, lines: list[str]) -> tuple[bool, bool]:
 
 
 def _features(files: DataFrame) -> DataFrame:
-    """(id, tool, upstream, own, foreign, squeezed, data, kept, lines) of each content row; lines are hashes of its long distinct lines."""
+    """(id, tool, upstream, own, foreign, squeezed, data, kept, lines) of each content row; lines are hashes of its long distinct lines, odd for comments."""
 
     def fn(cols):
         ids, texts = cols
@@ -122,7 +124,7 @@ def _features(files: DataFrame) -> DataFrame:
             real = [s for x in lines if (s := x.strip())]
             marks = comment_marks(real, i.partition("/")[0]) if real else (False,) * 4
             squeezed, data = composition(t, lines) if code and real else (False, False)
-            hashes = {digest(x) - (1 << 63) for x in real if len(x) >= LINE} if code else ()
+            hashes = {(digest(x) - (1 << 63)) & -2 | (x[0] in _OPENS and _COMMENT.match(x) is not None) for x in real if len(x) >= LINE} if code else ()
             for c, v in zip(out, (i, *marks, squeezed, data, bool(t), list(hashes))):
                 c.append(v)
         return out
@@ -132,34 +134,59 @@ def _features(files: DataFrame) -> DataFrame:
 
 
 def copies(cut: Cut, lines: DataFrame, marked: DataFrame) -> DataFrame:
-    """(id, other, contained): for (id, lines), files that hold at least ``CONTAINED`` of their rare lines in common with a marked file of another repository.
+    """(id, other, contained): for (id, lines), files that hold at least ``CONTAINED`` of their lines in common with a marked file of another repository.
 
-    An inverted index of line hashes keeps for each rare line how many files hold it, the least and the greatest of
-    them. Each holder is linked to the least one (the least one to the greatest), so a line held by a thousand
-    copies gives a thousand links, not a million pairs, and copies of one file meet at its least member, their hub. Of
-    the marked files at a hub, those of the first and of the last repository stand for all: each other member is
-    compared with them, and its containment is computed exactly from the line sets.
+    What counts of a file are its rare lines; of a file most of whose lines are frequent (a library copied into many
+    repositories makes its lines frequent), all its lines of code. ``contained`` is a lower bound where votes settle it.
+
+    An inverted index keeps for each line how many files and how many marked ones hold it, the least and greatest
+    marked holder and their repositories: no pairs. A file can only be a copy if that share of its lines is held by
+    marked files of other repositories at all. Each line of such a file votes for its two marked holders, and enough
+    votes for one of them prove the copy, so a group of any size is settled at its common holders. The others are
+    compared, on the line sets, with the holders of those lines of which a copy must share one.
     """
-    names = cut(lines.select("id", F.xxhash64("id").alias("f"), F.substring_index("id", "/", 1).alias("repo")).distinct())
-    each = cut(lines.select(F.xxhash64("id").alias("f"), F.explode("lines").alias("line")).distinct())
+    repo = F.xxhash64(F.substring_index("id", "/", 1))
+    names = cut(lines.select("id", F.xxhash64("id").alias("f"), repo.alias("r")).distinct())
+    flagged = lines.join(small(marked.select("id").distinct().withColumn("m", F.lit(True))), "id", "left")
+    each = cut(flagged.select(F.xxhash64("id").alias("f"), repo.alias("r"), F.col("m").isNotNull().alias("m"), F.explode("lines").alias("line")).distinct())
     common = max(COMMON_LEAST, int(COMMON_SHARE * names.count()))
-    index = each.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where(F.col("n") <= common)
-    held = cut(each.join(index, "line").select("f", "line", "n", F.when(F.col("f") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("g")))
-    rare = held.groupBy("f").agg(F.count(F.lit(1)).alias("rare"))
-    linked = held.where(F.col("n") > 1).groupBy("f", "g").agg(F.count(F.lit(1)).alias("shared"))
-    links = cut(linked.join(rare, "f").where((F.col("rare") >= FEWEST) & (F.col("shared") >= 0.5 * F.col("rare"))).select("f", "g", "rare"))
-    members = links.select("f", "g").union(links.select(F.col("g").alias("f"), "g")).distinct().join(small(names.select("f", "repo").join(links.select("f").union(links.select("g")).distinct(), "f", "left_semi")), "f")
-    known = marked.select(F.xxhash64("id").alias("f")).distinct()
-    rep = F.struct("repo", "f")
-    reps = members.join(known, "f", "left_semi").groupBy("g").agg(F.array_distinct(F.array(F.min(rep), F.max(rep))).alias("r")).select("g", F.explode("r").alias("r")).select("g", F.col("r.repo").alias("o_repo"), F.col("r.f").alias("o"))
-    cand = cut(members.join(reps, "g").where(F.col("repo") != F.col("o_repo")).select("f", "o").distinct().join(rare, "f"))
-    mine = held.join(small(cand.select("f").distinct()), "f", "left_semi").select("f", "line")
-    theirs = each.join(small(cand.select(F.col("o").alias("f")).distinct()), "f", "left_semi").select(F.col("f").alias("o"), "line")
-    exact = (
-        cand.join(mine, "f").join(theirs, ["o", "line"]).groupBy("f", "o", "rare").agg(F.count(F.lit(1)).alias("both"))
-        .select("f", "o", (F.col("both") / F.col("rare")).alias("contained")).where(F.col("contained") >= CONTAINED)
+    of_marked = lambda c: F.when(F.col("m"), F.col(c))
+    index = each.groupBy("line").agg(
+        F.count(F.lit(1)).alias("n"), F.count(of_marked("f")).alias("k"), F.min(of_marked("f")).alias("a"), F.max(of_marked("f")).alias("b"),
+        F.min(of_marked("r")).alias("r_lo"), F.max(of_marked("r")).alias("r_hi"),
+    )
+    out = F.coalesce((F.col("r_lo") != F.col("r")) | (F.col("r_hi") != F.col("r")), F.lit(False))
+    held = cut(
+        each.join(index, "line").select("f", "r", "line", (F.col("n") <= common).alias("rare"), *[F.when(out, F.col(c)).alias(c) for c in ("k", "a", "b")])
+    )
+    code, shared, total = F.col("line").bitwiseAND(1) == 0, F.col("k").isNotNull(), lambda c: F.sum(c.cast("long"))
+    stats = held.groupBy("f").agg(
+        F.count(F.lit(1)).alias("n"), total(F.col("rare")).alias("rare"), total(F.col("rare") & shared).alias("rare_out"), total(code).alias("code"), total(code & shared).alias("code_out")
     )
-    return exact.join(names.select("id", "f"), "f").join(names.select(F.col("id").alias("other"), F.col("f").alias("o")), "o").select("id", "other", "contained")
+    some = lambda whole, size, both, when: stats.where(when & (F.col(size) >= FEWEST) & (F.col(both) / F.col(size) >= CONTAINED)).select("f", F.lit(whole).alias("whole"), F.col(size).alias("size"), F.col(both).alias("both"))
+    todo = cut(some(False, "rare", "rare_out", F.lit(True)).unionByName(some(True, "code", "code_out", F.col("rare") < 0.5 * F.col("n"))))
+    counts = F.when(F.col("whole"), code).otherwise(F.col("rare"))
+    mine = cut(held.where(shared).join(small(todo), "f").where(counts).select("f", "r", "whole", "line", "k", "a", "b", "size", "both"))
+    repos = names.select(F.col("f").alias("o"), F.col("r").alias("o_r"))
+    enough = (F.col("n") / F.col("size")).alias("contained")
+    voted = mine.select("f", "r", "whole", "size", F.explode(F.array_distinct(F.array("a", "b"))).alias("o")).groupBy("f", "r", "whole", "size", "o").agg(F.count(F.lit(1)).alias("n"))
+    found = cut(voted.select("f", "r", "o", enough).where(F.col("contained") >= CONTAINED).join(repos, "o").where(F.col("r") != F.col("o_r")).select("f", "o", "contained"))
+    theirs = each.where("m").select(F.col("f").alias("o"), F.col("r").alias("o_r"), "line")
+
+    def compared(left: DataFrame, pairs: DataFrame) -> DataFrame:
+        both = left.select("f", "whole", "size", "line").join(pairs, ["f", "whole"]).join(theirs.select("o", "line"), ["o", "line"])
+        return cut(both.groupBy("f", "whole", "o", "size").agg(F.count(F.lit(1)).alias("n")).select("f", "o", enough).where(F.col("contained") >= CONTAINED))
+
+    # a copy lacks fewer than `both - need + 1` of its shared lines, so its holder has one of so many: those with fewest holders are asked
+    need = F.ceil(F.col("size") * CONTAINED - 1e-9)
+    least = Window.partitionBy("f", "whole").orderBy("k", "line")
+    left = cut(mine.join(found.select("f").distinct(), "f", "left_anti"))
+    if not left.isEmpty():
+        asked = cut(left.withColumn("_i", F.row_number().over(least)).where(F.col("_i") <= F.col("both") - need + 1).select("f", "r", "whole", "line", "a", "b"))
+        near = asked.select("f", "r", "whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("o")).distinct().join(repos, "o")
+        found = found.unionByName(compared(left, near.where(F.col("r") != F.col("o_r")).select("f", "whole", "o")))
+
+    return found.join(names.select("id", "f"), "f").join(names.select(F.col("id").alias("other"), F.col("f").alias("o")), "o").select("id", "other", "contained")
 
 
 def origins(files: DataFrame, contents: DataFrame) -> DataFrame:
