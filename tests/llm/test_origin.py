@@ -1,6 +1,9 @@
+import random
+from collections import Counter
 from datetime import datetime
 
 from weftgraph.llm import origin as O
+from weftgraph.session import Cut
 
 FILE = "id string, ext string, size long, loc long, last_seen timestamp, lines int, kind string"
 T = datetime(2023, 1, 1)
@@ -71,6 +74,30 @@ def test_copies_that_make_their_own_lines_frequent(spark):
     assert {got[f"r{k}/src/f{k}.js"] for k in range(30)} == {"vendored"}
 
 
+def test_copies_of_any_version_as_by_brute_force(spark):
+    """Versions of libraries share lines, so a copy's version is seldom the least or greatest holder of its lines."""
+    rng = random.Random(3)
+    held, marked = {}, []
+    for lib, (versions, pool, share) in enumerate([(40, 60, 0.5), (5, 40, 0.6), (5, 40, 0.6), (7, 50, 0.5)]):
+        lines = [2 * (1000 * (lib + 1) + i) for i in range(pool)]
+        for v in range(versions):
+            held[f"v{v}/lib{lib}.js"] = set(rng.sample(lines, int(pool * share)))
+            marked.append(f"v{v}/lib{lib}.js")
+        for c in range(versions // 2):
+            of = held[f"v{rng.randrange(versions)}/lib{lib}.js"]
+            held[f"c{c}/copy{lib}.js"] = set(rng.sample(sorted(of), 17)) | {2 * (10**6 + 1000 * lib + 10 * c + i) for i in range(rng.choice([2, 3, 6]))}
+    n = Counter(x for lines in held.values() for x in lines)
+    common, want = max(O.COMMON_LEAST, int(O.COMMON_SHARE * len(held))), set()
+    for f, lines in held.items():
+        rare = {x for x in lines if n[x] <= common}
+        for counted in [rare] + [lines] * (len(rare) < 0.5 * len(lines)):
+            if len(counted) >= O.FEWEST and any(o.split("/")[0] != f.split("/")[0] and len(counted & held[o]) / len(counted) >= O.CONTAINED for o in marked):
+                want.add(f)
+    df = spark.createDataFrame([(f, sorted(x)) for f, x in held.items()], "id string, lines array<long>")
+    got = O.copies(Cut(spark, "copies"), df, spark.createDataFrame([(m,) for m in marked], "id string"))
+    assert len(want) >= 12 and {r["id"] for r in got.collect()} == want
+
+
 def test_empty(spark):
     f = spark.createDataFrame([], FILE)
     c = spark.createDataFrame([], "id string, content string")

@@ -143,7 +143,8 @@ def copies(cut: Cut, lines: DataFrame, marked: DataFrame) -> DataFrame:
     marked holder and their repositories: no pairs. A file can only be a copy if that share of its lines is held by
     marked files of other repositories at all. Each line of such a file votes for its two marked holders, and enough
     votes for one of them prove the copy, so a group of any size is settled at its common holders. The others are
-    compared, on the line sets, with the holders of those lines of which a copy must share one.
+    compared, on the line sets, with the holders of those lines of which a copy must share one: first with the least and
+    greatest of them, then, if no copy is found, with all, so no marked file that contains a file is missed.
     """
     repo = F.xxhash64(F.substring_index("id", "/", 1))
     names = cut(lines.select("id", F.xxhash64("id").alias("f"), repo.alias("r")).distinct())
@@ -185,6 +186,11 @@ def copies(cut: Cut, lines: DataFrame, marked: DataFrame) -> DataFrame:
         asked = cut(left.withColumn("_i", F.row_number().over(least)).where(F.col("_i") <= F.col("both") - need + 1).select("f", "r", "whole", "line", "a", "b"))
         near = asked.select("f", "r", "whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("o")).distinct().join(repos, "o")
         found = found.unionByName(compared(left, near.where(F.col("r") != F.col("o_r")).select("f", "whole", "o")))
+        # least and greatest holders may be other versions than the one that was copied: what is left is compared with every holder
+        last = cut(left.join(found.select("f").distinct(), "f", "left_anti"))
+        if not last.isEmpty():
+            every = asked.join(last.select("f").distinct(), "f", "left_semi").select("f", "r", "whole", "line").join(theirs, "line").where(F.col("r") != F.col("o_r"))
+            found = found.unionByName(compared(last, every.select("f", "whole", "o").distinct()))
 
     return found.join(names.select("id", "f"), "f").join(names.select(F.col("id").alias("other"), F.col("f").alias("o")), "o").select("id", "other", "contained")
 
