@@ -61,6 +61,19 @@ def test_many_copies_meet_without_pairs(spark):
     assert {got[f"r{k}/src/f{k}.js"] for k in range(30)} == {"vendored"}
 
 
+def test_marks_below_a_licence_block():
+    """Marks stand anywhere in the comments before the first and after the last line of code."""
+    licence = [f"// licence text, line {i}" for i in range(14)]
+    body = ["const a = 1;"] * 6 + ["// generated by toolc, says a comment within code"] + ["f(a);"] * 3
+    marks = lambda *lines: O.comment_marks(list(lines), "r")
+    assert marks(*licence, "// Code generated by toolc. DO NOT EDIT.", *body) == (True, False, False, False)
+    assert marks("/*", *[x[3:] for x in licence], "vendored from lib 1.2.3", "*/", *body) == (False, True, False, False)
+    assert marks("'use strict';", *licence, "// Copyright (c) the r authors", *body) == (False, False, True, False)
+    assert marks(*body, "// Copyright (c) the other authors", *licence) == (False, False, False, True)
+    assert marks(*body, "/*", "Code generated by toolc", *[x[3:] for x in licence], "*/") == (True, False, False, False)
+    assert marks("const b = 2; /* one", "generated by toolc */", *body) == marks(*licence, *body) == (False,) * 4
+
+
 def test_copies_that_make_their_own_lines_frequent(spark):
     """A third of the files are edited copies of one file: its lines are frequent, so nothing rare is left to compare; a shared licence is no copy."""
     base = code("lib", 40).split("\n")

@@ -40,21 +40,58 @@ _UPSTREAM = re.compile(
 _HAND = re.compile(r"(?i)(?<!modify )(?<!edit )(?<!change )(?<!touch )by hand|hand-?written|manually written")
 _LICENCE = re.compile(r"(?i)copyright \(c\)(?: \d{4}(?:-\d{4})?,?)? (?:the )?(\S+) (?:authors|contributors|developers|project)")
 _TOKEN = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)(\s*:)?|(\d[\w.]*)|([A-Za-z_$][\w$]*)|([^\s\w])")
+#: Openings of comments of several lines with their ends, and first lines that are no code yet.
+_BLOCKS, _NO_CODE = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''")), ("<?", '"use strict"', "'use strict'", "@charset")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _LITERAL_LINE = re.compile(r"[\s\[{(]*(?:[-+]?[\d.]+(?:[eE][-+]?\d+)?[fFuUlL]*|0[xX][0-9a-fA-F]+|\"[^\"\n]*\"|'[^'\n]*')(?:[\s,\]\[})({]+(?:[-+]?[\d.]+[fFuUlL]*|0[xX][0-9a-fA-F]+|\"[^\"\n]*\"|'[^'\n]*'))*[\s,\])}\[({]*$")
 
 
+def _comments(lines: list[str]) -> list[str]:
+    """What the comment lines at head and foot of stripped non-blank lines say."""
+    said = [m[1] for x in lines[:6] + lines[-3:] if (m := _COMMENT.match(x))]
+    close = ""
+    for line in lines:
+        m = _COMMENT.match(line)
+        if close:
+            # a plain line within a comment is comment too; within a string only what looks like one
+            if m or close in ("*/", "-->"):
+                said.append(m[1] if m else line)
+            if close in line:
+                close = ""
+        elif m:
+            said.append(m[1])
+            close = next((c for o, c in _BLOCKS if line.startswith(o) and c not in line[len(o) :]), "")
+        elif not line.startswith(_NO_CODE):
+            break
+    k = len(lines)
+    while k:
+        line = lines[k - 1]
+        if line.endswith("*/") and "/*" not in line:
+            j = k - 1
+            while j and "/*" not in lines[j - 1]:
+                j -= 1
+            if not j or not lines[j - 1].startswith("/*"):
+                break
+            said += [m[1] if (m := _COMMENT.match(x)) else x for x in lines[j - 1 : k]]
+            k = j - 1
+        elif m := _COMMENT.match(line):
+            said.append(m[1])
+            k -= 1
+        else:
+            break
+    return said
+
+
 def comment_marks(lines: list[str], repository: str) -> tuple[bool, bool, bool, bool]:
     """(tool, upstream, own, foreign): what comment lines at head and foot say of a file's origin.
 
+    Head and foot are the whole comment blocks before the first and after the last line of code, whatever their
+    length, and at least six and three lines.
     Only what begins a comment counts, so code and comments that mention generators or vendored copies do not.
     """
     tool = upstream = own = foreign = False
-    for line in lines[:6] + lines[-3:]:
-        m = _COMMENT.match(line)
-        if not m:
-            continue
-        said = m[1].rstrip(" */->")
+    for said in _comments(lines):
+        said = said.rstrip(" */->")
         if lic := _LICENCE.match(said):
             if lic[1].lower() == repository.lower():
                 own = True
