@@ -59,3 +59,17 @@ def test_valid(lang, text):
 def test_invalid(lang, text):
     good, _ = ok(text, lang)
     assert not good and confirmed(text, lang)
+
+
+@pytest.mark.parametrize("text", ['{"a": NaN}', "[Infinity, 1]", "-Infinity"])
+def test_json_has_no_constants_beyond_null_true_false(text):
+    pairs, reason = judge(text, "json")
+    assert (reason or not PERMITTED["json"].issuperset(pairs)) and confirmed(text, "json")
+
+
+@pytest.mark.parametrize("lang", ["js", "ts"])
+def test_long_imports(lang):
+    names = ", ".join(f"n{i}" for i in range(5000))
+    assert judge(f"import {{ {names} }} from 'lib'\n", lang)[1] == ""
+    assert judge(f"import {{ {names} }}\n", lang)[1] == "import without source"
+    assert judge(f"import {{ {names} }}\nimport a from 'b'\n", lang)[1] == "import without source"

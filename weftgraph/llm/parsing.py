@@ -318,10 +318,13 @@ def _js_statements(tokens: list[tuple[str, str]]) -> str:
                 return "const without value"
         elif w == "import" and after[0] not in "(." and after[0] != "s" and (k + 1 >= n or after[1] != "="):
             j, depth = k + 1, 0
-            while j < n and j < k + 4000 and not (depth == 0 and t[j][1] == "from"):
+            while j < n and not (depth == 0 and t[j][1] == "from"):
                 depth += (t[j][0] == "{") - (t[j][0] == "}")
                 if t[j][0] in "=" or t[j][0] in ";(" and depth == 0:
                     break
+                # words that begin a statement and cannot stand in an import clause
+                if depth == 0 and t[j][1] in ("import", "export", "const", "let", "var", "function", "class"):
+                    break
                 j += 1
             if j >= n or t[j][1] not in ("from", "=") or t[j][1] == "from" and (j + 1 >= n or t[j + 1][0] != "s"):
                 return "import without source"
@@ -492,11 +495,15 @@ def judge(text: str, lang: str) -> tuple[list[str], str]:
     return sorted(pairs), wrong
 
 
+def _no_constant(name: str):
+    raise ValueError(name)  # NaN and Infinity, which json.loads accepts and JSON does not have
+
+
 def confirmed(text: str, lang: str) -> bool:
     """The exact check where the standard library has a parser; of other languages every finding stands."""
     try:
         if lang == "json":
-            json.loads(text)
+            json.loads(text, parse_constant=_no_constant)
             return False
         if lang == "py":
             with warnings.catch_warnings():
