@@ -34,9 +34,11 @@ _FORMAT = re.compile(
     r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|glpat-[\w-]{16,}|npm_[A-Za-z0-9]{20,}|pypi-[\w-]{20,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|"
     r"A(?:KIA|SIA)[0-9A-Z]{16}|AIza[\w-]{30,}|xox[abposr]-[\w-]{10,}|sk-[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
 )
-#: What makes a line worth judging: words (found in lower case), a digit before a symbol, a password in an address, a long token.
-_SIGNS = ("pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "login", "account", "bearer", "basic", "curl", "' + '", '" + "')
-_SYMBOL = re.compile(r"\d{2}[!?#+$%*&^~@]")
+#: What makes a line worth judging: words (found in lower case), two digits before a symbol in one word, the option of a user, the prefix of a format.
+_SIGNS = ("pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "login", "account", "bearer", "basic", "digest", "jwt", "' + '", '" + "')
+_SYMBOL = re.compile(r"\d{2}[A-Za-z0-9._~-]*[!?#+$%*&^~@]")
+_OPTION = re.compile(r"\s-u|--user[= \s]")
+_PREFIX = re.compile(r"gh[pousr]_|github_pat_|glpat-|npm_|pypi-|[srp]k_(?:live|test)_|A(?:KIA|SIA)[0-9A-Z]|AIza|xox[abposr]-|sk-[A-Za-z0-9_-]|hf_[A-Za-z0-9]|SG\.|eyJ")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----(.*?)(?:-----END \1-----|\Z)", re.S)
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]*://([^\s/:@\"'<>`]*):([^\s@\"'<>`]+)@[^\s\"'<>`]")
 _QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
@@ -238,7 +240,11 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 def _lines(text: str) -> set[int]:
-    """Where the lines begin that hold a sign of a credential."""
+    """Where the lines begin that hold a sign of a credential: a superset of those in which a rule finds one.
+
+    Each rule has its sign: a name or word (named, scheme, said), the option of a user, a digit pair with a later symbol
+    (strong), an address, a prefix of a format or a long token (entropy, also of joined pieces).
+    """
     out: set[int] = set()
     low = text.lower()
     if len(low) != len(text):  # some letters change length: then only what stays in place is lowered
@@ -246,18 +252,17 @@ def _lines(text: str) -> set[int]:
     for sign in _SIGNS:
         p = low.find(sign)
         while p >= 0:
-            after = p + len(sign)
-            if not (sign == "key" and low[after : after + 1] in (",", ")", ".", "s")):
-                out.add(text.rfind("\n", 0, p) + 1)
-            p = low.find(sign, after)
-    for m in _SYMBOL.finditer(text):
-        out.add(text.rfind("\n", 0, m.start()) + 1)
+            out.add(text.rfind("\n", 0, p) + 1)
+            p = low.find(sign, p + len(sign))
+    for signs in (_SYMBOL, _PREFIX, _OPTION):
+        for m in signs.finditer(text):
+            out.add(text.rfind("\n", 0, m.start()) + 1)
     if "://" in text:
         for m in _URL.finditer(text):
             out.add(text.rfind("\n", 0, m.start()) + 1)
     for m in _LONG.finditer(text):
         t = m[0]
-        if not t.isalpha() and (_FORMAT.search(t) or "eyJ" in t or random_looking(t) or "/" in t and random_looking(t.rpartition("/")[2]) or "=" in t and random_looking(t.partition("=")[2])):
+        if not t.isalpha() and (random_looking(t) or "/" in t and random_looking(t.rpartition("/")[2]) or "=" in t and (random_looking(v := t.partition("=")[2]) or "/" in v and random_looking(v.rpartition("/")[2]))):
             out.add(text.rfind("\n", 0, m.start()) + 1)
     return out
 
