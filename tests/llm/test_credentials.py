@@ -83,3 +83,20 @@ def test_prefilter_is_a_superset_of_the_rules(monkeypatch):
     assert all(found[: len(SIGNLESS)])
     monkeypatch.setattr(C, "_lines", lambda text: {0})
     assert [x for x, f in zip(lines, found) if C.find(x) != f] == []
+
+
+@pytest.mark.parametrize("alphabet, n", [("abcdefghijklmnopqrstuvwxyz0123456789", 20), ("abcdefghijklmnopqrstuvwxyz0123456789", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)])
+def test_random_tokens_of_two_classes(alphabet, n):
+    rng = random.Random(n)
+    tokens = ["".join(rng.choices(alphabet, k=n)) for _ in range(2000)]
+    assert sum(map(C.random_looking, tokens)) >= 0.93 * 2000
+    assert not any(map(C.random_looking, ["internationalization2config3", "quoshatel00782drimholver", "COLUMN2OFTABLE3INREPORT4"]))
+
+
+def test_lists_of_keys_are_no_embedded_data():
+    rng = random.Random(2)
+    token = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    for n in (32, 64):
+        assert [g[0] for g in C.find("a = [\n" + "".join(f'  "{token(n)}",\n' for _ in range(4)) + "]\n")] == [2, 3, 4, 5]
+    blob = [token(76) for _ in range(5)] + [token(40)]
+    assert C.find("a = (\n" + "".join(f'  "{x}"\n' for x in blob) + ")\n") == C.find("a = [\n" + "".join(f'  "{x}",\n' for x in blob) + '].join("");\n') == []

@@ -52,6 +52,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 _STRONG = re.compile(r"(?=[^\s]*[A-Z])(?=[^\s]*[a-z])(?=[^\s]*\d{2})[A-Za-z][A-Za-z0-9._~-]{4,40}(?:[!?#+*&^%@$~]|\$[A-Za-z0-9]{1,3})\Z")
 #: Classes of characters: digit, upper, lower, separator.
 _KINDS = str.maketrans({c: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in map(chr, range(33, 127))})
+_CONSONANTS = re.compile(r"(?i)[b-df-hj-np-tv-z]{5}")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BARE = re.compile(r"\s*[\"']?[A-Za-z0-9+/=]{32,}[\"']?\s*[,+]?\s*\Z")
 
@@ -73,6 +74,19 @@ def _alphabet(s: str) -> int:
     return 64
 
 
+def _mixed(kinds: str) -> bool:
+    """Do two classes change as often as chance makes them for this mix, less 2.5 deviations."""
+    n, d = len(kinds), kinds.count("d")
+    p = 2 * d * (n - d) / (n * (n - 1))
+    return sum(map(ne, kinds, kinds[1:])) >= (n - 1) * p - 2.5 * math.sqrt((n - 1) * p * (1 - p))
+
+
+def _wordlike(s: str) -> bool:
+    """Do the letters read like words: vowels as frequent as in words, and no five consonants in a row."""
+    letters = [c for c in s.lower() if c.isalpha()]
+    return sum(c in "aeiou" for c in letters) > 0.33 * len(letters) and not _CONSONANTS.search(s)
+
+
 def random_looking(s: str) -> bool:
     """Is a token too even for words: entropy near the most that its length and alphabet allow, and its classes of characters mixed.
 
@@ -89,7 +103,7 @@ def random_looking(s: str) -> bool:
     if "d" not in present or len(present) < 2:
         return False
     turns = sum(map(ne, letters, letters[1:])) / (n - 1)
-    if turns < (0.35 if len(present) == 3 else 0.3):
+    if turns < (0.35 if len(present) == 3 else 0.3) and not (len(present) == 2 and core.isalnum() and _mixed(letters) and not _wordlike(core)):
         return False
     size = _alphabet(core)
     return size not in (10, 16) and entropy(core) >= SHARE * math.log2(min(n, size))
@@ -218,7 +232,7 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
                 body = m[2].replace("\\n", "")
                 if sum(c.isalnum() for c in body) >= 40 and not _LOOKUP.search(body):
                     found.add((m.start(), m.end(), "key"))
-    k = 0
+    k = until = 0
     for a in sorted(_lines(text)):
         b = text.find("\n", a)
         b = len(text) if b < 0 else b
@@ -228,7 +242,9 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
             # what stands before a block on its line is judged, the block is not
             b = max(a, skip[k][0])
         if b - a >= 8:
-            _line(text, a, b, _in_data(text, a, b), found)
+            if a >= abs(until):
+                until = _data_until(text, a, b)
+            _line(text, a, b, until > a, found)
     out, end, line, at = [], -1, 1, 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
         if s < end:
@@ -267,13 +283,28 @@ def _lines(text: str) -> set[int]:
     return out
 
 
-def _in_data(text: str, a: int, b: int) -> bool:
-    """Is the line one of several that hold nothing but a literal: embedded data."""
+def _data_until(text: str, a: int, b: int) -> int:
+    """Where the lines of literals end that the line text[a:b] begins or continues, negative if they are no embedded data; 0 outside of such.
+
+    Data are three or more lines that hold nothing but a literal, long and all as wide but for the last: one value in
+    lines. Literals between commas are a list, such as one of keys, unless they are joined.
+    """
     if not _BARE.match(text, a, b):
-        return False
-    p = text.rfind("\n", 0, max(0, a - 1)) + 1
-    n = text.find("\n", b + 1)
-    return bool(_BARE.match(text, p, max(p, a - 1)) or _BARE.match(text, b + 1, len(text) if n < 0 else n))
+        return 0
+    while a and _BARE.match(text, p := text.rfind("\n", 0, a - 1) + 1, a - 1):
+        a = p
+    lines, p = [], a
+    while p < len(text):
+        e = text.find("\n", p)
+        e = len(text) if e < 0 else e
+        if not _BARE.match(text, p, e):
+            break
+        lines.append(text[p:e].strip())
+        p = e + 1
+    widths = [len(x.rstrip(" ,+").strip("\"'")) if x[0] in "\"'" else len(x.rstrip(",")) for x in lines]
+    one = len(widths) >= 3 and widths[0] >= 60 and len(set(widths[:-1])) == 1 and widths[-1] <= widths[0]
+    listed = lines[0].endswith(",") and not re.match(r"[^\n]*\b(?:join|concat)\b", text[p : p + 200])
+    return p if one and not listed else -p
 
 
 def redact(text: str | None) -> str | None:
