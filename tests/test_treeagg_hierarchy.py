@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from weftgraph.operators.hierarchy import descendants, hierarchy, tree_links
+from weftgraph.operators.hierarchy import all_descendants, descendants, hierarchy, tree_links
 from weftgraph.operators.treeagg import heavy_keys, tree_aggregate
 
 EDGE = "s string, t string, k string, _ta_m string, n_rows int"
@@ -84,3 +84,20 @@ def test_hierarchy_random_graphs_and_splitter_choices(spark):
 def test_hierarchy_empty(spark):
     df = spark.createDataFrame([], "s string, t string")
     assert hierarchy(tree_links(df, "s", "t"), with_path=True).count() == 0
+
+
+def test_all_descendants_on_and_below_rings(spark):
+    rng = random.Random(8)
+    links = [(f"n{rng.randrange(60)}", f"n{i}") for i in range(60)] + [("r2", "r3"), ("r3", "r1"), ("r1", "r2"), ("r3", "x1"), ("x1", "x2"), ("r1", "y1"), ("c0", "c1"), ("c1", "c2"), ("q1", "q2"), ("q2", "q1")]
+    up = {t: s for s, t in links if s != t}
+    want = {}
+    for x in up:
+        at, d = up[x], 1
+        while at != x and (at, x) not in want:
+            want[at, x] = d
+            if at not in up:
+                break
+            at, d = up[at], d + 1
+    got = [(r["id"], r["below"], r["distance"]) for r in all_descendants(tree_links(spark.createDataFrame(links, "s string, t string"), "s", "t")).collect()]
+    assert len(got) == len(set(got)) and {(a, b): d for a, b, d in got} == want
+    assert want["r1", "r3"] == 2 and want["r1", "x2"] == 4 and want["x1", "x2"] == 1

@@ -164,3 +164,33 @@ def descendants(tree: DataFrame) -> DataFrame:
         .where(F.col("_i") < F.col("_n") - 1)
         .select("id", "below", (F.col("_n") - 1 - F.col("_i")).cast("long").alias("distance"))
     )
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """(id, below, distance): every node below each node of (id, parent) links, on and below rings too.
+
+    A node on a ring has the ring's other nodes below it, at their distance along the ring, and all that hangs on the
+    ring. Trees come from their paths. For the others, rings are cut open at their smallest node, which makes trees
+    whose paths start there; a ring's arcs are then followed once more round.
+    """
+    tree = hierarchy(links, with_path=True)
+    cut = Cut(links.sparkSession, "descendants")
+    tree = cut(tree)
+    # on a ring, the root is its smallest node: without its link the ring and what hangs on it is a tree
+    bad = cut(tree.where("path is null").select("id", "root", (F.col("state") == "ring").alias("on_ring")))
+    if bad.isEmpty():
+        return descendants(tree)
+    opened = cut(hierarchy(links.join(bad.select("id", "root"), "id").where(F.col("id") != F.col("root")).select("id", "parent"), with_path=True))
+    straight = descendants(opened)
+    # each node's place on its ring: how far the node itself, or the ring node it hangs on, is from the root
+    ring = bad.where("on_ring").select(F.col("id").alias("at"), "root")
+    place = opened.select("id", "depth", F.posexplode("path").alias("i", "at")).join(ring, "at").groupBy("id", "root", "depth").agg(F.max("i").cast("long").alias("pos"))
+    size = ring.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    # round the end of the ring: from a ring node to what hangs on an earlier one
+    member = place.where(F.col("depth") == F.col("pos")).select("id", "root", F.col("pos").alias("pos_id"))
+    below = place.select(F.col("id").alias("below"), "root", F.col("pos").alias("pos_below"), F.col("depth").alias("deep"))
+    round_ = (
+        member.join(size, "root").join(below, "root").where(F.col("pos_below") < F.col("pos_id"))
+        .select("id", "below", (F.col("size") - F.col("pos_id") + F.col("deep")).alias("distance"))
+    )
+    return descendants(tree).unionByName(straight).unionByName(round_)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators.hierarchy import descendants, hierarchy, tree_links
+from weftgraph.operators.hierarchy import all_descendants, descendants, hierarchy, tree_links
 from weftgraph.operators.treeagg import heavy_keys, tree_aggregate
 from weftgraph.session import table
 
@@ -39,7 +39,12 @@ def p5_descendants(spark, sf_dir):
     return descendants(hierarchy(_links(spark, sf_dir), with_path=True))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_key_stats, p5_found, p5_paths, p5_descendants)}
+def p5_all_descendants(spark, sf_dir):
+    """All files below every file, rings and what hangs on them included; ``p5_descendants`` has those of trees only."""
+    return all_descendants(_links(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_key_stats, p5_found, p5_paths, p5_descendants, p5_all_descendants)}
 
 _P5_LINKS = "SELECT DISTINCT s, t FROM edges WHERE k = 'reexport' AND t IS NOT NULL AND s IS NOT NULL AND s <> t"
 
