@@ -1,6 +1,10 @@
+import json
+
 import pytest
 
-from weftgraph.llm.parsing import PERMITTED, confirmed, judge
+from weftgraph.llm import parsing
+from weftgraph.llm.lexing import Bad, classes
+from weftgraph.llm.parsing import PERMITTED, confirmed, levels, unparsed
 
 VALID = {
     "js": [
@@ -33,43 +37,81 @@ VALID = {
 }
 
 INVALID = {
-    "js": ["const a = {\n", "const x\n", "import { a }\n", "f(a b)\n", "if (a { b }\n", "const a = 'x\n", "<<<<<<< HEAD\nvar a\n=======\nvar b\n>>>>>>> x\n", "set -e\necho \"a\" || exit 3\n", "function f(a: number) {}\n", "```js\nx\n```\n", "<!DOCTYPE html>\n<html></html>\n", "  1| const a = 1\n", "a = \n"],
+    "js": ["const a = {\n", "const x\n", "import { a }\n", "f(a b)\n", "if (a { b }\n", "const a = 'x\n", "<<<<<<< HEAD\nvar a\n=======\nvar b\n>>>>>>> x\n", "set -e\necho \"a\" || exit 3\n", "function f(a: number) {}\n", "```js\nx\n```\n", "<!DOCTYPE html>\n<html></html>\n", "  1| const a = 1\n", "a = \n", "return 1\n"],
     "ts": ["interface A { x: string;\n", "def f(a):\n  return a\n", "let x = (1;\n", "`a${b`\n"],
-    "go": ["func f() {}\n", "package p\nfunc f() {\n", "package p\nx ] y\n", "package p\n@@ -1 +1 @@\n"],
-    "java": ["class A { int x = ; }", "class A { void f() { }", "package a.b;\nclass A { int[] a = {1, 2; }", "a: b\nc: true\n", "public class A { String s = \"x; }\n"],
-    "c": ["int f(void) { return 1;\n", "int x = ;\n", "a: b\nc: true\n", "int f() { g(1, ); ) }\n", "package a;\nimport java.util.*;\n"],
+    "go": ["func f() {}\n", "package p\nfunc f() {\n", "package p\nx ] y\n", "package p\nfunc f() int {\n\tif x {\n\t} else return 2\n}\n", "package p\n@@ -1 +1 @@\n"],
+    "java": ["class A { int x = ; }", "class A { void f() { }", "package a.b;\nclass A { int[] a = {1, 2; }", "a: b\nc: true\n", "class A { void f() { int = 3; } }", "class A { int f() { return 1 } }", "public class A { String s = \"x; }\n"],
+    "c": ["int f(void) { return 1;\n", "int x = ;\n", "a: b\nc: true\n", "int f() { g(1, ); ) }\n", "int main(void) { return 0 }\n", "void f() { else { } }\n", "package a;\nimport java.util.*;\n"],
     "json": ["{", '{"a": 1,}', "{'a': 1}", '{"a" 1}', "[1 2]", '{"a": 01}', "// x\n{}"],
     "py": ["def f(:\n    pass\n", "if x\n    y\n", "def f():\nreturn 1\n", "  x = 1\ny = 2\n", "try:\n    x\n", "x = (1,\n", "for a in b: :\n    c\n", "from a import\n", "x = 'a\n"],
 }
 
 
-def ok(text, lang):
-    pairs, reason = judge(text, lang)
-    left = [p for p in pairs if p not in PERMITTED[lang]]
-    return (not reason and not left), (reason, left)
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(f"r/{k}.{lang}", t) for k, (lang, t) in enumerate(texts)], "id string, content string")
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    texts = [(lang, t) for pool in (VALID, INVALID) for lang, ts in pool.items() for t in ts]
+    rows = {r["id"]: r for r in unparsed(table(spark, texts)).collect()}
+    return {t: rows[f"r/{k}.{lang}"] for k, (lang, t) in enumerate(texts)}
 
 
 @pytest.mark.parametrize("lang,text", [(k, t) for k, v in VALID.items() for t in v])
-def test_valid(lang, text):
-    good, why = ok(text, lang)
-    assert good or (lang in ("py", "json") and not confirmed(text, lang)), why
+def test_valid(judged, lang, text):
+    assert judged[text]["ok"], judged[text]["reason"]
 
 
 @pytest.mark.parametrize("lang,text", [(k, t) for k, v in INVALID.items() for t in v])
-def test_invalid(lang, text):
-    good, _ = ok(text, lang)
-    assert not good and confirmed(text, lang)
+def test_invalid(judged, lang, text):
+    assert not judged[text]["ok"]
+
+
+def test_levels_shrink_inner_brackets(spark):
+    tokens = spark.createDataFrame([(1, "js", "i(i(i),n);{i}"), (2, "js", "{(i}")], "f long, lang string, kinds string")
+    got = {(r["f"], r["level"]) for r in levels(tokens).collect()}
+    assert {(1, "^i);}"), (1, "(i),n)"), (1, "(i)"), (1, "{i}")} == {x for x in got if x[0] == 1}
+    assert (2, "(i}") in got
+
+
+def test_pairs_decide_by_the_anti_join(spark, monkeypatch):
+    """With every pair permitted, texts that only a pair tells are no longer found."""
+    texts = [("js", "f(a b)\n"), ("go", "package p\nx ] y\n"), ("js", "f(a, b)\n")]
+    found = lambda: {r["id"] for r in unparsed(table(spark, texts)).where("not ok").collect()}
+    assert found() == {"r/0.js", "r/1.go"}
+    signs = "^$insk()[]{};,.:?@#=oO+!u>ENHwdDrRqehb"
+    monkeypatch.setattr(parsing, "PERMITTED", {lang: frozenset(c + a + b for c in "TBPSOA" for a in signs for b in signs) for lang in parsing.LANGUAGES})
+    assert found() == {"r/1.go"}
 
 
 @pytest.mark.parametrize("text", ['{"a": NaN}', "[Infinity, 1]", "-Infinity"])
 def test_json_has_no_constants_beyond_null_true_false(text):
-    pairs, reason = judge(text, "json")
-    assert (reason or not PERMITTED["json"].issuperset(pairs)) and confirmed(text, "json")
+    assert confirmed(text, "json")
 
 
 @pytest.mark.parametrize("lang", ["js", "ts"])
-def test_long_imports(lang):
+def test_long_imports(spark, lang):
     names = ", ".join(f"n{i}" for i in range(5000))
-    assert judge(f"import {{ {names} }} from 'lib'\n", lang)[1] == ""
-    assert judge(f"import {{ {names} }}\n", lang)[1] == "import without source"
-    assert judge(f"import {{ {names} }}\nimport a from 'b'\n", lang)[1] == "import without source"
+    texts = [f"import {{ {names} }} from 'lib'\n", f"import {{ {names} }}\n", f"import {{ {names} }}\nimport a from 'b'\n"]
+    got = {r["id"]: r["reason"] for r in unparsed(table(spark, [(lang, t) for t in texts])).collect()}
+    assert [got[f"r/{k}.{lang}"] for k in range(3)] == [None, "import without source", "import without source"]
+
+
+def test_python_indentation():
+    assert classes("if x:\n    y\n\n  # c\n    z\nw\n", "py") == "gi:N`iNiN~iN"
+    assert classes("f(a,\n  b)\n", "py") == "i(i,i)N"
+    for text in ("if x:\n        y\n    z\n", "if x:\n\ty\n        z\n"):
+        with pytest.raises(Bad):
+            classes(text, "py")
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    rows = [("a/x.json", "{}", 1), ("a/x.json", "{", 2), ("a/x.json", "{", 3), (None, "{", 4), ("a/y.py", None, 5), ("a/z.py", "", 6), ("a/w.PY", "x = = 1\n", 7), ("a/n.txt", "(", 8)]
+    got = {r["id"]: r["ok"] for r in unparsed(spark.createDataFrame(rows, "id string, content string, f int")).collect()}
+    assert got == {"a/x.json": False, "a/w.PY": False}
+    assert unparsed(spark.createDataFrame([], "id string, content string")).count() == 0
+    deep = json.dumps([[1]] * 3).replace("1", "[" * 300 + "]" * 300)
+    assert unparsed(spark.createDataFrame([("d.json", deep), ("e.json", deep[:-1])], "id string, content string")).where("ok").count() == 1

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import ast
 import json
-import re
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.batches import map_arrow, spread
-from weftgraph.llm.lexing import LANGUAGES, Bad, lex
-
-_OPEN = {"(": ")", "[": "]", "{": "}"}
-
+from weftgraph.llm.lexing import COARSE, LANGUAGES, Bad, classes
+from weftgraph.session import Cut
 
 def _pairs(lang: str) -> set[str]:
     """Permissible pairs of a language as ``context + left + right``.
@@ -199,300 +196,126 @@ def _json_pairs() -> set[str]:
 PERMITTED: dict[str, frozenset[str]] = {lang: frozenset(_json_pairs() if lang == "json" else _pairs(lang)) for lang in LANGUAGES}
 
 
-def _annotate(tokens: list[tuple[str, str]], lang: str) -> tuple[str, set[str], str]:
-    """(classes, pairs, what is wrong with the nesting) of a token list.
+# Productions that pairs cannot say, as patterns of what must not stand in a level: the tokens of one bracket pair, or of the
+# whole text (between ^ and $), in which every inner bracket pair is one closing bracket (H after a header).
+_LINE = r"(?:^|(?<=[NQ]))A?"
+_CLAUSE = r"(?![%s])[^NQ]*NQ?%s"
+_LAST = {"js": "oO=a!.,?:>hrdqmDRCVXIFcE", "go": "oO=a+!.,:dP@", "java": r"oOa=+!.,?:>hrYJdqpUb@iknsw)\]", "c": r"oOa=+!.,?:hrYJUbd@iknswey)\]", "py": "oa=+!.,qmFcIfd@", "json": ",:"}
+_LAST["ts"] = _LAST["js"]
+_IMPORT = r"(?<!\.)I(?![)\.s=])(?![^=a;)IXCLVFcf]*(?:fs|=))"
+_JS = (
+    ("const without value", "", r"(?<!\.)C[iwfjWL](?![=:jm])"),
+    ("import without source", "", _IMPORT),
+    ("function without name", "", r"(?<!\.)F(?![iwfjlWLko+)])"),
+    ("class without body", "", r"(?<!\.)c(?![iwfjlWL}r])"),
+    ("return outside a function", "^", r"(?<![.,{])Y(?![:),(=])"),
+)
+#: For each language (reason, the bracket whose level is meant or nothing for all, pattern).
+PRODUCTIONS: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "js": _JS + (("type annotation", "(", ":"), ("type annotation", "^", r"[)H]:"), ("interface", "", r"Wi\}")),
+    "ts": _JS,
+    "go": (("no package clause", "^", r"^N*[^NP]"), ("else without block", "", r"y(?![}g])")),
+    "java": (
+        ("call at top level", "^", r"(?<![@.i])i\)"), ("type without name", "", r"p[=;+?:u!]"),
+        ("statement without end", "{", r"[YJU][^;{}]*$"), ("else alone", "{", r"^y|[^;}]y|^[^h]*y"),
+    ),
+    "c": (("statement without end", "{", r"[YJU][^;{}]*$"), ("else alone", "{", r"^y|[^;}]y|^[^h]*y")),
+    "json": (("nothing", "^", r"^$"),),
+    "py": (
+        ("header without colon", "", _LINE + r"(?:[Fcgxylptz]|[Xv](?!\.))[^:N]*N"),
+        ("block missing", "", r":N(?!Q)"),
+        ("indentation", "", r"(?<!:N)Q"),
+        ("empty header", "", _LINE + r"[gxlpvFc]:"),
+        ("header", "", _LINE + r"[yzt](?!:)"),
+        ("for without in", "", _LINE + r"l[^m:N]*:"),
+        ("def", "", _LINE + r"F(?![iwkMK][)\]])"),
+        ("class", "", _LINE + r"c(?![iwMK])"),
+        ("no statement before", "", r"^[xyXz]"),
+        ("no statement before", "", _LINE + _CLAUSE % ("gx", "x")),
+        ("no statement before", "", _LINE + _CLAUSE % ("gxlpX", "y")),
+        ("no statement before", "", _LINE + _CLAUSE % ("tX", "X")),
+        ("no statement before", "", _LINE + _CLAUSE % ("tXy", "z")),
+        ("try alone", "", r"(?:^|(?<=[NQ]))t:[^NQ]*NQ?(?![Xz])"),
+        ("colon", "", _LINE + r"(?![FcgxylptzXvMK])[^NQ]*:N"),
+        ("import", "", _LINE + r"I(?![^N]*[iwMK)]N)"),
+        ("from without import", "", _LINE + r"f(?:I|(?![^N]*I[^N]+N))"),
+    ),
+}
+_OPENS, _CLOSES, _STRAY, _OPEN_END = "([{`", ")]}~", "\x01", "\x02"
+
+
+def bracket_rows(tokens: DataFrame) -> DataFrame:
+    """(f, lang, pos, txt, depth, next) of (f, lang, kinds): a row for each bracket, with the tokens up to the next one.
+
+    ``depth`` counts the brackets open behind it and ``next`` is the bracket that follows, both over the window of the
+    file's rows. Files are placed by ``f`` before their tokens become rows, so the window shuffles nothing more.
+    """
+    each = tokens.repartition("f").select("f", "lang", F.posexplode(F.split(F.concat(F.lit("^"), "kinds"), r"(?=[()\[\]{}`~])")).alias("pos", "txt"))
+    by_file = Window.partitionBy("f").orderBy("pos")
+    first = F.substring("txt", 1, 1)
+    step = F.when(first.isin(*_OPENS), 1).when(first.isin(*_CLOSES), -1).otherwise(0)
+    return each.select("f", "lang", "pos", "txt", F.sum(step).over(by_file).alias("depth"), F.lead(first).over(by_file).alias("next"))
+
 
-    A closing parenthesis of a header becomes H. Line ends inside parentheses and square brackets say nothing, nor in
-    braces of Python and JSON; elsewhere they do.
+def levels(tokens: DataFrame) -> DataFrame:
+    """(f, lang, level): the tokens of each bracket pair and of each whole text, inner pairs shrunk to their closing bracket.
+
+    Rows of one depth are reduced in the order of the text; where a bracket opens, a level begins. Its last sign is the
+    bracket that closes it; a bracket that closes nothing and a level that nothing closes leave marks.
     """
-    objects = lang == "json"
-    braces_quiet = lang in ("py", "json")
-    text = "".join([c for c, _ in tokens])
-    if lang not in ("js", "ts", "go", "py"):
-        text = text.replace("N", "")
-    pairs: set[str] = set()
-    stack: list[tuple[str, bool]] = []
-    ctx, at, prev, quiet, wrong = "T", 0, "^", False, ""
-    out: list[str] = []
-    for m in _BRACKET.finditer(text):
-        p = m.start()
-        c = text[p]
-        seg = text[at:p]
-        at = p + 1
-        if quiet and "N" in seg:
-            seg = seg.replace("N", "")
-        if c in ")]}":
-            whole = prev + seg + c
-            pairs |= _segment(ctx, whole)
-            if not stack or stack[-1][0] != c:
-                wrong = wrong or "nesting"
-                prev = c
-                out.append(whole[1:])
-                continue
-            prev = "H" if stack.pop()[1] else c
-            top = stack[-1][0] if stack else ""
-            ctx = ("O" if top == "}" else "A" if top == "]" else "T") if objects else _CTX.get(top, "T")
-            quiet = lang != "go" and (top in (")", "]") or braces_quiet and top == "}")
-            out.append(seg + prev)
-        else:
-            whole = prev + seg + c
-            pairs |= _segment(ctx, whole)
-            stack.append((_OPEN[c], c == "(" and (whole[-2] == "h" or whole[-3:-2] == "@")))
-            ctx = ("O" if c == "{" else "A") if objects else {"(": "P", "[": "S", "{": "B"}[c]
-            quiet = lang != "go" and (c != "{" or braces_quiet)
-            prev = c
-            out.append(seg + c)
-    seg = text[at:]
-    if quiet:
-        seg = seg.replace("N", "")
-    pairs |= _segment(ctx, prev + seg)
-    kinds = ("".join(out) + seg).rstrip("N")
-    last = kinds[-1] if kinds else "^"
-    if kinds:
-        pairs.add(ctx + last + "$")
-    return kinds, pairs, wrong or ("unclosed" if stack else "")
-
-
-_BRACKET = re.compile(r"[()\[\]{}]")
-_CTX = {")": "P", "]": "S", "}": "B"}
-
-
-#: Pair sets of stretches seen before; bounded, and started afresh when full.
-_SEEN: dict[tuple[str, str], frozenset[str]] = {}
-
-
-def _segment(ctx: str, classes: str) -> frozenset[str]:
-    """The pairs of a stretch between two brackets; stretches of classes repeat, so they are remembered."""
-    got = _SEEN.get((ctx, classes))
-    if got is None:
-        got = frozenset([ctx + classes[i : i + 2] for i in range(len(classes) - 1)])
-        if len(_SEEN) >= 65536:
-            _SEEN.clear()
-        if len(classes) < 200:
-            _SEEN[ctx, classes] = got
-    return got
-
-
-# Productions that pairs cannot say, as patterns of what must not stand in the class string or the token texts.
-_DANGLING = {"js": set("oO=!.,?:>hrdqDR@E("), "go": set("o=+!.,:d@("), "java": set("oO=+!.,?:>hrdq@iknsw)]"), "c": set("oO=+!.,?:hrd@iknswe])"), "py": set("o=+!.,qd@("), "json": set(",:")}
-_DANGLING["ts"] = _DANGLING["js"]
-
-
-def _statements(tokens: list[tuple[str, str]], kinds: str, lang: str) -> str:
-    """What statement production a text breaks, or nothing."""
-    if kinds and kinds[-1] in _DANGLING[lang] and not (lang in ("js", "ts", "go", "py") and tokens[-1][1] in ("return", "default", "break", "continue", "pass", "yield", "fallthrough", "raise")):
-        return "dangling end"
-    if lang in ("js", "ts"):
-        return _js_statements(tokens) or (_typed(tokens) if lang == "js" else "")
-    if lang == "py":
-        return ""
-    if lang == "go":
-        words = [t for c, t in tokens[:4] if c != "N"]
-        if tokens and words[:1] != ["package"]:
-            return "no package clause"
-    if lang == "java":
-        depth = 0
-        for k, (c, t) in enumerate(tokens):
-            depth += (c == "{") - (c == "}")
-            if depth == 0 and c == "i" and k + 1 < len(tokens) and tokens[k + 1][0] == "(" and (k == 0 or tokens[k - 1][0] not in "@.i"):
-                return "call at top level"
-    return ""
-
-
-def _js_statements(tokens: list[tuple[str, str]]) -> str:
-    t = [x for x in tokens if x[0] != "N"]
-    n = len(t)
-    if not any(c in "dD" for c, _ in t):
-        return ""
-    for k, (c, w) in enumerate(t):
-        if c not in "dD":
-            continue
-        after = t[k + 1] if k + 1 < n else ("", "")
-        if k and t[k - 1][0] == ".":
-            continue
-        if w == "const" and after[0] in "iw":
-            nxt = t[k + 2][1] if k + 2 < n else ""
-            if after[1] == "enum":
-                continue
-            if nxt not in ("=", ":", "of", "in"):
-                return "const without value"
-        elif w == "import" and after[0] not in "(." and after[0] != "s" and (k + 1 >= n or after[1] != "="):
-            j, depth = k + 1, 0
-            while j < n and not (depth == 0 and t[j][1] == "from"):
-                depth += (t[j][0] == "{") - (t[j][0] == "}")
-                if t[j][0] in "=" or t[j][0] in ";(" and depth == 0:
-                    break
-                # words that begin a statement and cannot stand in an import clause
-                if depth == 0 and t[j][1] in ("import", "export", "const", "let", "var", "function", "class"):
-                    break
-                j += 1
-            if j >= n or t[j][1] not in ("from", "=") or t[j][1] == "from" and (j + 1 >= n or t[j + 1][0] != "s"):
-                return "import without source"
-        elif w == "function" and after[0] not in "iwko(+k":
-            return "function without name"
-        elif w == "class" and after[0] not in "iw{r":
-            return "class without body"
-    return ""
-
-
-def _typed(tokens: list[tuple[str, str]]) -> str:
-    """Type annotations, which ECMAScript does not have: a colon in parentheses that no conditional began, interfaces, return types."""
-    stack: list[list] = [["", 0]]
-    prev = prev2 = ("", "")
-    for k, (c, t) in enumerate(tokens):
-        if c in "([{":
-            stack.append([c, 0])
-        elif c in ")]}" and len(stack) > 1:
-            stack.pop()
-        elif c == "?" and t == "?":
-            stack[-1][1] += 1
-        elif c == ":":
-            if stack[-1][1]:
-                stack[-1][1] -= 1
-            elif stack[-1][0] == "(" or prev[0] == ")" and stack[-1][0] == "":
-                return "type annotation"
-        if c == "{" and prev[0] == "i" and prev2[1] == "interface":
-            return "interface"
-        if c != "N":
-            prev2, prev = prev, (c, t)
-    return ""
-
-
-_SIMPLE_HEADS = ("if", "elif", "for", "while", "with", "def", "class", "except")
-
-
-def _python_lines(text: str, tokens: list[tuple[str, str]]) -> str:
-    """Indentation and headers of logical lines: a header ends in a colon and a deeper block follows; others keep their level."""
-    logical: list[tuple[int, list[tuple[str, str]]]] = []
-    depth, cur, i = 0, [], 0
-    for c, t in tokens:
-        if c == "N" and depth == 0:
-            if cur:
-                logical.append((0, cur))
-            cur = []
-            continue
-        if c == "N":
-            continue
-        depth += (c in "([{") - (c in ")]}")
-        cur.append((c, t))
-    if cur:
-        logical.append((0, cur))
-    indents = _indents(text)
-    if indents is None:
-        return "tabs"
-    if len(indents) != len(logical):
-        return "lines"
-    levels, want = [0], False
-    opened: list[tuple[int, str]] = []
-    for ind, (_, line) in zip(indents, logical):
-        if want:
-            if ind <= levels[-1]:
-                return "block missing"
-            levels.append(ind)
-            want = False
-        else:
-            while ind < levels[-1]:
-                levels.pop()
-            if ind != levels[-1]:
-                return "indentation"
-        head = line[0][1]
-        k = 1 if head == "async" and len(line) > 1 else 0
-        head = line[k][1]
-        while opened and (opened[-1][0] > ind or opened[-1][0] == ind and head not in ("except", "finally", "else", "elif")):
-            lvl, h = opened.pop()
-            if h == "try":
-                return "try alone"
-        if line[k][0] in "dhrew" and head in ("def", "class", "if", "elif", "else", "for", "while", "try", "except", "finally", "with"):
-            d, colon = 0, -1
-            lam = 0
-            for n, (c, t) in enumerate(line):
-                d += (c in "([{") - (c in ")]}")
-                lam += t == "lambda" and d == 0
-                if c == ":" and d == 0:
-                    if lam:
-                        lam -= 1
-                    else:
-                        colon = n
-                        break
-            if colon < 0:
-                return "header without colon"
-            want = colon == len(line) - 1
-            if head in _SIMPLE_HEADS and head != "except" and colon == k + 1:
-                return "empty header"
-            if head in ("else", "try", "finally") and colon != k + 1:
-                return "header"
-            if head == "for" and not any(t == "in" for _, t in line[:colon]):
-                return "for without in"
-            if head == "def" and (len(line) < k + 4 or line[k + 1][0] not in "iwk" or line[k + 2][0] not in "(["):
-                return "def"
-            if head == "class" and line[k + 1][0] not in "iw":
-                return "class"
-            if head in ("else", "elif", "except", "finally"):
-                if not opened or opened[-1][0] != ind:
-                    return "no statement before " + head
-                opened[-1] = (ind, head)
-            else:
-                opened.append((ind, head))
-        elif line[-1][0] == ":" and head not in ("match", "case"):
-            return "colon"
-        elif line[-1][0] == ":":
-            want = True
-        elif head == "import" and (len(line) < 2 or line[-1][0] not in "iw)"):
-            return "import"
-        elif head == "from" and line[0][0] == "d":
-            at = next((n for n, (_, t) in enumerate(line) if t == "import"), -1)
-            if at < 2 or at == len(line) - 1:
-                return "from without import"
-    if want:
-        return "block missing"
-    if any(h == "try" for _, h in opened):
-        return "try alone"
-    return ""
-
-
-_PY_SKIP = re.compile(r"(?:[rRbBuUfFtT]{1,2})?(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.|\\\n)*\"|'(?:[^'\\\n]|\\.|\\\n)*')|#[^\n]*|\\\r?\n|[\[({]|[\])}]|\n", re.S)
-_PY_LEAD = re.compile(r"([ \t\f\r]*)(.?)")
-
-
-def _indents(text: str) -> list[int] | None:
-    """Indentation of each logical line in columns (tabs to multiples of eight); None if tabs and blanks contradict each other."""
-    out, depth, start = [], 0, 0
-    joined = False
-    mixed: set[str] = set()
-
-    def lead(p: int) -> None:
-        m = _PY_LEAD.match(text, p)
-        if m[2] and m[2] not in "\n#":
-            ws = m[1].rstrip("\r")
-            out.append(len(ws.expandtabs(8)))
-            if ws:
-                mixed.add("t" if "\t" in ws and " " not in ws else "s" if "\t" not in ws else "m")
-
-    lead(0)
-    for m in _PY_SKIP.finditer(text):
-        c = m[0]
-        if c in ("(", "[", "{"):
-            depth += 1
-        elif c in (")", "]", "}"):
-            depth = max(0, depth - 1)
-        elif c == "\n" and depth == 0:
-            lead(m.end())
-    return None if len(mixed) > 1 and mixed != {"s"} else out
-
-
-def judge(text: str, lang: str) -> tuple[list[str], str]:
-    """(pairs, reason) of a text: the distinct pairs of its tokens, and what lexing, nesting or a production objects to."""
-    try:
-        tokens = lex(text, lang)
-    except Bad as e:
-        return [], f"token {e}"
-    kinds, pairs, wrong = _annotate(tokens, lang)
-    if not wrong and kinds:
-        wrong = _python_lines(text, tokens) if lang == "py" else ""
-        wrong = wrong or _statements(tokens, kinds, lang)
-    if not kinds and lang == "json":
-        wrong = "nothing"
-    return sorted(pairs), wrong
+    closes = F.col("next").isin(*_CLOSES)
+    end = F.when(closes, F.when(F.col("depth") == 0, F.lit(_STRAY)).otherwise(F.col("next"))).when(F.col("next").isNull() & (F.col("depth") > 0), F.lit(_OPEN_END)).otherwise("")
+    rows = bracket_rows(tokens).where("depth >= 0").select("f", "lang", F.struct("depth", "pos", F.concat("txt", end).alias("t")).alias("row"))
+    whole = rows.groupBy("f", "lang").agg(F.array_join(F.array_sort(F.collect_list("row"))["t"], "").alias("all"))
+    return whole.select("f", "lang", F.explode(F.split("all", r"(?=[(\[{`^])")).alias("level"))
+
+
+def _common(column):
+    """The column's classes as members of pairs, by its row's language."""
+    out = column
+    for name in LANGUAGES:
+        if COARSE[name]:
+            out = F.when(F.col("lang") == name, F.translate(column, "".join(COARSE[name]), "".join(COARSE[name].values()))).otherwise(out)
+    return out
+
+
+def read_levels(distinct: DataFrame) -> DataFrame:
+    """(lang, level, broken, ctx, common) of (lang, level): the nesting rule or production that a level breaks, and its members of pairs."""
+    lang, level, open_ = F.col("lang"), F.col("level"), F.substring("level", 1, 1)
+    root = F.col("open") == "^"
+    end = F.substring(level, -1, 1)
+    wrong = F.when(level.contains(_STRAY), "nesting").when(level.contains(_OPEN_END), "unclosed").when(~(open_ == "^") & (end != F.translate(open_, _OPENS, _CLOSES)), "nesting")
+    inner = F.when(open_ == "^", F.expr("substring(level, 2)")).otherwise(F.expr("substring(level, 2, greatest(length(level) - 2, 0))"))
+    # line ends say nothing inside ( and [, nor in braces of Python and JSON
+    quiet = (open_.isin("(", "[") & (lang != "go")) | ((open_ == "{") & lang.isin("py", "json"))
+    out = distinct.select("lang", "level", open_.alias("open"), wrong.alias("wrong"), F.when(quiet, F.translate(inner, "N", "")).otherwise(inner).alias("body"))
+    cancelled = F.translate("body", "N", "")
+    for _ in range(4):
+        cancelled = F.regexp_replace(cancelled, r"\?[^?:]*:", "k")  # a conditional takes its colon along
+    typed = (lang == "js") & F.col("open").isin("(", "^") & F.col("body").contains(":")
+    lambdas = F.when(F.col("body").contains("L"), F.regexp_replace(F.regexp_replace("body", "L[^:L]*:", "k"), "L[^:L]*:", "k")).otherwise(F.col("body"))
+    flat = F.when(lang.isin("js", "ts"), F.translate("body", "N", "")).when(lang == "py", F.translate(lambdas, "~", "Q")).otherwise(F.col("body"))
+    common = _common(F.col("body"))
+    common = F.when(root, F.concat(F.lit("^"), F.regexp_replace(common, "N+$", ""), F.lit("$"))).otherwise(F.concat(F.translate("open", "`", "N"), common, F.translate(F.substring("level", -1, 1), "~", "N")))
+    ctx = F.when(lang == "json", F.translate("open", "^{[(", "TOAT")).otherwise(F.translate("open", "^`([{", "TTPSB"))
+    out = out.select("lang", "level", "open", "wrong", "body", flat.alias("flat"), F.when(typed, cancelled).alias("typed"), ctx.alias("ctx"), F.regexp_replace(common, r"(h|@.)\)", "$1H").alias("common"))
+    hits = [F.col("wrong")]
+    for name, rules in PRODUCTIONS.items():
+        for reason, o, rx in rules:
+            text = F.col("typed") if reason == "type annotation" else F.col("flat")
+            hits.append(F.when((lang == name) & text.rlike(rx) & ((F.col("open") == o) if o else F.lit(True)), F.lit(reason)))
+    for name, last in _LAST.items():
+        hits.append(F.when((lang == name) & root & F.regexp_replace("common", "H", ")").isNotNull() & F.rtrim(F.translate("body", "N", " ")).rlike(f"[{last}]$"), F.lit("dangling end")))
+    return out.select("lang", "level", F.coalesce(*hits).alias("broken"), "ctx", "common")
+
+
+def pair_rows(read: DataFrame) -> DataFrame:
+    """(lang, level, pair): each two neighbouring tokens of each level; an inner bracket pair is seen from its left as its opening bracket."""
+    n = F.length("common")
+    at = read.where(F.col("common") != "^$").select("lang", "level", "ctx", "common", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
+    right = F.substring("common", F.col("i") + 1, F.lit(1))
+    right = F.when(F.col("i") + 1 < F.col("n"), F.translate(right, ")]}H", "([{(")).otherwise(right)
+    return at.select("lang", "level", F.concat("ctx", F.substring("common", F.col("i"), F.lit(1)), right).alias("pair"))
 
 
 def _no_constant(name: str):
@@ -518,35 +341,49 @@ def confirmed(text: str, lang: str) -> bool:
 def unparsed(files: DataFrame) -> DataFrame:
     """(id, lang, ok, reason) of every (id, content) whose name ends in one of seven extensions, one row an id.
 
-    1. Each text is lexed to token classes; its distinct adjacent pairs, with the bracket they stand in, are its rows.
-    2. The pairs are anti-joined with the pairs that the language's grammar permits (a fixed table of a few thousand rows,
-       made from rules): a pair left over is no text of the language.
-    3. Nesting is reduced by a stack over the brackets, and productions that pairs cannot say are checked: Python's
-       indentation and headers, imports and declarations, what may stand last.
-    4. Findings in Python and JSON are confirmed by the standard library's parsers, which only remove findings.
+    1. Each text is lexed to token classes (``lexing.classes``), which become rows at their brackets (``bracket_rows``).
+    2. Nesting: a running count of brackets over each file's rows gives their depth; the rows of one depth are reduced to
+       levels (``levels``), the tokens of one bracket pair with inner pairs shrunk to one sign. Python's blocks nest likewise.
+    3. Statement productions, and what a level ends in, are checked on levels; levels repeat, so each one is read once.
+    4. The adjacent tokens of each level are rows too: an anti-join with the pairs that the language's grammar permits (a
+       fixed table of some thousand rows, made from rules) leaves those that no valid text has.
+    5. Findings in Python and JSON are confirmed by the standard library's parsers, which only remove findings.
 
-    Texts stay in the partition that reads them; what is shuffled is one row a file. Null and empty contents are not
-    judged; several contents of one id are judged each, one invalid one is enough. Null ids are dropped; the extension is
-    compared without case.
+    What is shuffled are token classes, one byte a token. Null and empty contents are not judged; several contents of
+    one id are judged each, one invalid one is enough. Null ids are dropped; the extension is compared without case.
     """
     spark = files.sparkSession
+    cut = Cut(spark, "parsing")
     ext = F.lower(F.regexp_extract("id", r"\.([A-Za-z]+)$", 1))
-    have = files.where(F.col("id").isNotNull() & (F.length("content") > 0)).select("id", ext.alias("lang"), "content").where(F.col("lang").isin(*LANGUAGES))
-
-    def fn(cols):
-        out: list[list] = [[], [], [], [], []]
-        permitted = PERMITTED
-        for i, lang, t in zip(*cols):
-            pairs, reason = judge(t, lang)
-            suspect = bool(reason) or not permitted[lang].issuperset(pairs)
-            for c, v in zip(out, (i, lang, pairs, reason, not suspect or confirmed(t, lang))):
-                c.append(v)
-        return out
-
-    lexed = map_arrow(spread(have), fn, "id string, lang string, pairs array<string>, reason string, stands boolean")
-    table = F.broadcast(spark.createDataFrame([(lang, p, True) for lang in LANGUAGES for p in sorted(PERMITTED[lang])], "lang string, pair string, permitted boolean"))
-    # the anti-join: pairs without a partner in the table stay; a text without tokens keeps a row of its own
-    rows = lexed.select("id", "lang", F.nullif(F.col("reason"), F.lit("")).alias("reason"), "stands", F.explode_outer("pairs").alias("pair")).join(table, ["lang", "pair"], "left")
-    odd = F.when(F.col("permitted").isNull() & F.col("pair").isNotNull(), F.concat(F.lit("pair "), F.col("pair")))
-    fault = F.when(F.col("stands"), F.coalesce("reason", odd))
-    return rows.groupBy("id", "lang").agg(F.min(fault).alias("reason")).select("id", "lang", F.col("reason").isNull().alias("ok"), "reason")
+    have = files.where(F.col("id").isNotNull() & (F.length("content") > 0)).select("id", ext.alias("lang"), F.xxhash64("id", "content").alias("f"), "content").where(F.col("lang").isin(*LANGUAGES))
+
+    def lexed(cols):
+        ids, langs, fs, texts = cols
+        kinds, reasons = [], []
+        for lang, t in zip(langs, texts):
+            try:
+                k, r = classes(t, lang), None
+            except Bad as e:
+                k, r = None, f"token {e}"
+            kinds.append(k)
+            reasons.append(r)
+        return [ids, langs, fs, kinds, reasons]
+
+    lex = cut(map_arrow(spread(have), lexed, "id string, lang string, f long, kinds string, reason string"))
+    level = cut(levels(lex.where("reason is null").select("f", "lang", "kinds").dropDuplicates(["f"])))
+    read = cut(read_levels(level.select("lang", "level").distinct()))
+    permitted = F.broadcast(spark.createDataFrame([(lang, p) for lang in LANGUAGES for p in sorted(PERMITTED[lang])], "lang string, pair string"))
+    odd = pair_rows(read).join(permitted, ["lang", "pair"], "left_anti").select("lang", "level", F.concat(F.lit("pair "), "pair").alias("fault"))
+    faults = read.where("broken is not null").select("lang", "level", F.col("broken").alias("fault")).unionByName(odd).groupBy("lang", "level").agg(F.min("fault").alias("fault"))
+    found = level.join(faults, ["lang", "level"]).select("f", "fault").unionByName(lex.where("reason is not null").select("f", F.col("reason").alias("fault")))
+    found = cut(found.groupBy("f").agg(F.min("fault").alias("fault")))
+
+    def stands(cols):
+        fs, langs, texts = cols
+        return [fs, [confirmed(t, lang) for t, lang in zip(texts, langs)]]
+
+    again = have.where(F.col("lang").isin("py", "json")).join(found, "f", "left_semi").select("f", "lang", "content")
+    cleared = map_arrow(again, stands, "f long, stands boolean").where("not stands").select("f").distinct()
+    faulty = found.join(cleared, "f", "left_anti")
+    rows = lex.select("id", "lang", "f").join(faulty, "f", "left")
+    return rows.groupBy("id", "lang").agg(F.min("fault").alias("reason")).select("id", "lang", F.col("reason").isNull().alias("ok"), "reason")
