@@ -9,7 +9,7 @@ lost, though only about one position in ``W / 2`` is ever shuffled.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.batches import map_arrow, spread
@@ -45,10 +45,9 @@ def _groups(pieces):
 
 
 def token_edges(docs: DataFrame, min_len: int = MIN_LEN, q: int = Q, w: int = W) -> DataFrame:
-    """(doc_id, pos, len, key, long_len, long_key) of (doc_id, text): the edges of each text of at least ``min_len`` characters.
+    """(doc_id, pos, len, key) of (doc_id, text): the edges of each text of at least ``min_len`` characters.
 
-    ``key`` identifies the characters of a run of tokens of ``min_len - 3 * w + 3`` characters or more, ``long_key``
-    those of a run of ``min_len`` or more from the same place (null near the end of the text).
+    ``key`` identifies the characters of a run of tokens of ``min_len - 3 * w + 3`` characters or more.
     """
     least = min_len - 3 * w + 3
     if least < q:
@@ -71,26 +70,20 @@ def token_edges(docs: DataFrame, min_len: int = MIN_LEN, q: int = Q, w: int = W)
                 j = np.searchsorted(m, m + (least - q))
                 use = (j < len(m)) & (m >= b + first) & (m < b + last)
                 s, end = m[use], m[j[use]] + q
-                k = np.searchsorted(m, s + (min_len - q))
-                far = m[np.minimum(k, len(m) - 1)] + q
-                has = k < len(m)
-                out.append((np.full(len(s), row), s - b + off, end - s, roll.spans(s, end).view(np.int64), np.where(has, far - s, 0), roll.spans(s, far).view(np.int64)))
+                out.append((np.full(len(s), row), s - b + off, end - s, roll.spans(s, end).view(np.int64)))
         if not out:
             return None
-        row, pos, ln, key, far, long_key = (np.concatenate(x) for x in zip(*out))
+        row, pos, ln, key = (np.concatenate(x) for x in zip(*out))
         import pyarrow as pa
 
-        return [
-            pa.array(ids).cast(id_type).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(ln.astype(np.int32)), pa.array(key),
-            pa.array(far.astype(np.int32)), pa.array(long_key, mask=far == 0),
-        ]
+        return [pa.array(ids).cast(id_type).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(ln.astype(np.int32)), pa.array(key)]
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = docs.schema["doc_id"].dataType.simpleString()
     long_enough = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= min_len))
-    return map_arrow(spread(long_enough), fn, f"doc_id {kind}, pos int, len int, key long, long_len int, long_key long")
+    return map_arrow(spread(long_enough), fn, f"doc_id {kind}, pos int, len int, key long")
 
 
 def _repeated(df: DataFrame, key: str) -> DataFrame:
@@ -106,10 +99,9 @@ def compact(cut: Cut, occurrences: DataFrame) -> DataFrame:
     e and f merge if every occurrence of e is followed by f and every occurrence of f is preceded by e, each time at
     the same distance. Links of e to f then form paths (and rings), which pointer doubling labels by their first edge
     in a logarithmic number of joins; ``at`` is the distance in characters from that edge. A ring, which a text that repeats one
-    period makes, keeps its edges as unitigs of their own.
+    period makes, keeps its edges as unitigs of their own: a walk of length d passes walks of every smaller length, so
+    the first round in which the number of open walks stays as it is proves that all of these go round rings.
     """
-    from pyspark.sql import Window
-
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
     near = occurrences.select(
         "doc_id", "pos", "key", F.lead("key").over(by_doc).alias("next"), F.lag("key").over(by_doc).alias("prev"),
@@ -121,33 +113,74 @@ def compact(cut: Cut, occurrences: DataFrame) -> DataFrame:
     ))
     back = nodes.where(F.col("prev").isNotNull()).select(F.col("key").alias("next"), F.col("prev").alias("key"))
     links = nodes.where(F.col("next").isNotNull()).select("key", "next", "step").join(back, ["key", "next"]).where(F.col("key") != F.col("next"))
-    up = cut(links.select(F.col("next").alias("key"), F.col("key").alias("to"), F.col("step").cast("long").alias("at")))
+    up = cut(links.select(F.col("next").alias("key"), F.col("key").alias("to"), F.col("step").cast("long").alias("at"), F.lit(True).alias("open")))
+    before = -1
     while True:
         ahead = up.select(F.col("key").alias("to"), F.col("to").alias("to2"), F.col("at").alias("at2"))
-        new = cut(
-            up.join(ahead, "to", "left").select(
-                "key", F.coalesce("to2", "to").alias("to"), (F.col("at") + F.coalesce("at2", F.lit(0))).alias("at"), F.col("to2").isNotNull().alias("more"),
-            )
+        new = up.where("open").join(ahead, "to", "left").select(
+            "key", F.coalesce("to2", "to").alias("to"), (F.col("at") + F.coalesce("at2", F.lit(0))).alias("at"), F.col("to2").isNotNull().alias("open"),
         )
-        # at a ring the walk never ends: its distance passes any text's length
-        open_ = new.where(F.col("more") & (F.col("at") < F.lit(1 << 40))).limit(1).count()
-        Cut.drop(up)
-        up = new.drop("more")
-        if not open_:
+        old, up = up, cut(up.where("not open").unionByName(new), left=F.coalesce(F.sum(F.col("open").cast("long")), F.lit(0)))
+        Cut.drop(old)
+        left = up._weft_seen["left"]
+        if not left or left == before:
             break
-    far = F.col("at") >= F.lit(1 << 40)
-    return nodes.select("key").join(up, "key", "left").select(
-        "key", F.when(F.col("to").isNull() | far, F.col("key")).otherwise(F.col("to")).alias("unitig"),
-        F.when(F.col("to").isNull() | far, F.lit(0)).otherwise(F.col("at")).cast("long").alias("at"),
+        before = left
+    led = up.where("not open").select("key", "to", "at")
+    return nodes.select("key").join(led, "key", "left").select("key", F.coalesce("to", "key").alias("unitig"), F.coalesce("at", F.lit(0)).cast("long").alias("at"))
+
+
+def _runs(cut: Cut, edges: DataFrame) -> DataFrame:
+    """(doc_id, unitig, from_, to_, end_): where the merged paths of all shared edges stand, with the starts of first and last edge.
+
+    Every occurrence of one edge of a path is an occurrence of the whole path, so all runs of a unitig have the same
+    length, and stand in two documents at least.
+    """
+    shared = cut(edges.join(_repeated(edges, "key"), "key", "left_semi"))
+    paths = compact(cut, shared.select("doc_id", "pos", "key"))
+    return cut(
+        shared.join(paths, "key")
+        .groupBy("doc_id", "unitig", (F.col("pos") - F.col("at")).alias("_start"))
+        .agg(F.min("pos").alias("from_"), F.max("pos").alias("to_"), F.max(F.col("pos") + F.col("len")).alias("end_"))
+        .drop("_start")
     )
 
 
-def _windows(docs: DataFrame, places: DataFrame, min_len: int, w: int) -> DataFrame:
-    """(doc_id, pos, hash) of every stretch of ``min_len`` characters that may begin with one of ``places`` as its first edge.
+def _slices(docs: DataFrame, claims: DataFrame, min_len: int) -> DataFrame:
+    """(doc_id, group, slice) of (doc_id, group, at): the ``min_len`` characters of the document at each place."""
+    at = claims.groupBy("doc_id").agg(F.collect_set(F.struct("group", "at")).alias("_at"))
+    have = docs.select("doc_id", "text").where(F.length("text") >= min_len).join(small(at), "doc_id").select("doc_id", "text", F.explode("_at").alias("_c"))
+    return have.select("doc_id", F.col("_c.group").alias("group"), F.substring("text", F.col("_c.at") + 1, F.lit(min_len)).alias("slice")).where(F.length("slice") == min_len)
 
-    ``places`` has (doc_id, from_, to_), starts of first and last edge of a merged path in a document.
+
+def same_text(cut: Cut, docs: DataFrame, claims: DataFrame, min_len: int) -> DataFrame:
+    """doc_id of those of (doc_id, group, at) whose characters at that place equal those of another document of the group.
+
+    Claims come from hashes; here the characters themselves are compared. Each document first asks with one claim,
+    against the least document of its group, whose characters each group lends once whatever its size. Documents that this
+    leaves open (unequal texts of equal hash) are compared within their groups, text by text.
     """
-    starts = places.groupBy("doc_id").agg(F.collect_list(F.struct("from_", "to_")).alias("at"))
+    claims = cut(claims.distinct())
+    least = claims.groupBy("group").agg(F.min(F.struct("doc_id", "at")).alias("lo"), F.max(F.struct("doc_id", "at")).alias("hi")).where(F.col("lo.doc_id") != F.col("hi.doc_id"))
+    least = cut(least.select("group", F.col("lo.doc_id").alias("doc_id"), F.col("lo.at").alias("at"), F.col("hi.doc_id").alias("hi_doc"), F.col("hi.at").alias("hi_at")))
+    ask = cut(claims.join(least.select("group"), "group", "left_semi").groupBy("doc_id").agg(F.min(F.struct("group", "at")).alias("c")).select("doc_id", "c.group", "c.at"))
+    asked = least.join(ask.select("group").distinct(), "group", "left_semi")
+    both = ask.unionByName(asked.select("doc_id", "group", "at")).unionByName(asked.select(F.col("hi_doc").alias("doc_id"), "group", F.col("hi_at").alias("at"))).distinct()
+    read = cut(_slices(docs, cut(both), min_len))
+    lent = read.join(least.select("group", "doc_id"), ["group", "doc_id"], "left_semi").select("group", F.col("doc_id").alias("_least"), F.col("slice").alias("_slice"))
+    equal = read.join(lent, "group").where((F.col("slice") == F.col("_slice")) & (F.col("doc_id") != F.col("_least")))
+    found = cut(equal.select(F.explode(F.array("doc_id", "_least")).alias("doc_id")).distinct())
+    open_ = cut(claims.join(found, "doc_id", "left_anti").join(least.select("group"), "group", "left_semi"))
+    if open_.isEmpty():
+        return found
+    rest = cut(_slices(docs, claims.join(open_.select("group").distinct(), "group", "left_semi"), min_len))
+    twice = rest.groupBy("group", "slice").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where(F.col("_a") != F.col("_b")).select("group", "slice")
+    return found.unionByName(rest.join(twice, ["group", "slice"], "left_semi").select("doc_id")).distinct()
+
+
+def _windows(cut: Cut, docs: DataFrame, places: DataFrame, min_len: int) -> DataFrame:
+    """(doc_id, pos, hash) of every stretch of ``min_len`` characters that begins at one of ``places`` (doc_id, lo, hi)."""
+    starts = cut(places.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("at")))
     have = docs.select("doc_id", "text").join(small(starts), "doc_id")
 
     def fn(cols):
@@ -159,7 +192,7 @@ def _windows(docs: DataFrame, places: DataFrame, min_len: int, w: int) -> DataFr
             n = len(t) - min_len + 1
             mark = np.zeros(n + 1, np.int64)
             for a in at:
-                lo, hi = max(0, a["from_"] - w + 1), min(n, a["to_"] + 1)
+                lo, hi = max(0, a["lo"]), min(n, a["hi"] + 1)
                 if lo < hi:
                     mark[lo] += 1
                     mark[hi] -= 1
@@ -182,14 +215,20 @@ def _windows(docs: DataFrame, places: DataFrame, min_len: int, w: int) -> DataFr
     return map_arrow(have, fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, hash long")
 
 
+def _round(runs: DataFrame, w: int) -> DataFrame:
+    """Places of all stretches whose first edge is one of a run's: they begin less than ``w`` characters before it at the earliest."""
+    return runs.select("doc_id", (F.col("from_") - (w - 1)).alias("lo"), F.col("to_").alias("hi"))
+
+
 def shared_documents(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> DataFrame:
     """doc_id of every document that has ``min_len`` consecutive characters in common with another doc_id.
 
-    1. Long edges (``min_len`` characters or more) that stand in two documents settle their documents at once.
-    2. What is left are edges of unsettled documents that stand elsewhere too. Their graph is compacted
-       (``compact``); its paths say where a document can share a stretch.
-    3. Source coordinates decide: every stretch of exactly ``min_len`` characters that can begin at such a path is
-       compared by its hash, for the unsettled documents and for whoever holds the same edges.
+    1. Edges that stand in two documents are compacted along nonbranching paths (``compact``).
+    2. A path of ``min_len`` characters or more is a long repeated span: the characters at its source coordinates are
+       compared (``same_text``), which settles the documents it stands in.
+    3. Documents that have shorter paths alone can share a stretch that runs over several of them or beyond their ends:
+       every stretch of exactly ``min_len`` characters that begins at such a path is compared, by hash for all
+       documents that hold the path, and then by its characters.
 
     Groups are kept as (least, greatest id) while they are counted, so an edge that a third of all documents hold is
     never gathered; work in step 3 is in proportion to characters, not to pairs.
@@ -198,56 +237,36 @@ def shared_documents(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> Dat
     the same document. The ids' type is kept; other columns are ignored.
     """
     cut = Cut(docs.sparkSession, "spans")
-    edges = cut(token_edges(docs, min_len, w=w))
-    long_ = edges.where(F.col("long_key").isNotNull())
-    settled = cut(long_.join(_repeated(long_, "long_key"), "long_key", "left_semi").select("doc_id").distinct())
-    places, open_docs = _open_paths(cut, edges, settled, w)
-    win = cut(_windows(docs, places, min_len, w))
-    mine = win.join(open_docs, "doc_id", "left_semi")
-    late = mine.join(_repeated(win, "hash"), "hash", "left_semi").select("doc_id").distinct()
+    runs = _runs(cut, cut(token_edges(docs, min_len, w=w)))
+    long_ = runs.where(F.col("end_") - F.col("from_") >= min_len)
+    settled = same_text(cut, docs, long_.select("doc_id", F.col("unitig").alias("group"), F.col("from_").alias("at")), min_len)
+    open_ = cut(runs.join(settled, "doc_id", "left_anti"))
+    open_docs = cut(open_.select("doc_id").distinct())
+    places = _round(runs.join(open_.select("unitig").distinct(), "unitig", "left_semi"), w)
+    win = cut(_windows(cut, docs, places, min_len))
+    mine = win.join(open_docs, "doc_id", "left_semi").join(_repeated(win, "hash"), "hash", "left_semi").select("hash").distinct()
+    claims = win.join(mine, "hash", "left_semi").select("doc_id", F.col("hash").alias("group"), F.col("pos").alias("at"))
+    late = same_text(cut, docs, claims, min_len).join(open_docs, "doc_id", "left_semi")
     return settled.unionByName(late)
 
 
-def _open_paths(cut: Cut, edges: DataFrame, settled: DataFrame, w: int) -> tuple[DataFrame, DataFrame]:
-    """Merged paths (doc_id, from_, to_) that hold an edge of an unsettled document and of another one; the unsettled documents."""
-    open_keys = edges.join(settled, "doc_id", "left_anti").select("key").distinct()
-    near = edges.join(open_keys, "key", "left_semi").select("doc_id", "pos", "key")
-    near = cut(near)
-    shared = cut(near.join(_repeated(near, "key"), "key", "left_semi"))
-    open_docs = cut(shared.select("doc_id").distinct().join(settled, "doc_id", "left_anti"))
-    paths = compact(cut, shared)
-    places = (
-        shared.join(paths, "key")
-        .groupBy("doc_id", "unitig", (F.col("pos") - F.col("at")).alias("_start"))
-        .agg(F.min("pos").alias("from_"), F.max("pos").alias("to_"))
-        .select("doc_id", "from_", "to_")
-    )
-    return cut(places), open_docs
-
-
 def shared_coverage(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> DataFrame:
     """(doc_id, n_chars, shared_chars, n_spans, share): how much of each document stands, in stretches of ``min_len`` or more, elsewhere.
 
-    Exact to the character: repeated long edges cover the inner part of shared stretches; round them, every stretch of
-    ``min_len`` characters that begins at an edge shared by two documents is compared too. Documents that
-    share nothing have 0; a null text has n_chars 0 and share 0.
+    The compacted paths of ``min_len`` characters or more cover the inner part of shared stretches. What runs beyond a
+    path's ends, or over several short ones, is told by the stretches of ``min_len`` characters that begin there; where
+    these are follows from the path alone, so all documents that hold it compare the same ones. Documents that share nothing have 0;
+    a null text has n_chars 0 and share 0. Spans are told apart by 64-bit hashes of their characters.
     """
-    from pyspark.sql import Window
-
     cut = Cut(docs.sparkSession, "coverage")
-    edges = cut(token_edges(docs, min_len, w=w))
-    long_ = edges.where(F.col("long_key").isNotNull())
-    inner = cut(long_.join(_repeated(long_, "long_key"), "long_key", "left_semi").select("doc_id", "pos", F.col("long_len").alias("len")))
-    shared = cut(edges.join(_repeated(edges, "key"), "key", "left_semi").select("doc_id", "pos", "key"))
-    rim = shared.join(inner.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    # a stretch that begins before a run of repeated long edges may have any edge of the run's first w characters as its first
-    runs = inner.select("doc_id", "pos", F.lag("pos").over(by_doc).alias("_p")).withColumn("_s", F.when(F.col("_p").isNull() | (F.col("pos") - F.col("_p") > w), F.col("pos")))
-    first = runs.withColumn("_s", F.last("_s", ignorenulls=True).over(by_doc)).where(F.col("pos") - F.col("_s") < w).select("doc_id", "pos")
-    # whoever else holds such an edge is compared there as well, though it may lie inside a longer stretch of theirs
-    ends = rim.select("key").unionByName(shared.join(first, ["doc_id", "pos"], "left_semi").select("key")).distinct()
-    places = shared.join(ends, "key", "left_semi").select("doc_id", F.col("pos").alias("from_"), F.col("pos").alias("to_"))
-    win = cut(_windows(docs, cut(places), min_len, w))
+    runs = _runs(cut, cut(token_edges(docs, min_len, w=w)))
+    size = F.col("end_") - F.col("from_")
+    long_ = runs.where(size >= min_len)
+    inner = long_.select("doc_id", F.col("from_").alias("pos"), size.alias("len"))
+    before = long_.select("doc_id", (F.col("from_") - (w - 1)).alias("lo"), (F.col("from_") - 1).alias("hi"))
+    beyond = long_.select("doc_id", (F.col("end_") - (min_len - 1)).alias("lo"), F.col("to_").alias("hi"))
+    places = _round(runs.where(size < min_len), w).unionByName(before).unionByName(beyond)
+    win = cut(_windows(cut, docs, places, min_len))
     outer = win.join(_repeated(win, "hash"), "hash", "left_semi").select("doc_id", "pos", F.lit(min_len).alias("len"))
     spans = inner.unionByName(outer).select("doc_id", F.col("pos").cast("long").alias("a"), (F.col("pos") + F.col("len")).cast("long").alias("b"))
     over = Window.partitionBy("doc_id").orderBy("a", "b")
@@ -271,14 +290,10 @@ def shared_coverage(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> Data
 def unitigs(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> DataFrame:
     """(unitig, span_chars, n_docs): the merged paths of all edges that two documents share, spanning ``min_len`` or more."""
     cut = Cut(docs.sparkSession, "unitigs")
-    edges = cut(token_edges(docs, min_len, w=w).select("doc_id", "pos", "len", "key"))
-    shared = cut(edges.join(_repeated(edges, "key"), "key", "left_semi"))
-    paths = compact(cut, shared.select("doc_id", "pos", "key"))
+    runs = _runs(cut, cut(token_edges(docs, min_len, w=w)))
+    span = (F.col("end_") - F.col("from_")).cast("long")
     return (
-        shared.join(paths, "key")
-        .groupBy("unitig", "doc_id")
-        .agg(F.max(F.col("at") + F.col("len")).cast("long").alias("span_chars"))
-        .groupBy("unitig")
-        .agg(F.max("span_chars").alias("span_chars"), F.count(F.lit(1)).alias("n_docs"))
-        .where(F.col("span_chars") >= min_len)
+        runs.where(span >= min_len)
+        .groupBy("unitig", "doc_id").agg(F.max(span).alias("span_chars"))
+        .groupBy("unitig").agg(F.max("span_chars").alias("span_chars"), F.count(F.lit(1)).alias("n_docs"))
     )
