@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only while it has at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only while its values take at most so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without that setting (a test) gets a
-    folder of its own on this machine.
+    A cluster names it in ``spark.checkpoint.dir``. Without that setting a session whose executors are threads of
+    this process gets a folder of its own on this machine; any other one is refused, since its executors share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         own = os.path.join(tempfile.gettempdir(), f"weftgraph-{os.getpid()}")
         os.makedirs(own, exist_ok=True)
         named = f"file://{own}"
@@ -47,7 +51,8 @@ def _remove(path: str) -> None:
 
 
 @atexit.register
-def _remove_all() -> None:
+def release() -> None:
+    """Removes every table written so far. A long session calls it when it has read the results of its queries; at exit it runs by itself."""
     for path in list(_LIVE):
         _remove(path)
 
@@ -82,7 +87,26 @@ class Cut:
             _remove(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``rows`` rows; otherwise ``df`` as it stands (shuffled)."""
-    seen = df.limit(rows + 1).count()
-    return F.broadcast(df) if seen <= rows else df
+def _width(column, kind: T.DataType):
+    """Bytes of a value, as far as its type tells them apart."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(column)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
+            return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(_width(x, kind.elementType), F.lit(0)).cast("long") + 8)
+        return F.size(column) * 8
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_width(column[f.name], f.dataType), F.lit(0)) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(column), T.ArrayType(kind.keyType)) + _width(F.map_values(column), T.ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values take at most ``most`` bytes; otherwise ``df`` as it stands (its join is shuffled).
+
+    The bytes are summed in one job over ``df``, so callers give a table that a ``Cut`` wrote, not a lineage to run twice.
+    """
+    wide = sum((F.coalesce(_width(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema.fields), F.lit(16))
+    held = df.agg(F.sum(wide.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
