@@ -248,9 +248,10 @@ def bracket_rows(tokens: DataFrame) -> DataFrame:
     """(f, lang, pos, txt, depth, next) of (f, lang, kinds): a row for each bracket, with the tokens up to the next one.
 
     ``depth`` counts the brackets open behind it and ``next`` is the bracket that follows, both over the window of the
-    file's rows. Files are placed by ``f`` before their tokens become rows, so the window shuffles nothing more.
+    file's rows. Files are placed by ``f`` before their tokens become rows, so the window shuffles nothing more; repeated
+    files count once.
     """
-    each = tokens.repartition("f").select("f", "lang", F.posexplode(F.split(F.concat(F.lit("^"), "kinds"), r"(?=[()\[\]{}`~])")).alias("pos", "txt"))
+    each = tokens.dropDuplicates(["f"]).select("f", "lang", F.posexplode(F.split(F.concat(F.lit("^"), "kinds"), r"(?=[()\[\]{}`~])")).alias("pos", "txt"))
     by_file = Window.partitionBy("f").orderBy("pos")
     first = F.substring("txt", 1, 1)
     step = F.when(first.isin(*_OPENS), 1).when(first.isin(*_CLOSES), -1).otherwise(0)
@@ -311,11 +312,11 @@ def read_levels(distinct: DataFrame) -> DataFrame:
 
 def pair_rows(read: DataFrame) -> DataFrame:
     """(lang, level, pair): each two neighbouring tokens of each level; an inner bracket pair is seen from its left as its opening bracket."""
-    n = F.length("common")
-    at = read.where(F.col("common") != "^$").select("lang", "level", "ctx", "common", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
-    right = F.substring("common", F.col("i") + 1, F.lit(1))
-    right = F.when(F.col("i") + 1 < F.col("n"), F.translate(right, ")]}H", "([{(")).otherwise(right)
-    return at.select("lang", "level", F.concat("ctx", F.substring("common", F.col("i"), F.lit(1)), right).alias("pair"))
+    # one pass over a level gives its pairs, however long it is
+    two = F.regexp_extract_all("common", F.lit(r"(?s)(?=(..))"), F.lit(1))
+    at = read.where(F.col("common") != "^$").select("lang", "level", "ctx", F.length("common").alias("n"), F.posexplode(two).alias("i", "two"))
+    inner = F.concat(F.substring("two", 1, 1), F.translate(F.substring("two", 2, 1), ")]}H", "([{("))
+    return at.select("lang", "level", F.concat("ctx", F.when(F.col("i") + 2 < F.col("n"), inner).otherwise(F.col("two"))).alias("pair"))
 
 
 def _no_constant(name: str):
@@ -370,7 +371,7 @@ def unparsed(files: DataFrame) -> DataFrame:
         return [ids, langs, fs, kinds, reasons]
 
     lex = cut(map_arrow(spread(have), lexed, "id string, lang string, f long, kinds string, reason string"))
-    level = cut(levels(lex.where("reason is null").select("f", "lang", "kinds").dropDuplicates(["f"])))
+    level = cut(levels(lex.where("reason is null").select("f", "lang", "kinds")))
     read = cut(read_levels(level.select("lang", "level").distinct()))
     permitted = F.broadcast(spark.createDataFrame([(lang, p) for lang in LANGUAGES for p in sorted(PERMITTED[lang])], "lang string, pair string"))
     odd = pair_rows(read).join(permitted, ["lang", "pair"], "left_anti").select("lang", "level", F.concat(F.lit("pair "), "pair").alias("fault"))
