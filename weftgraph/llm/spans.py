@@ -146,34 +146,35 @@ def _runs(cut: Cut, edges: DataFrame) -> DataFrame:
     )
 
 
-def _slices(docs: DataFrame, claims: DataFrame, min_len: int) -> DataFrame:
+def _slices(cut: Cut, docs: DataFrame, claims: DataFrame, min_len: int) -> DataFrame:
     """(doc_id, group, slice) of (doc_id, group, at): the ``min_len`` characters of the document at each place."""
-    at = claims.groupBy("doc_id").agg(F.collect_set(F.struct("group", "at")).alias("_at"))
+    at = cut(claims.groupBy("doc_id").agg(F.collect_set(F.struct("group", "at")).alias("_at")))
     have = docs.select("doc_id", "text").where(F.length("text") >= min_len).join(small(at), "doc_id").select("doc_id", "text", F.explode("_at").alias("_c"))
     return have.select("doc_id", F.col("_c.group").alias("group"), F.substring("text", F.col("_c.at") + 1, F.lit(min_len)).alias("slice")).where(F.length("slice") == min_len)
 
 
-def same_text(cut: Cut, docs: DataFrame, claims: DataFrame, min_len: int) -> DataFrame:
-    """doc_id of those of (doc_id, group, at) whose characters at that place equal those of another document of the group.
+def same_text(cut: Cut, docs: DataFrame, claims: DataFrame, mine: DataFrame | None, min_len: int) -> DataFrame:
+    """doc_id of those of (doc_id, group, at), of the documents ``mine`` or all, whose characters there equal those of another document of the group.
 
-    Claims come from hashes; here the characters themselves are compared. Each document first asks with one claim,
-    against the least document of its group, whose characters each group lends once whatever its size. Documents that this
-    leaves open (unequal texts of equal hash) are compared within their groups, text by text.
+    Claims come from hashes; here the characters themselves are compared. Each document asks with one claim, against the
+    least and greatest document of its group, so a group of any size is never gathered. Documents that this leaves open
+    (unequal texts of equal hash) are compared within all their groups, text by text.
     """
-    claims = cut(claims.distinct())
-    least = claims.groupBy("group").agg(F.min(F.struct("doc_id", "at")).alias("lo"), F.max(F.struct("doc_id", "at")).alias("hi")).where(F.col("lo.doc_id") != F.col("hi.doc_id"))
-    least = cut(least.select("group", F.col("lo.doc_id").alias("doc_id"), F.col("lo.at").alias("at"), F.col("hi.doc_id").alias("hi_doc"), F.col("hi.at").alias("hi_at")))
-    ask = cut(claims.join(least.select("group"), "group", "left_semi").groupBy("doc_id").agg(F.min(F.struct("group", "at")).alias("c")).select("doc_id", "c.group", "c.at"))
-    asked = least.join(ask.select("group").distinct(), "group", "left_semi")
-    both = ask.unionByName(asked.select("doc_id", "group", "at")).unionByName(asked.select(F.col("hi_doc").alias("doc_id"), "group", F.col("hi_at").alias("at"))).distinct()
-    read = cut(_slices(docs, cut(both), min_len))
-    lent = read.join(least.select("group", "doc_id"), ["group", "doc_id"], "left_semi").select("group", F.col("doc_id").alias("_least"), F.col("slice").alias("_slice"))
-    equal = read.join(lent, "group").where((F.col("slice") == F.col("_slice")) & (F.col("doc_id") != F.col("_least")))
-    found = cut(equal.select(F.explode(F.array("doc_id", "_least")).alias("doc_id")).distinct())
-    open_ = cut(claims.join(found, "doc_id", "left_anti").join(least.select("group"), "group", "left_semi"))
+    place = F.struct("doc_id", "at")
+    groups = claims.groupBy("group").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo.doc_id") != F.col("hi.doc_id"))
+    asking = claims if mine is None else claims.join(mine, "doc_id", "left_semi")
+    ask = cut(asking.join(groups, "group").groupBy("doc_id").agg(F.min(F.struct("group", "at", "lo", "hi")).alias("c")).select("doc_id", "c.group", "c.at", "c.lo", "c.hi"))
+    both = ask.select("group", F.explode(F.array(place, "lo", "hi")).alias("p")).select("p.doc_id", "group", "p.at").distinct()
+    read = cut(_slices(cut, docs, both, min_len))
+    lent = read.join(ask.select("group", F.explode(F.array("lo.doc_id", "hi.doc_id")).alias("doc_id")).distinct(), ["group", "doc_id"], "left_semi")
+    lent = lent.select("group", F.col("doc_id").alias("_other"), F.col("slice").alias("_slice"))
+    equal = read.join(lent, "group").where((F.col("slice") == F.col("_slice")) & (F.col("doc_id") != F.col("_other")))
+    found = cut(equal.select(F.explode(F.array("doc_id", "_other")).alias("doc_id")).distinct())
+    open_ = ask.join(found, "doc_id", "left_anti")
     if open_.isEmpty():
         return found
-    rest = cut(_slices(docs, claims.join(open_.select("group").distinct(), "group", "left_semi"), min_len))
+    again = asking.join(open_.select("doc_id"), "doc_id", "left_semi").select("group").distinct()
+    rest = cut(_slices(cut, docs, claims.join(again, "group", "left_semi").distinct(), min_len))
     twice = rest.groupBy("group", "slice").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where(F.col("_a") != F.col("_b")).select("group", "slice")
     return found.unionByName(rest.join(twice, ["group", "slice"], "left_semi").select("doc_id")).distinct()
 
@@ -224,14 +225,16 @@ def shared_documents(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> Dat
     """doc_id of every document that has ``min_len`` consecutive characters in common with another doc_id.
 
     1. Edges that stand in two documents are compacted along nonbranching paths (``compact``).
-    2. A path of ``min_len`` characters or more is a long repeated span: the characters at its source coordinates are
-       compared (``same_text``), which settles the documents it stands in.
-    3. Documents that have shorter paths alone can share a stretch that runs over several of them or beyond their ends:
-       every stretch of exactly ``min_len`` characters that begins at such a path is compared, by hash for all
-       documents that hold the path, and then by its characters.
+    2. A path of ``min_len`` characters or more is a long repeated span; the characters at its source coordinates settle
+       its documents (``same_text``).
+    3. Where two texts begin to differ, a path ends: a longer stretch that runs over several short paths begins or ends
+       near an end of one. The stretches of ``min_len`` characters that begin at a path's start, or end at its end, are compared
+       for the documents still open and whoever holds the same paths.
+    4. What is left can share a stretch that is hardly longer than ``min_len``: every one that begins at a path of an
+       open document is compared.
 
     Groups are kept as (least, greatest id) while they are counted, so an edge that a third of all documents hold is
-    never gathered; work in step 3 is in proportion to characters, not to pairs.
+    never gathered; work in steps 3 and 4 is in proportion to paths and characters, not to pairs. Hashes propose, characters decide.
 
     Null and empty texts, texts shorter than ``min_len`` and null ids share nothing. Repeated rows of one doc_id are
     the same document. The ids' type is kept; other columns are ignored.
@@ -239,15 +242,16 @@ def shared_documents(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> Dat
     cut = Cut(docs.sparkSession, "spans")
     runs = _runs(cut, cut(token_edges(docs, min_len, w=w)))
     long_ = runs.where(F.col("end_") - F.col("from_") >= min_len)
-    settled = same_text(cut, docs, long_.select("doc_id", F.col("unitig").alias("group"), F.col("from_").alias("at")), min_len)
-    open_ = cut(runs.join(settled, "doc_id", "left_anti"))
-    open_docs = cut(open_.select("doc_id").distinct())
-    places = _round(runs.join(open_.select("unitig").distinct(), "unitig", "left_semi"), w)
-    win = cut(_windows(cut, docs, places, min_len))
-    mine = win.join(open_docs, "doc_id", "left_semi").join(_repeated(win, "hash"), "hash", "left_semi").select("hash").distinct()
-    claims = win.join(mine, "hash", "left_semi").select("doc_id", F.col("hash").alias("group"), F.col("pos").alias("at"))
-    late = same_text(cut, docs, claims, min_len).join(open_docs, "doc_id", "left_semi")
-    return settled.unionByName(late)
+    settled = same_text(cut, docs, long_.select("doc_id", F.col("unitig").alias("group"), F.col("from_").alias("at")), None, min_len)
+    ends = lambda r: r.select("doc_id", F.explode(F.array("from_", F.col("end_") - min_len)).alias("lo")).where("lo >= 0").distinct().withColumn("hi", F.col("lo"))
+    for places in (ends, lambda r: _round(r, w)):
+        open_ = cut(runs.select("doc_id", "unitig").distinct().join(settled, "doc_id", "left_anti"))
+        if open_.isEmpty():
+            break
+        win = cut(_windows(cut, docs, places(runs.join(open_.select("unitig").distinct(), "unitig", "left_semi")), min_len))
+        late = same_text(cut, docs, win.select("doc_id", F.col("hash").alias("group"), F.col("pos").alias("at")), open_.select("doc_id").distinct(), min_len)
+        settled = cut(settled.unionByName(late).distinct())
+    return settled
 
 
 def shared_coverage(docs: DataFrame, min_len: int = MIN_LEN, w: int = W) -> DataFrame:
