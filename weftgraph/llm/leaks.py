@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,17 +100,38 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, longest, end
 
 
-def _items(rows: list[tuple], n: int, run: int):
+def word_id(word: str) -> int:
+    """A word's id: 63 bits of its hash, never 0; the same whatever other words there are."""
+    return (xxhash.xxh3_64_intdigest(word) >> 1) | 1
+
+
+def _items(rows: list[tuple], n: int):
     """Vocabulary, word ids of each item, and its n-grams: [(item, ids, grams)]."""
     vocab: dict[str, int] = {}
     items = []
     for item, text in rows:
-        ids = np.array([vocab.setdefault(w, len(vocab) + 1) for w in words(shown(text or ""))], np.int64)
+        found = words(shown(text or ""))
+        vocab.update((w, word_id(w)) for w in found if w not in vocab)
+        ids = np.array([vocab[w] for w in found], np.int64)
         if len(ids) >= n:
             items.append((item, ids, _grams(ids, n)))
     return vocab, items
 
 
+def _sole(items: DataFrame, n: int) -> DataFrame:
+    """(gram, item_id): the n-grams that one item alone holds, of all items whatever block they are taken in."""
+
+    def fn(cols):
+        got = [(i, np.unique(_grams(np.array([word_id(w) for w in words(shown(t))], np.int64), n))) for i, t in zip(*cols)]
+        got = [(i, g) for i, g in got if len(g)]
+        if not got:
+            return None
+        return [pa.array([i for i, g in got for _ in range(len(g))]), pa.array(np.concatenate([g for _, g in got]))]
+
+    each = map_arrow(items.select("item_id", "text"), fn, f"item_id {items.schema['item_id'].dataType.simpleString()}, gram long")
+    return each.groupBy("gram").agg(F.min("item_id").alias("item_id"), F.max("item_id").alias("_b")).where(F.col("item_id") == F.col("_b")).select("gram", "item_id")
+
+
 def _hits(docs: DataFrame, vocab: dict[str, int], known: np.ndarray, n: int) -> DataFrame:
     """(doc_id, start, ids, grams): stretches of documents round places where an n-gram of any item stands.
 
@@ -135,7 +157,7 @@ def _hits(docs: DataFrame, vocab: dict[str, int], known: np.ndarray, n: int) ->
                 a, b = max(0, int(part[0]) - CONTEXT), min(len(ids), int(part[-1]) + n + CONTEXT)
                 rows.append(i)
                 starts.append(a)
-                outs.append(ids[a:b].astype(np.int32))
+                outs.append(ids[a:b])
                 grams.append(np.unique(g[part]))
         if not rows:
             return None
@@ -145,30 +167,25 @@ def _hits(docs: DataFrame, vocab: dict[str, int], known: np.ndarray, n: int) ->
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     have = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return map_arrow(spread(have), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, ids array<int>, grams array<long>")
+    return map_arrow(spread(have), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, ids array<long>, grams array<long>")
 
 
-def _seeds(items: list, counts: dict[int, int], run: int, n: int) -> list[tuple]:
-    """(gram, item): for each run of ``run`` words of an item its rarest n-gram, and n-grams that one item alone has.
+def _seeds(items: list, counts: dict[int, int], sole: set, run: int, n: int) -> list[tuple]:
+    """(gram, item): for each run of ``run`` words of an item its rarest n-gram, and the n-grams that no other item has (``sole``).
 
     A stretch of ``run`` words in a document brings all n-grams of the run with it, the rarest among them: no such
-    stretch is missed. Runs with an n-gram that the corpus never has need no seed. N-grams of one item alone find
-    edited copies too, and stock instructions, which many items share, start no alignment of their own.
+    stretch is missed, stock instructions that many items share included. Runs with an n-gram that the corpus never has
+    need no seed. N-grams of one item alone find edited copies too.
     """
-    held: dict[int, int] = {}
-    for _, _, g in items:
-        for x in set(g.tolist()):
-            held[x] = held.get(x, 0) + 1
     out = set()
     for item, ids, g in items:
         g = g.tolist()
         span = max(1, min(run, len(ids)) - n + 1)
         for i in range(len(g) - span + 1):
-            window = g[i : i + span]
-            least = min(window, key=lambda x: (counts.get(x, 0), x))
+            least = min(g[i : i + span], key=lambda x: (counts.get(x, 0), x))
             if counts.get(least, 0):
                 out.add((least, item))
-        out.update((x, item) for x in g if held[x] == 1 and counts.get(x, 0))
+        out.update((x, item) for x in g if x in sole and counts.get(x, 0))
     return sorted(out)
 
 
@@ -180,7 +197,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, n: int = N, block:
     perfect copy of the item, ``at`` the word of the document at which the best alignment ends. One row a pair.
 
     The items are the stated query set: they are taken in blocks of ``block`` against all documents, so vocabulary and
-    n-grams on the driver have that bound whatever their number. Documents are read once a block; only stretches
+    n-grams on the driver have that bound whatever their number; words, n-grams and what makes one rare or sole do not
+    depend on the block, so the rows are the same for any ``block``. Documents are read once a block; only stretches
     round n-grams of items leave that pass, and pairs arise from seeds alone.
 
     Null and empty texts of either side give no rows, nor do items of fewer than ``n`` words. Repeated rows of an id
@@ -189,25 +207,27 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, n: int = N, block:
     spark = docs.sparkSession
     cut = Cut(spark, "leaks")
     clean = items.select("item_id", "text").where(F.col("item_id").isNotNull() & (F.length("text") > 0))
-    item_type, doc_type = items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    item_type, doc_type = (d.schema[c].dataType.simpleString() for d, c in ((items, "item_id"), (docs, "doc_id")))
     schema = f"item_id {item_type}, doc_id {doc_type}, run int, score int, identity double, at int"
-    total = clean.count()
-    blocks = -(-total // block)
+    blocks = -(-clean.count() // block)
     if not blocks:
         return spark.createDataFrame([], schema)
+    sole = cut(_sole(clean, n))
     if blocks > 1:
         clean = cut(clean.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
     out = None
     for b in range(blocks):
         part = clean.where(F.col("_b") == b).drop("_b") if blocks > 1 else clean
-        got = _block(cut, docs, [tuple(r) for r in part.toLocalIterator()], run, n, schema, item_type, doc_type)
+        rows = [tuple(r) for r in part.select("item_id", "text").toLocalIterator()]
+        own = {r[0] for r in sole.join(part.select("item_id").distinct(), "item_id", "left_semi").select("gram").toLocalIterator()}
+        got = _block(cut, docs, rows, own, run, n, schema, item_type)
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def _block(cut, docs, rows, run, n, schema, item_type, doc_type):
+def _block(cut, docs, rows, sole, run, n, schema, item_type):
     spark = docs.sparkSession
-    vocab, items = _items(rows, n, run)
+    vocab, items = _items(rows, n)
     if not items:
         return spark.createDataFrame([], schema)
     known = np.unique(np.concatenate([g for _, _, g in items]))
@@ -215,14 +235,14 @@ def _block(cut, docs, rows, run, n, schema, item_type, doc_type):
     each = hits.select(F.explode("grams").alias("gram"))
     # at most one row for each n-gram of the block's items
     counts = {r[0]: r[1] for r in each.groupBy("gram").count().toLocalIterator()}
-    seeds = spark.createDataFrame([(int(g), i) for g, i in _seeds(items, counts, run, n)], f"gram long, item_id {item_type}")
-    texts = spark.createDataFrame([(i, k, x.tolist()) for k, (i, x, _) in enumerate(items)], f"item_id {item_type}, _k int, item_ids array<int>")
+    seeds = spark.createDataFrame([(int(g), i) for g, i in _seeds(items, counts, sole, run, n)], f"gram long, item_id {item_type}")
+    texts = spark.createDataFrame([(i, k, x.tolist()) for k, (i, x, _) in enumerate(items)], f"item_id {item_type}, _k int, item_ids array<long>")
     pairs = (
         hits.select("doc_id", "start", F.explode("grams").alias("gram"))
-        .join(small(seeds), "gram")
+        .join(small(cut(seeds)), "gram")
         .select("doc_id", "start", "item_id")
         .distinct()
-        .join(small(texts), "item_id")
+        .join(small(cut(texts)), "item_id")
         .join(hits.select("doc_id", "start", "ids").dropDuplicates(["doc_id", "start", "ids"]), ["doc_id", "start"])
         .select("item_id", "doc_id", "start", "item_ids", "ids")
     )
