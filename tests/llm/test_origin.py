@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from weftgraph.llm import origin as O
 from weftgraph.session import Cut
 
@@ -108,7 +110,32 @@ def test_copies_of_any_version_as_by_brute_force(spark):
                 want.add(f)
     df = spark.createDataFrame([(f, sorted(x)) for f, x in held.items()], "id string, lines array<long>")
     got = O.copies(Cut(spark, "copies"), df, spark.createDataFrame([(m,) for m in marked], "id string"))
-    assert len(want) >= 12 and {r["id"] for r in got.collect()} == want
+    assert len(want) >= 12 and {r["id"] for r in got.where("marked").collect()} == want
+    # without marks the same lines find the same copies, and whoever else is contained in an unmarked file
+    bare = O.copies(Cut(spark, "bare"), df, spark.createDataFrame([], "id string"))
+    got = {(r["id"], r["marked"]) for r in bare.collect()}
+    pairs = lambda f, counted: any(o.split("/")[0] != f.split("/")[0] and len(counted & x) / len(counted) >= O.CONTAINED for o, x in held.items() if o != f)
+    every = set()
+    for f, lines in held.items():
+        rare = {x for x in lines if n[x] <= common}
+        every |= {(f, False) for counted in [rare] + [lines] * (len(rare) < 0.5 * len(lines)) if len(counted) >= O.FEWEST and pairs(f, counted)}
+    assert got == every and {f for f, _ in every} >= want
+
+
+def test_unmarked_copies_come_through_the_index(spark, monkeypatch):
+    """An edited copy without any hint in name, directory or comment: the file seen first is the origin. Without the index nothing tells it."""
+    base = code("lib", 40).split("\n")
+    edited = lambda k: "\n".join(x if i % 20 != k else f"changed line {k}.{i} here" for i, x in enumerate(base))
+    contents = [("one/src/parse.js", "\n".join(base)), ("two/app/reader.js", edited(3)), ("three/core/scan.js", edited(7)), ("one/src/again.js", edited(9)), ("four/x/own.js", code("own", 30))]
+    t = lambda d: datetime(2024, 1, d)
+    files = [("two/app/reader.js", t(5)), ("one/src/parse.js", t(2)), ("one/src/parse.js", t(9)), ("three/core/scan.js", None), ("four/x/own.js", t(1)), ("one/src/again.js", t(3))]
+    f = spark.createDataFrame([(i, "js", 100, 1, d, 0, "z") for i, d in files], FILE)
+    c = spark.createDataFrame(contents, "id string, content string")
+    found = lambda: {r["id"] for r in O.origins(f, c).where("kind = 'vendored'").collect()}
+    assert found() == {"two/app/reader.js", "three/core/scan.js"}
+    none = lambda cut, lines, marked: lines.where("false").select("id", F.col("id").alias("other"), F.lit(1.0).alias("contained"), F.lit(True).alias("marked"))
+    monkeypatch.setattr(O, "copies", none)
+    assert found() == set()
 
 
 def test_empty(spark):

@@ -170,66 +170,97 @@ def _features(files: DataFrame) -> DataFrame:
     return map_arrow(spread(have), fn, "id string, tool boolean, upstream boolean, own boolean, foreign boolean, squeezed boolean, data boolean, kept boolean, lines array<long>")
 
 
-def copies(cut: Cut, lines: DataFrame, marked: DataFrame) -> DataFrame:
-    """(id, other, contained): for (id, lines), files that hold at least ``CONTAINED`` of their lines in common with a marked file of another repository.
+def _containing(cut: Cut, held: DataFrame, holders: DataFrame, repos: DataFrame) -> DataFrame:
+    """(f, o, contained): files that hold at least ``CONTAINED`` of their counted lines in common with a holder ``o`` of another repository.
 
-    What counts of a file are its rare lines; of a file most of whose lines are frequent (a library copied into many
-    repositories makes its lines frequent), all its lines of code. ``contained`` is a lower bound where votes settle it.
+    ``held``: (f, r, line, rare, k, a, b), each line of each file with the number of holders, the least and the greatest
+    one, null where no other repository has one. ``holders``: (o, line). ``repos``: (o, o_r).
 
-    An inverted index keeps for each line how many files and how many marked ones hold it, the least and greatest
-    marked holder and their repositories: no pairs. A file can only be a copy if that share of its lines is held by
-    marked files of other repositories at all. Each line of such a file votes for its two marked holders, and enough
-    votes for one of them prove the copy, so a group of any size is settled at its common holders. The others are
-    compared, on the line sets, with the holders of those lines of which a copy must share one: first with the least and
-    greatest of them, then, if no copy is found, with all, so no marked file that contains a file is missed.
+    A file can only be a copy if that share of its lines is held elsewhere at all. Each line of such a file votes for its
+    two holders, and enough votes for one of them prove the copy, so a group of any size is settled at its common holders.
+    The others are compared, on the line sets, with the holders of those lines of which a copy must share one: first with the
+    least and greatest of them, then, if no copy is found, with all, so no holder that contains a file is missed.
     """
-    repo = F.xxhash64(F.substring_index("id", "/", 1))
-    names = cut(lines.select("id", F.xxhash64("id").alias("f"), repo.alias("r")).distinct())
-    flagged = lines.join(small(marked.select("id").distinct().withColumn("m", F.lit(True))), "id", "left")
-    each = cut(flagged.select(F.xxhash64("id").alias("f"), repo.alias("r"), F.col("m").isNotNull().alias("m"), F.explode("lines").alias("line")).distinct())
-    common = max(COMMON_LEAST, int(COMMON_SHARE * names.count()))
-    of_marked = lambda c: F.when(F.col("m"), F.col(c))
-    index = each.groupBy("line").agg(
-        F.count(F.lit(1)).alias("n"), F.count(of_marked("f")).alias("k"), F.min(of_marked("f")).alias("a"), F.max(of_marked("f")).alias("b"),
-        F.min(of_marked("r")).alias("r_lo"), F.max(of_marked("r")).alias("r_hi"),
-    )
-    out = F.coalesce((F.col("r_lo") != F.col("r")) | (F.col("r_hi") != F.col("r")), F.lit(False))
-    held = cut(
-        each.join(index, "line").select("f", "r", "line", (F.col("n") <= common).alias("rare"), *[F.when(out, F.col(c)).alias(c) for c in ("k", "a", "b")])
-    )
     code, shared, total = F.col("line").bitwiseAND(1) == 0, F.col("k").isNotNull(), lambda c: F.sum(c.cast("long"))
     stats = held.groupBy("f").agg(
         F.count(F.lit(1)).alias("n"), total(F.col("rare")).alias("rare"), total(F.col("rare") & shared).alias("rare_out"), total(code).alias("code"), total(code & shared).alias("code_out")
     )
-    some = lambda whole, size, both, when: stats.where(when & (F.col(size) >= FEWEST) & (F.col(both) / F.col(size) >= CONTAINED)).select("f", F.lit(whole).alias("whole"), F.col(size).alias("size"), F.col(both).alias("both"))
-    todo = cut(some(False, "rare", "rare_out", F.lit(True)).unionByName(some(True, "code", "code_out", F.col("rare") < 0.5 * F.col("n"))))
+    some = lambda whole, size, both, when: F.when(when & (F.col(size) >= FEWEST) & (F.col(both) / F.col(size) >= CONTAINED), F.struct(F.lit(whole).alias("whole"), F.col(size).alias("size"), F.col(both).alias("both")))
+    ways = F.array_compact(F.array(some(False, "rare", "rare_out", F.lit(True)), some(True, "code", "code_out", F.col("rare") < 0.5 * F.col("n"))))
+    todo = cut(stats.select("f", F.inline(ways)))
     counts = F.when(F.col("whole"), code).otherwise(F.col("rare"))
     mine = cut(held.where(shared).join(small(todo), "f").where(counts).select("f", "r", "whole", "line", "k", "a", "b", "size", "both"))
-    repos = names.select(F.col("f").alias("o"), F.col("r").alias("o_r"))
     enough = (F.col("n") / F.col("size")).alias("contained")
     voted = mine.select("f", "r", "whole", "size", F.explode(F.array_distinct(F.array("a", "b"))).alias("o")).groupBy("f", "r", "whole", "size", "o").agg(F.count(F.lit(1)).alias("n"))
     found = cut(voted.select("f", "r", "o", enough).where(F.col("contained") >= CONTAINED).join(repos, "o").where(F.col("r") != F.col("o_r")).select("f", "o", "contained"))
-    theirs = each.where("m").select(F.col("f").alias("o"), F.col("r").alias("o_r"), "line")
 
     def compared(left: DataFrame, pairs: DataFrame) -> DataFrame:
-        both = left.select("f", "whole", "size", "line").join(pairs, ["f", "whole"]).join(theirs.select("o", "line"), ["o", "line"])
+        both = left.select("f", "whole", "size", "line").join(pairs, ["f", "whole"]).join(holders, ["o", "line"])
         return cut(both.groupBy("f", "whole", "o", "size").agg(F.count(F.lit(1)).alias("n")).select("f", "o", enough).where(F.col("contained") >= CONTAINED))
 
     # a copy lacks fewer than `both - need + 1` of its shared lines, so its holder has one of so many: those with fewest holders are asked
     need = F.ceil(F.col("size") * CONTAINED - 1e-9)
     least = Window.partitionBy("f", "whole").orderBy("k", "line")
     left = cut(mine.join(found.select("f").distinct(), "f", "left_anti"))
-    if not left.isEmpty():
-        asked = cut(left.withColumn("_i", F.row_number().over(least)).where(F.col("_i") <= F.col("both") - need + 1).select("f", "r", "whole", "line", "a", "b"))
-        near = asked.select("f", "r", "whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("o")).distinct().join(repos, "o")
-        found = found.unionByName(compared(left, near.where(F.col("r") != F.col("o_r")).select("f", "whole", "o")))
-        # least and greatest holders may be other versions than the one that was copied: what is left is compared with every holder
-        last = cut(left.join(found.select("f").distinct(), "f", "left_anti"))
-        if not last.isEmpty():
-            every = asked.join(last.select("f").distinct(), "f", "left_semi").select("f", "r", "whole", "line").join(theirs, "line").where(F.col("r") != F.col("o_r"))
-            found = found.unionByName(compared(last, every.select("f", "whole", "o").distinct()))
+    if left.isEmpty():
+        return found
+    asked = cut(left.withColumn("_i", F.row_number().over(least)).where(F.col("_i") <= F.col("both") - need + 1).select("f", "r", "whole", "line", "a", "b"))
+    near = asked.select("f", "r", "whole", F.explode(F.array_distinct(F.array("a", "b"))).alias("o")).distinct().join(repos, "o")
+    found = found.unionByName(compared(left, near.where(F.col("r") != F.col("o_r")).select("f", "whole", "o")))
+    # least and greatest holders may be other versions than the one that was copied: what is left is compared with every holder
+    last = cut(left.join(found.select("f").distinct(), "f", "left_anti"))
+    if last.isEmpty():
+        return found
+    every = asked.join(last.select("f").distinct(), "f", "left_semi").select("f", "r", "whole", "line").join(holders, "line").join(repos, "o").where(F.col("r") != F.col("o_r"))
+    return found.unionByName(compared(last, every.select("f", "whole", "o").distinct()))
+
 
-    return found.join(names.select("id", "f"), "f").join(names.select(F.col("id").alias("other"), F.col("f").alias("o")), "o").select("id", "other", "contained")
+def copies(cut: Cut, lines: DataFrame, marked: DataFrame) -> DataFrame:
+    """(id, other, contained, marked): for (id, lines), files that hold at least ``CONTAINED`` of their lines in common with a file of another repository.
+
+    What counts of a file are its rare lines; of a file most of whose lines are frequent (a library copied into many
+    repositories makes its lines frequent), all its lines of code. ``contained`` is a lower bound where votes settle it.
+
+    An inverted index keeps for each line how many files hold it, and of the marked and the unmarked ones how many, the
+    least and the greatest with their repositories: no pairs. Containment in marked files is solved first (``marked`` is
+    true); unmarked files without such a copy are then compared with each other.
+    """
+    repo = F.xxhash64(F.substring_index("id", "/", 1))
+    names = cut(lines.select("id", F.xxhash64("id").alias("f"), repo.alias("r")).distinct())
+    known = cut(marked.select("id").distinct().withColumn("m", F.lit(True)))
+    flagged = lines.join(small(known), "id", "left")
+    each = cut(flagged.select(F.xxhash64("id").alias("f"), repo.alias("r"), F.col("m").isNotNull().alias("m"), F.explode("lines").alias("line")).distinct())
+    common = max(COMMON_LEAST, int(COMMON_SHARE * names.count()))
+    of_side = lambda of, c: F.when(F.col("m") == of, F.col(c))
+    sides = ((True, ""), (False, "u"))
+    index = each.groupBy("line").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[x for of, t in sides for x in (
+            F.count(of_side(of, "f")).alias(t + "k"), F.min(of_side(of, "f")).alias(t + "a"), F.max(of_side(of, "f")).alias(t + "b"),
+            F.min(of_side(of, "r")).alias(t + "r_lo"), F.max(of_side(of, "r")).alias(t + "r_hi"))],
+    )
+    out = {t: F.coalesce((F.col(t + "r_lo") != F.col("r")) | (F.col(t + "r_hi") != F.col("r")), F.lit(False)) for _, t in sides}
+    held = cut(each.join(index, "line").select("f", "r", "m", "line", (F.col("n") <= common).alias("rare"), *[F.when(out[t], F.col(t + c)).alias(t + c) for _, t in sides for c in ("k", "a", "b")]))
+    repos = names.select(F.col("f").alias("o"), F.col("r").alias("o_r"))
+    holders = lambda of: each.where(F.col("m") == of).select(F.col("f").alias("o"), "line")
+    first = _containing(cut, held.select("f", "r", "line", "rare", "k", "a", "b"), holders(True), repos)
+    open_ = held.where("not m").join(small(cut(first.select("f").distinct())), "f", "left_anti")
+    second = _containing(cut, open_.select("f", "r", "line", "rare", *[F.col("u" + c).alias(c) for c in ("k", "a", "b")]), holders(False), repos)
+    found = first.withColumn("marked", F.lit(True)).unionByName(second.withColumn("marked", F.lit(False)))
+    return found.join(names.select("id", "f"), "f").join(names.select(F.col("id").alias("other"), F.col("f").alias("o")), "o").select("id", "other", "contained", "marked")
+
+
+def derived(found: DataFrame, first_seen: DataFrame) -> DataFrame:
+    """id of those of (id, other), files contained in one another across repositories, that are no origin.
+
+    The origin of what meets at one holder is the file that was seen first (id, first), then the smallest id; a file without
+    a time comes last. What stands in other repositories than the origin was copied in.
+    """
+    late = F.coalesce("first", F.lit("9999-12-31").cast(first_seen.schema["first"].dataType))
+    when = first_seen.select("id", F.struct(late.alias("first"), "id").alias("key"))
+    members = found.select("other", "id").unionByName(found.select("other", F.col("other").alias("id"))).distinct()
+    hub = members.join(when, "id").groupBy("other").agg(F.min("key").alias("least"))
+    return found.select("id", "other").join(hub, "other").join(when, "id").where(F.substring_index("id", "/", 1) != F.substring_index("least.id", "/", 1)).select("id").distinct()
 
 
 def origins(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -237,7 +268,8 @@ def origins(files: DataFrame, contents: DataFrame) -> DataFrame:
 
     Kinds, the first that holds: ``own`` (a licence line of its own repository: never flagged), ``lock`` (lock files
     by name), ``vendored`` (a vendor directory, a line that names its upstream, another repository's licence line, or a copy
-    of such a file or of one that carries its own repository's licence), ``generated`` (tools' directories and names, or
+    of such a file or of one that carries its own repository's licence; of unmarked files that contain each other across
+    repositories all but the one seen first), ``generated`` (tools' directories and names, or
     a line at head or foot that says so), ``minified``, ``data``, ``unkept`` (no content, but larger than anyone
     writes), ``hand``.
 
@@ -260,7 +292,9 @@ def origins(files: DataFrame, contents: DataFrame) -> DataFrame:
     )
     marked = base.where(F.col("vdir") | F.col("upstream") | F.col("own") | F.col("foreign")).select("id")
     found = copies(cut, feats.select("id", "lines").where(F.size("lines") > 0), marked)
-    copied = found.select("id").distinct().withColumn("copied", F.lit(True))
+    found = cut(found)
+    first = files.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("last_seen").alias("first"))
+    copied = cut(found.where("marked").select("id").unionByName(derived(found.where("not marked"), first)).distinct()).withColumn("copied", F.lit(True))
     j = base.join(copied, "id", "left")
     kind = (
         F.when(F.col("own"), "own")
