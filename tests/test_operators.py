@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from weftgraph.operators import audit, graph, resolve, search, trace
@@ -154,3 +156,54 @@ def test_trace_edges(spark):
     p = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), ("a", "c"), ("x", "y")], "s string, t string")
     got = {(r["s"], r["t"]): r["verdict"] for r in trace.classify_observed(p, p.where("t = 'b'"), p.where("t = 'c'")).collect()}
     assert got == {("a", "b"): "confirmed-static", ("a", "c"): "confirmed-candidate", ("x", "y"): "new-dynamic"}
+
+
+def test_nearest_as_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    marks = [(rng.choice("ab"), rng.randrange(40), rng.randrange(-3000, 9000)) for _ in range(60)] + [("c", 7, None)]
+    points = [(i, rng.choice("abcd"), rng.randrange(-5000, 12000)) for i in range(120)] + [(500, "a", None)]
+    want = {}
+    for p, k, x in points:
+        near = [(abs(x - at), i) for g, i, at in marks if g == k and at is not None] if x is not None else []
+        want[p] = min(near)[1] if near else None
+    p, m = spark.createDataFrame(points, "point long, grp string, line long"), spark.createDataFrame(marks, "grp string, id long, at long")
+    assert {r["point"]: r["id"] for r in resolve.nearest(p, m, ["grp"], width=256).collect()} == want
+
+
+def test_broadcasts_are_checked_in_bytes(spark):
+    from weftgraph.session import small
+
+    other = spark.createDataFrame([(i, i) for i in range(50)], "k long, v long").hint("shuffle_merge")
+    few = spark.createDataFrame([(1, ["x" * 10] * 3, None), (2, None, "y" * 1000)], "k long, words array<string>, t string")
+    planned = lambda most: other.join(small(few, most), "k")
+    hinted, plain = planned(1 << 20), planned(500)
+    assert "strategy=broadcast" in hinted._jdf.queryExecution().logical().toString() and "strategy=broadcast" not in plain._jdf.queryExecution().logical().toString()
+    rows = lambda df: sorted(map(tuple, df.select("k", "v", "t").collect()))
+    assert rows(hinted) == rows(plain) == [(1, 1, None), (2, 2, "y" * 1000)]
+
+
+def test_clusters_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from weftgraph.session import shared_dir
+
+    fake = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(fake("spark://h:7077", "hdfs:///x/")) == "hdfs:///x" and shared_dir(fake("local[4]", None)).startswith("file:")
+    for master in ("spark://h:7077", "local-cluster[2,1,512]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master, None))
+
+
+def test_walks_longer_than_the_tables_they_hold(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "x") for i in range(20)], "s string, t string, k string")
+    seed = spark.createDataFrame([("n000",)], "id string")
+    assert graph.reachable(seed, chain).count() == 21
+    assert {r["id"]: r["depth"] for r in graph.bfs(seed, chain, None, "deps").collect()}["n020"] == 20
+
+
+def test_pairs_of_tests_and_hot_stems(spark):
+    files = [(f"r{i}/src/index.js",) for i in range(30)] + [("r5/test/index.test.js",), ("zz/index_test.js",), ("r1/a/util.js",), ("r2/a/util.js",), ("r2/b/test_util.js",), ("r3/none.test.js",)]
+    got = {r["test"]: r["source"] for r in resolve.test_pairs(spark.createDataFrame(files, "id string")).collect()}
+    assert got == {"r5/test/index.test.js": "r5/src/index.js", "zz/index_test.js": "r0/src/index.js", "r2/b/test_util.js": "r2/a/util.js"}

@@ -16,16 +16,16 @@ def test_tree_aggregate_counts_nulls_repeats_and_clashing_columns(spark):
 def test_tree_aggregate_empty_and_hot_key(spark):
     empty = spark.createDataFrame([], EDGE)
     assert tree_aggregate(empty, ["t", "k"], "s").count() == 0
-    assert heavy_keys(empty, ["t", "k"], "s", 0.01).count() == 0
+    assert heavy_keys(empty, ["t", "k"], 0.01).count() == 0
     hot = [(f"s{i % 700}", "hub" if i % 3 else f"t{i}", "k", None, 0) for i in range(3000)]
     got = {r["t"]: (r["n_rows"], r["n_members"]) for r in tree_aggregate(spark.createDataFrame(hot, EDGE), ["t", "k"], "s").collect()}
     assert got["hub"] == (2000, len({f"s{i % 700}" for i in range(3000) if i % 3}))
-    assert [r["t"] for r in heavy_keys(spark.createDataFrame(hot, EDGE), ["t", "k"], "s", 0.5).collect()] == ["hub"]
+    assert [r["t"] for r in heavy_keys(spark.createDataFrame(hot, EDGE), ["t", "k"], 0.5).collect()] == ["hub"]
 
 
 def test_heavy_share_counts_null_rows_and_is_inclusive(spark):
     rows = [("s", "t", "k", None, 0)] * 2 + [("s", None, "k", None, 0)] * 98 + [("s", "u", "k", None, 0)] * 100
-    got = {r["t"] for r in heavy_keys(spark.createDataFrame(rows, EDGE), ["t", "k"], "s", 0.01).collect()}
+    got = {r["t"] for r in heavy_keys(spark.createDataFrame(rows, EDGE), ["t", "k"], 0.01).collect()}
     assert got == {"t", "u"}
 
 

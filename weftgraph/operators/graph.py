@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
-from weftgraph.session import Cut, small
+from weftgraph.session import Cut
+
+#: Hops after which what a walk has met is written as one table again.
+SEEN_EVERY = 8
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -60,8 +63,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None, direction: str =
     """(seed, id, depth): every id within ``depth`` hops of each seed by its first hop, the seed at 0.
 
     ``depth`` None walks until nothing new is met. Frontier joins: one hop expands the frontier by an equi-join with
-    the edges and drops what was met before by an anti-join, for all seeds at once. A hop's result is cut by a table, so
-    a plan never holds more than one hop; skewed hubs are split by AQE.
+    the edges and drops what was met before by an anti-join, for all seeds at once. A hop's result is cut by a table, and
+    what was met is written together every ``SEEN_EVERY`` hops, so a plan holds so many tables at most; skewed hubs are split by AQE.
     """
     cut = Cut(seeds.sparkSession, "bfs")
     hops = cut(directed(edges, direction))
@@ -78,6 +81,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None, direction: str =
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % SEEN_EVERY == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -112,11 +117,15 @@ def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     cut = Cut(seeds.sparkSession, "reach")
     hops = cut(directed(edges, "deps"))
     seen = frontier = cut(seeds.select("id").distinct())
+    level = 0
     while True:
+        level += 1
         frontier = cut(frontier.select(F.col("id").alias("at")).join(hops, "at").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if level % SEEN_EVERY == 0:
+            seen = cut(seen)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -151,7 +160,7 @@ def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("id", "/")) - 1), lambda n: F.array_join(F.slice(F.split("id", "/"), 1, n), "/"))
     each = files.select("id").distinct().where(F.instr("id", "/") > 0).select("id", F.explode(prefixes).alias("root"))
     roots = packages.groupBy(F.col("rel_root").alias("root")).agg(F.min("name").alias("package"))
-    best = each.join(small(roots), "root").groupBy("id").agg(F.max_by("package", F.length("root")).alias("package"))
+    best = each.join(roots, "root").groupBy("id").agg(F.max_by("package", F.length("root")).alias("package"))
     return files.select("id").distinct().join(best, "id", "left")
 
 

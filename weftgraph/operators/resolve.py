@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
-from weftgraph.session import Cut, small
+from weftgraph.session import Cut
 
 #: Extensions that a specifier without one may stand for, in order, and names of index files.
 PROBE_EXT = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "css", "json")
@@ -49,30 +49,36 @@ def api_links(files: DataFrame, strict: bool = True) -> DataFrame:
     """(s, t, method, url, path): API calls of files joined with the routes that serve them.
 
     Method equal, or the route's is ALL; with ``strict`` False ANY on either side matches as well, and a partial
-    URL matches as a prefix. The theta-join on patterns is keyed by method class and number of segments where the
-    route has no ``*``; only routes with a star are compared with every number of segments.
+    URL matches as a prefix. Patterns are compared within equal keys only: the first segment where a route writes it
+    out, and the number of segments where it has no ``*``; routes that leave the first segment open have a key of
+    their own, which every call looks up too.
     """
     calls = (
         files.select(F.col("id").alias("s"), F.explode("api_calls").alias("c")).select("s", "c.method", "c.url", "c.partial")
         .where(F.col("url").isNotNull() & ~F.col("url").rlike(r"^(?i:https?|wss?)://"))
         .withColumn("_p", paths.url_path("url")).distinct()
     )
+    n = lambda c: F.size(F.split(c, "/"))
+    first = lambda c: F.split_part(F.ltrim(c, F.lit("/")), F.lit("/"), F.lit(1))
     routes = (
         files.select(F.col("id").alias("t"), F.explode("routes").alias("r")).select("t", F.col("r.method").alias("_m"), F.col("r.path").alias("path"))
         .where(F.col("path").isNotNull()).distinct()
         .withColumn("_re", paths.route_regex(F.col("path"))).withColumn("_star", F.instr("path", "*") > 0)
     )
-    n = lambda c: F.size(F.split(c, "/"))
+    open_ = first(F.col("path")).rlike(r"[:*\[{<$]") | (first(F.col("path")) == "")
+    routes = routes.withColumn("_key", F.struct(F.when(open_, F.lit("")).otherwise(F.lower(first(F.col("path")))), F.when(F.col("_star"), F.lit(-1)).otherwise(n("path"))))
     wild = ("ALL",) if strict else ("ALL", "ANY")
     same = (F.col("_m") == F.col("method")) | F.col("_m").isin(*wild)
     if not strict:
         same = same | (F.col("method") == "ANY")
-    exact = calls.withColumn("_n", n("_p")).join(small(routes.where(~F.col("_star")).withColumn("_n", n(F.col("path")))), "_n").where(same & F.expr("_p rlike _re"))
-    star = calls.join(small(routes.where("_star")), same & F.expr("_p rlike _re"))
+    looks = [F.struct(k, m) for k in (F.lit(""), F.lower(first(F.col("_p")))) for m in (F.lit(-1), n("_p"))]
+    asked = calls.withColumn("_key", F.explode(F.array_distinct(F.array(*looks))))
     cols = ["s", "t", "method", "url", "path"]
-    out = exact.select(cols).unionByName(star.select(cols))
+    out = asked.join(routes, "_key").where(same & F.expr("_p rlike _re")).select(cols)
     if not strict:
-        head = calls.where(F.col("partial")).join(small(routes), F.startswith(F.col("path"), F.concat(F.regexp_replace("_p", "/$", ""), F.lit("/"))))
+        # a partial URL is whole segments of the route: they share the first one, unless it is empty
+        begun = routes.withColumn("_seg", F.explode(F.array(F.lit(""), first(F.col("path")))))
+        head = calls.where(F.col("partial")).withColumn("_seg", first(F.col("_p"))).join(begun, "_seg").where(F.startswith(F.col("path"), F.concat(F.regexp_replace("_p", "/$", ""), F.lit("/"))))
         out = out.unionByName(head.select(cols))
     return out.where(F.col("s") != F.col("t")).distinct()
 
@@ -93,10 +99,37 @@ def enclosing(points: DataFrame, spans: DataFrame, group: str, width: int = 64)
     return points.select("point").distinct().join(best, "point", "left")
 
 
-def nearest(points: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """For (point, keys, line), the id of (keys, id, at) with the nearest ``at``; ties go to the smaller id."""
-    near = points.join(marks, keys).groupBy("point").agg(F.min(F.struct(F.abs(F.col("line") - F.col("at")), "id")).alias("_x"))
-    return points.select("point").distinct().join(near.select("point", F.col("_x.id").alias("id")), "point", "left")
+def nearest(points: DataFrame, marks: DataFrame, keys: list[str], width: int = 1024) -> DataFrame:
+    """For (point, keys, line), the id of (keys, id, at) with the nearest ``at``; ties go to the smaller id, null where a key has no mark.
+
+    Points and marks meet by sorting, never in pairs: within a bucket of ``width`` lines the last mark before and the
+    first one after a point come from a window over both; where the bucket has none, from the nearest buckets that have
+    marks, of which one row each is kept. A hot key is as many tasks as it has buckets.
+    """
+    b = lambda c: F.floor(F.col(c) / width).alias("_b")
+    one = marks.where(F.col("at").isNotNull()).groupBy(*keys, "at").agg(F.min("id").alias("id")).select(*keys, b("at"), F.col("at").alias("_at"), F.struct("at", "id").alias("_m"))
+    spots = points.select("point", *keys, "line").where(F.col("line").isNotNull())
+    ends = one.groupBy(*keys, "_b").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+    each = spots.select(*keys, b("line")).distinct().join(ends, [*keys, "_b"], "full")
+    along = Window.partitionBy(*keys).orderBy("_b")
+    near = each.select(
+        *keys, "_b", F.last("_hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
+        F.first("_lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+    )
+    none = F.lit(None)
+    both = spots.select("point", *keys, b("line"), F.col("line").alias("_at"), none.cast(one.schema["_m"].dataType).alias("_m")).unionByName(
+        one.select(none.cast(points.schema["point"].dataType).alias("point"), *keys, "_b", "_at", "_m")
+    )
+    here = Window.partitionBy(*keys, "_b").orderBy("_at")
+    found = both.select(
+        "point", *keys, "_b", "_at", F.last("_m", ignorenulls=True).over(here.rangeBetween(Window.unboundedPreceding, 0)).alias("_before"),
+        F.first("_m", ignorenulls=True).over(here.rangeBetween(0, Window.unboundedFollowing)).alias("_after"),
+    ).where(F.col("point").isNotNull())
+    joined = found.join(near, [*keys, "_b"])
+    away = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col("_at") - c["at"]).alias("d"), c["id"].alias("id")))
+    best = F.array_min(F.array_compact(F.array(away(F.coalesce("_before", "_prev")), away(F.coalesce("_after", "_next")))))
+    got = joined.groupBy("point").agg(F.min(best).alias("_x"))
+    return points.select("point").distinct().join(got.select("point", F.col("_x.id").alias("id")), "point", "left")
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -127,13 +160,17 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
 
 
 def candidates(calls: DataFrame, symbols: DataFrame, cap: int = 24) -> DataFrame:
-    """(call, target, capped): the first ``cap`` symbols outside auxiliary paths of each declined call's name, by id; ``capped`` tells of more."""
+    """(call, target, capped): the first ``cap`` symbols outside auxiliary paths of each declined call's name, by id; ``capped`` tells of more.
+
+    The rank is cut before the shuffle as well as after it, and how many there are is a count of its own, so a name of
+    thousands of symbols leaves ``cap`` rows and one number a partition.
+    """
     w = Window.partitionBy("name").orderBy("symbol")
-    listed = (
-        symbols.where(~F.col("aux")).select("name", "symbol").distinct()
-        .withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("name"))).where(F.col("_r") <= cap)
-    )
-    return calls.select("call", "name").distinct().join(listed, "name").select("call", F.col("symbol").alias("target"), (F.col("_n") > cap).alias("capped"))
+    asked = calls.select("call", "name").distinct()
+    own = symbols.where(~F.col("aux")).select("name", "symbol").distinct().join(asked.select("name").distinct(), "name", "left_semi")
+    listed = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    sizes = own.groupBy("name").agg((F.count(F.lit(1)) > cap).alias("capped"))
+    return asked.join(listed.join(sizes, "name"), "name").select("call", F.col("symbol").alias("target"), "capped")
 
 
 def inherited(classes: DataFrame, methods: DataFrame, wanted: DataFrame, limit: int = 10) -> DataFrame:
@@ -157,5 +194,9 @@ def test_pairs(files: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.regexp_replace(paths.base_name("id"), r"\.[^.]*$", ""), r"(?i)(?:^test[_-]?|[._-]?(?:test|tests|spec)$)", "")
     marked = files.select("id", F.lower(stem).alias("_stem"), paths.base_name("id").rlike(r"(?i)^test_|[._-](?:test|spec)\.|_test\.|(?:Test|Tests|Spec)\.").alias("_t"), F.substring_index("id", "/", 1).alias("_top")).distinct()
     tests, sources = marked.where("_t"), marked.where("not _t")
-    j = tests.select(F.col("id").alias("test"), "_stem", F.col("_top").alias("_a")).join(sources.select(F.col("id").alias("source"), "_stem", F.col("_top").alias("_b")), "_stem").where(F.length("_stem") > 0)
-    return j.groupBy("test").agg(F.min(F.struct((F.col("_a") != F.col("_b")).alias("far"), "source")).alias("_x")).select("test", F.col("_x.source").alias("source"))
+    # of sources only the least of each stem, and of each stem and tree, can be an answer: index and main are single rows
+    sources = sources.where(F.length("_stem") > 0)
+    near = sources.groupBy("_stem", "_top").agg(F.min("id").alias("_near"))
+    far = sources.groupBy("_stem").agg(F.min("id").alias("_far"))
+    j = tests.select(F.col("id").alias("test"), "_stem", "_top").join(far, "_stem").join(near, ["_stem", "_top"], "left")
+    return j.select("test", F.coalesce("_near", "_far").alias("source"))

@@ -32,13 +32,16 @@ def chase_aliases(wanted: DataFrame, aliases: DataFrame, depth: int = 6) -> Data
 def dispatch(calls: DataFrame, extends: DataFrame, methods: DataFrame, cap: int = 24) -> DataFrame:
     """(call, target, capped): overrides in subtypes that a call of (call, cls, method) may reach; the first ``cap`` by name.
 
-    Subtypes are the closure of (cls, base); ``methods`` holds (cls, method).
+    Subtypes are what a walk from the called classes down (cls, base) meets; ``methods`` holds (cls, method).
     """
-    below = graph.closure(extends.select(F.col("base").alias("s"), F.col("cls").alias("t"))).select(F.col("seed").alias("cls"), F.col("id").alias("sub"))
-    over = below.join(methods.select(F.col("cls").alias("sub"), "method").distinct(), "sub")
+    asked = calls.select("call", "cls", "method").distinct()
+    walk = graph.bfs(asked.select(F.col("cls").alias("id")).distinct(), extends.select(F.col("base").alias("s"), F.col("cls").alias("t")), None, "deps")
+    below = walk.where("depth > 0").select(F.col("seed").alias("cls"), F.col("id").alias("sub"))
+    over = below.join(methods.select(F.col("cls").alias("sub"), "method").distinct(), "sub").distinct()
     w = Window.partitionBy("cls", "method").orderBy("sub")
-    ranked = over.distinct().withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cls", "method"))).where(F.col("_r") <= cap)
-    return calls.select("call", "cls", "method").distinct().join(ranked, ["cls", "method"]).select("call", F.concat_ws(".", "sub", "method").alias("target"), (F.col("_n") > cap).alias("capped"))
+    ranked = over.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    sizes = over.groupBy("cls", "method").agg((F.count(F.lit(1)) > cap).alias("capped"))
+    return asked.join(ranked.join(sizes, ["cls", "method"]), ["cls", "method"]).select("call", F.concat_ws(".", "sub", "method").alias("target"), "capped")
 
 
 def argument_reach(flow: DataFrame, fn: str, param: str, depth: int = 8) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
 from weftgraph.operators import audit, graph, resolve
-from weftgraph.session import small, table
+from weftgraph.session import table
+from weftgraph.sources.code_tree import ENV_NAME
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,13 +85,13 @@ _ENV_KEY = r"^(?:export\s+)?([A-Z][A-Z0-9_]*)\s*="
 
 
 def _declared(spark, d):
-    c = table(spark, d, "file_content").where(F.col("id").rlike(r"(?:^|/)[^/]*\.env$"))
+    c = table(spark, d, "file_content").where(F.col("id").rlike(ENV_NAME))
     lines = c.select(F.col("id").alias("file"), F.explode(F.split("content", "\n")).alias("l"))
     return lines.select("file", F.regexp_extract(F.trim("l"), _ENV_KEY, 1).alias("var")).where(F.col("var") != "").distinct()
 
 
 _DECL = rf"""decl AS (SELECT DISTINCT file, regexp_extract(trim(l), '{_ENV_KEY}', 1) AS var FROM (SELECT id AS file, unnest(string_split(content, chr(10))) AS l
- FROM file_content WHERE regexp_matches(id, '(?:^|/)[^/]*\.env$')) WHERE regexp_extract(trim(l), '{_ENV_KEY}', 1) <> '')"""
+ FROM file_content WHERE regexp_matches(id, '{ENV_NAME}')) WHERE regexp_extract(trim(l), '{_ENV_KEY}', 1) <> '')"""
 
 
 @query(f"WITH {_DECL} SELECT file, var FROM decl")
@@ -210,7 +211,8 @@ def _walk_sql(direction: str, depth: int, seeds: str) -> str:
 
 
 _HUB = "SELECT id FROM deg ORDER BY n_in DESC, id LIMIT 1"
-_SEEDS = "SELECT id FROM deg WHERE n_in >= 3 ORDER BY n_in, id LIMIT 20"
+#: The query set of operators on changed files: files that an older scan knows too, and the most used one.
+_SEEDS = "SELECT id FROM (SELECT id FROM files WHERE id IS NOT NULL GROUP BY id HAVING count(DISTINCT last_seen) > 1 UNION (SELECT id FROM deg ORDER BY n_in DESC, id LIMIT 1))"
 
 
 @query(f"{_G}, {_walk_sql('users', 3, _HUB)} SELECT h.id, h.depth, l.size, l.loc, CASE WHEN regexp_matches(h.id, '{_TEST}') THEN 'tests' WHEN regexp_matches(h.id, '{paths.CONFIG_PATH}') THEN 'config' WHEN regexp_matches(h.id, '{paths.DOC_PATH}') THEN 'docs' WHEN coalesce(l.ext, '') <> '' THEN 'source' ELSE 'other' END AS category, round(coalesce(l.size, 0) / 4)::BIGINT AS tokens FROM hop h JOIN lf l ON l.id = h.id")
@@ -224,8 +226,9 @@ def r1_blast_users(spark, d):
 
 
 def _seeds(spark, d, e):
-    f = table(spark, d, "files").select("id").where("id is not null")
-    return graph.degrees(f, e).where("n_in >= 3").orderBy("n_in", "id").limit(20)
+    f = table(spark, d, "files").select("id", "last_seen").where("id is not null")
+    changed = f.groupBy("id").agg(F.count_distinct("last_seen").alias("n")).where("n > 1").select("id")
+    return changed.union(graph.degrees(f, e).orderBy(F.col("n_in").desc(), "id").limit(1).select("id")).distinct()
 
 
 @query(f"{_G}, {_walk_sql('deps', 2, _SEEDS)} SELECT seed, id, depth FROM hop")
@@ -467,9 +470,9 @@ def j8_barrel_reach(spark, d):
     """Files that an import reaches through re-exports, to any depth, for files that import a re-exporting one."""
     e = _edges(spark, d)
     re = e.where("k = 'reexport'")
-    barrels = re.select(F.col("s").alias("id")).distinct()
-    reach = graph.closure(re).join(barrels.withColumnRenamed("id", "seed"), "seed", "left_semi")
     users = e.where("k = 'import'").select(F.col("s").alias("user"), F.col("t").alias("seed")).distinct()
+    imported = re.select(F.col("s").alias("id")).distinct().join(users.select(F.col("seed").alias("id")).distinct(), "id", "left_semi")
+    reach = graph.bfs(imported, re, None, "deps").where("depth > 0")
     return users.join(reach, "seed").groupBy("user", "id").agg(F.min("depth").alias("depth"))
 
 
@@ -517,7 +520,7 @@ def a32_changes(spark, d):
 def a18_tour(spark, d):
     f = _flat(spark, d, "external_urls")
     entry = f.where(F.col("id").rlike(r"(?:^|/)(?:index|main|app|server|cli)\.[a-z]+$")).orderBy(F.length("id"), "id").limit(3).select("id")
-    hubs = graph.degrees(f, _edges(spark, d)).where("n_in >= 2").join(small(entry, 3), "id", "left_anti").orderBy(F.col("n_in").desc(), "id").limit(5).select("id")
+    hubs = graph.degrees(f, _edges(spark, d)).where("n_in >= 2").join(F.broadcast(entry), "id", "left_anti").orderBy(F.col("n_in").desc(), "id").limit(5).select("id")
     n = F.size(F.coalesce("external_urls", F.array()))
     ext = f.where(n > 0).join(F.broadcast(entry), "id", "left_anti").join(F.broadcast(hubs), "id", "left_anti").orderBy(n.desc(), "id").limit(3).select("id")
     return entry.withColumn("stop", F.lit("entry")).union(hubs.withColumn("stop", F.lit("hub"))).union(ext.withColumn("stop", F.lit("external")))

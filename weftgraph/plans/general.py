@@ -14,7 +14,7 @@ HEAVY_SHARE = 0.01
 
 def p4_found(spark, sf_dir):
     e = table(spark, sf_dir, "edges").select("s", "t", "k")
-    return heavy_keys(e, ["t", "k"], "s", HEAVY_SHARE).select("t", "k")
+    return heavy_keys(e, ["t", "k"], HEAVY_SHARE).select("t", "k")
 
 
 def p4_key_stats(spark, sf_dir):

@@ -9,6 +9,9 @@ from weftgraph.operators import audit, graph, resolve, search, symbols
 from weftgraph.plans import code_graph as cg
 from weftgraph.session import table
 
+#: Nodes of one payload of the graph view.
+PAYLOAD_NODES = 40_000
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -132,11 +135,11 @@ def proj14_active_set(spark, d):
     return a.distinct().join(f.where("confidence = 'high'").select("id"), "id", "left_semi")
 
 
-@query(f"""WITH {cg._LF}, {cg._CE}, {cg._KE}, n AS (SELECT id FROM lf ORDER BY id LIMIT 400) SELECT s, t, k FROM ke WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)""")
-def a22_payload(spark, d):
-    """The first 400 nodes' edges with both ends among them."""
-    n = cg._flat(spark, d).select("id").orderBy("id").limit(400)
-    return cg._edges(spark, d).join(F.broadcast(n.withColumnRenamed("id", "s")), "s", "left_semi").join(F.broadcast(n.withColumnRenamed("id", "t")), "t", "left_semi").select("s", "t", "k")
+@query(f"""WITH {cg._LF}, {cg._CE}, {cg._KE}, n AS (SELECT id FROM lf ORDER BY id LIMIT {PAYLOAD_NODES}) SELECT s, t, k FROM ke WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)""")
+def a22_payload(spark, d, most: int = PAYLOAD_NODES):
+    """Edges with both ends among the nodes that one payload holds, ``most`` at most."""
+    n = cg._flat(spark, d).select("id").orderBy("id").limit(most)
+    return cg._edges(spark, d).join(n.withColumnRenamed("id", "s"), "s", "left_semi").join(n.withColumnRenamed("id", "t"), "t", "left_semi").select("s", "t", "k")
 
 
 @query(f"""WITH {cg._LF} SELECT count(*) AS files, ceil(sum(coalesce(size, 0)) / 4.0)::BIGINT AS tokens, max(last_seen) AS scanned_at FROM lf""")
