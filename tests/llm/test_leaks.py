@@ -76,3 +76,18 @@ def test_edited_copy_is_aligned_and_tables_may_be_empty(spark):
     (row,) = leaks(docs, items).collect()
     assert (row["item_id"], row["doc_id"], row["run"]) == (1, 5, 6) and row["identity"] > 0.7
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
+
+
+def test_rows_do_not_depend_on_the_blocks(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(90)]
+    items = [(i, " ".join(rng.choices(vocab, k=30))) for i in range(24)]
+    items += [(30 + i, " ".join(words(items[i][1])[:20] + rng.choices(vocab, k=10))) for i in range(6)]
+    docs = []
+    for d in range(100, 160):
+        x = words(rng.choice(items)[1])
+        docs.append((d, " ".join(rng.choices(vocab, k=20) + [w for w in x if rng.random() < 0.85] + rng.choices(vocab, k=20))))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda block: sorted(tuple(r) for r in leaks(df, it, block=block).collect())
+    one = rows(1000)
+    assert len(one) > 40 and rows(7) == one
