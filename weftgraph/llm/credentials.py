@@ -23,6 +23,7 @@ _SECRET_WORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passc
 _KEY_WORDS = {"api", "access", "signing", "encryption", "license", "private", "secret", "master", "session", "auth", "account", "storage", "service", "client", "shared", "hmac", "crypt", "ssh", "x"}
 _OTHER_WORDS = {"name", "url", "uri", "path", "hint", "id", "file", "type", "length", "len", "count", "min", "max", "public", "env", "field", "label", "endpoint", "format", "pattern", "regex", "header", "expires", "expiry", "ttl"}
 _HASH_WORDS = {"sha", "sha1", "sha256", "sha512", "md5", "hash", "digest", "checksum", "integrity", "commit", "rev", "revision", "etag", "fingerprint", "uuid", "guid", "trace", "request", "tenant", "correlation", "span", "icon", "image", "img", "alphabet", "charset", "cert", "certificate", "public", "pub", "resolved", "sourcemappingurl", "nonce", "crc", "tree", "blob"}
+_ORDINARY = {"required", "optional", "string", "text", "number", "boolean", "invalid", "missing", "empty", "default", "basic", "digest", "wrong", "weak", "strong", "expired", "enabled", "disabled", "input", "value", "user", "username", "email", "admin", "error", "failed", "refresh", "csrf", "reset", "change", "forgot", "new", "old", "current", "confirm", "show", "hide", "must", "not", "the", "json", "form", "local", "none", "unknown"}
 _PLACEHOLDERS = re.compile(
     r"""(?ix)^(?:change[_-]?me|example|dummy|todo|fixme|null|none|nil|undefined|true|false|replace[_-]?me|replace.*|your[_-].*|my[_-]?(?:password|secret|token|key)|
     placeholder|redacted|removed|hidden|secret|password|passwd|token|apikey|api[_-]key|test|sample|foo(?:bar)?|bar|baz|see\ .*|in\ .*|ask\ .*|
@@ -126,10 +127,16 @@ def _placeholder(v: str) -> bool:
     return len(set(v)) < 4 or bool(_PLACEHOLDERS.match(v) or _LOOKUP.search(v))
 
 
-def _usable(v: str) -> bool:
-    """May a value beside a secret's name be one: not a placeholder, path, sentence, plain word or plain number."""
+def _usable(v: str, quoted: bool = False) -> bool:
+    """May a value beside a secret's name be one: not a placeholder, path, sentence, plain number, or word of such places.
+
+    Without quotes a word of letters alone is taken for a name of something, not for a value.
+    """
     if len(v) < 6 or " " in v or v[0] == "/" or "://" in v or _placeholder(v):
         return False
+    if quoted and v.isascii() and not any(c.isdigit() for c in v):
+        parts = {x.lower() for x in _WORDS.findall(v)}
+        return any(c.isalpha() for c in v) and not re.search(r"[()\[\]{}<>|:;,$%\\]", v) and not parts & (_SECRET_WORDS | _KEY_WORDS | _OTHER_WORDS | _ORDINARY)
     return any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not re.fullmatch(r"[\w.]+\(.*|.*[()\[\]{}<>|].*", v)
 
 
@@ -156,7 +163,7 @@ def _line(text: str, a: int, b: int, data: bool, found: set) -> None:
         for p in range(m.start(g), m.end(g) + 1):
             names.setdefault(p, kind)
         v = (m[g] or "").rstrip("\r")
-        if kind == "secret" and _usable(v):
+        if kind == "secret" and _usable(v, g == 2 and "login" not in m[1].lower()):
             if not _UUID.match(v) or re.search(r"(?i)key|secret|token|pass", m[1]):
                 add(m.start(g), m.start(g) + len(v), "named")
                 # pieces of one value joined by +
@@ -230,7 +237,7 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
             skip.append(m.span())
             if "PRIVATE KEY" in m[1]:
                 body = m[2].replace("\\n", "")
-                if sum(c.isalnum() for c in body) >= 40 and not _LOOKUP.search(body):
+                if sum(c.isalnum() for c in body) >= 40 and len(set(body)) > 12 and not _LOOKUP.search(body):
                     found.add((m.start(), m.end(), "key"))
     k = until = 0
     for a in sorted(_lines(text)):
@@ -308,7 +315,10 @@ def _data_until(text: str, a: int, b: int) -> int:
 
 
 def redact(text: str | None) -> str | None:
-    """``text`` with each credential's letters and digits replaced by ``*``: quotes, escapes, line ends and lengths stay."""
+    """``text`` with each character of its credentials replaced by ``x``: quotes, escapes, blanks, line ends and lengths stay.
+
+    A letter has no meaning in any notation, so JSON, YAML, shell and code that could be read before can be read after.
+    """
     return _masked(text)[0]
 
 
@@ -322,9 +332,9 @@ def _masked(text: str | None) -> tuple[str | None, int]:
         if kind == "key":
             head, tail = re.match(r"-----BEGIN [A-Z0-9 ]*-----", got)[0], re.search(r"(?:-----END [A-Z0-9 ]*-----)?\Z", got)[0]
             body = got[len(head) : len(got) - len(tail)]
-            parts.append(head + re.sub(r"\\[nrt]|[A-Za-z0-9+/=]", lambda m: m[0] if m[0][0] == "\\" else "*", body) + tail)
+            parts.append(head + re.sub(r"\\[nrt]|[A-Za-z0-9+/=]", lambda m: m[0] if m[0][0] == "\\" else "x", body) + tail)
         else:
-            parts.append("*" * len(got))
+            parts.append(re.sub(r"(\\.)|[^\s\"'`\\]", lambda m: m[1] or "x", got))
         at = e
     parts.append(text[at:])
     return "".join(parts), len(found)
