@@ -50,3 +50,20 @@ def test_empty_tables(spark):
     assert [r["quota"] for r in none.report().collect()] == [0] and none.documents().count() == 0
     alone = mixing.Mix(docs(spark, [("x", "a")]), targets.limit(0))
     assert alone.report().count() == 0 and alone.documents().count() == 0
+
+
+def test_reached_shares_are_those_of_the_chosen_documents(spark):
+    rows = [(f"word{i} " * (3 + i % 7), "a" if i % 3 else "b") for i in range(60)]
+    mix = mixing.Mix(docs(spark, rows), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGET))
+    got = {r["source"]: r for r in mix.reached().collect()}
+    sizes = {r["doc_id"]: r["tokens"] for r in mix.sized.collect()}
+    taken = {"a": 0, "b": 0}
+    for r in mix.documents().collect():
+        taken[r["source"]] += r["uses"] * sizes[r["doc_id"]]
+    assert {s: got[s]["reached"] for s in taken} == taken and abs(got["a"]["share"] - taken["a"] / sum(taken.values())) < 1e-9
+
+
+def test_sources_of_the_same_texts_compete():
+    patterns, targets = [("a\nb", "a", 100), ("a\nb", "b", 100), ("b", "b", 30)], [("a", 0.5, 2), ("b", 0.5, 2)]
+    free, bound = mixing._routes(patterns, targets, 200), mixing._routes(patterns, targets, 200, 1)
+    assert sum(free.values()) == 200 and sum(bound.values()) == 130 and bound["b", "b"] == 30

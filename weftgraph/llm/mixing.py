@@ -82,12 +82,14 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
             cap[e ^ 1] += push
 
 
-def _routes(patterns: list[tuple[str, str, int]], targets: list[tuple[str, float, int]], total: int) -> dict[tuple[str, str], int]:
+def _routes(patterns: list[tuple[str, str, int]], targets: list[tuple[str, float, int]], total: int, text_repeat: int | None = None) -> dict[tuple[str, str], int]:
     """Tokens that each source takes from each membership pattern: {(pattern, source): tokens}.
 
     ``patterns`` holds (pattern, source, tokens that one use of the source's documents of this pattern has).
     The first use of a pattern's tokens, and of a source's part of them, costs nothing, each further use one more than the last (convex), so
     tokens are repeated as little as the quotas allow, and a text that several sources hold is first shared out.
+    With ``text_repeat`` a pattern gives at most so many uses of its tokens to all its sources together, so sources that
+    hold the same texts compete; without it each source may use its own documents as often as its target allows.
     """
     repeat = {s: max(0, int(m or 0)) for s, _, m in targets}
     names = sorted({p for p, _, _ in patterns})
@@ -98,6 +100,8 @@ def _routes(patterns: list[tuple[str, str, int]], targets: list[tuple[str, float
         own = [(s, t) for q, s, t in patterns if q == p and s in repeat]
         once = max((t for _, t in own), default=0)
         most = sum(t * repeat[s] for s, t in own)
+        if text_repeat is not None:
+            most = min(most, once * text_repeat)
         layer = 0
         while most > 0 and once > 0:
             arcs.append((0, node[p], min(once, most), layer))
@@ -128,11 +132,12 @@ class Mix:
     Sources are compared in lower case without blanks at either end; targets keep their spelling. Documents of no
     target source and null texts count in the total and are never used. A text that stands under several sources is one
     text with a membership pattern (the set of its sources); repeated rows count each time. The total size of the mix
-    is the number of tokens of all documents. Empty documents give quota 0 for every source.
+    is the number of tokens of all documents. Empty documents give quota 0 for every source. ``text_repeat`` bounds the uses of
+    a text over all its sources (none by default).
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED):
-        self.cut, self.seed = Cut(docs.sparkSession, "mix"), seed
+    def __init__(self, docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, text_repeat: int | None = None):
+        self.cut, self.seed, self.text_repeat = Cut(docs.sparkSession, "mix"), seed, text_repeat
         norm = lambda c: F.lower(F.trim(c))
         #: the targets are a table of parameters, one row a source
         self.targets = [(r["source"], r["weight"], r["max_repeat"]) for r in targets.select("source", "weight", "max_repeat").where(F.col("source").isNotNull()).orderBy("source").collect()]
@@ -146,10 +151,10 @@ class Mix:
         where = own.select("_text", "source").distinct().groupBy("_text").agg(F.array_join(F.array_sort(F.collect_set("source")), "\n").alias("pattern"))
         # most texts stand under one source: only the others are joined
         several = where.where(F.col("pattern").contains("\n"))
-        return own.join(small(several), "_text", "left").withColumn("pattern", F.coalesce("pattern", "source"))
+        return own.join(small(self.cut(several)), "_text", "left").withColumn("pattern", F.coalesce("pattern", "source"))
 
     def report(self) -> DataFrame:
-        """source, weight, max_repeat, tokens, quota, routed, share, passes, reachable."""
+        """source, weight, max_repeat, tokens, quota, routed, share, passes, reachable: the plan of the flow, before documents are chosen."""
         spark = self.sized.sparkSession
         rows = self.cut(self._patterned())
         self.rows = rows
@@ -157,7 +162,7 @@ class Mix:
         #: at most one row for each pattern and source: sets of targets that occur
         sums = [(p, self.spelt[s], int(t)) for p, s, t in rows.groupBy("pattern", "source").agg(F.sum("tokens")).collect()]
         self.sums = sums
-        self.flow = _routes(sums, self.targets, total)
+        self.flow = _routes(sums, self.targets, total, self.text_repeat)
         out, mixed = [], sum(self.flow.values())
         for s, w, m in self.targets:
             have = sum(t for _, q, t in sums if q == s)
@@ -165,6 +170,18 @@ class Mix:
             out.append((s, w, m, have, quota(w, total), routed, routed / mixed if mixed else 0.0, routed / have if have else 0.0, routed >= quota(w, total)))
         return spark.createDataFrame(out, "source string, weight double, max_repeat int, tokens long, quota long, routed long, share double, passes double, reachable boolean")
 
+    def reached(self) -> DataFrame:
+        """The report with what the chosen documents have: ``reached`` tokens, their ``share`` of the mix and ``passes`` over the source."""
+        plan = self.report()
+        sizes = self.rows.groupBy("doc_id", "source").agg(F.max("tokens").alias("_t"))
+        used = self.documents().groupBy("doc_id", "source").agg(F.sum("uses").alias("_u")).join(sizes, ["doc_id", "source"])
+        sums = used.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("_u") * F.col("_t")).alias("reached"))
+        # one row a target source
+        out = plan.drop("share", "passes").join(F.broadcast(sums), F.lower(F.trim("source")) == F.col("_s"), "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
+        total = out.agg(F.sum("reached").alias("_all"))
+        part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+        return out.join(F.broadcast(total)).select(*[c for c in plan.columns if c not in ("share", "passes", "reachable")], "reached", part("reached", "_all").alias("share"), part("reached", "tokens").alias("passes"), "reachable")
+
     def documents(self) -> DataFrame:
         """(doc_id, source, uses): how often the mix uses each document; whole documents only.
 
@@ -188,7 +205,7 @@ class Mix:
             w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
             return sums.select(*keys, order, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias(f"{order}_before"), F.col("_t").alias(f"{order}_own"))
 
-        rows = rows.join(small(before(rows, part, "_a")), [*part, "_a"])
+        rows = rows.join(small(self.cut(before(rows, part, "_a"))), [*part, "_a"])
         whole = F.col("_a_before") + F.col("_a_own") <= F.col("rest")
         edge = rows.where(~whole & (F.col("_a_before") < F.col("rest")))
         edge = edge.join(before(edge, [*part, "_a"], "_c"), [*part, "_a", "_c"]).withColumn("_b", F.col("_a_before") + F.col("_c_before"))

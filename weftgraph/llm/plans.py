@@ -87,7 +87,8 @@ def p7_found(spark, sf_dir):
 
 
 def p7_shares(spark, sf_dir):
-    got = _mix(spark, sf_dir).report()
+    """The shares of tokens that the chosen documents reach, beside the targets."""
+    got = _mix(spark, sf_dir).reached()
     return got.withColumn("share", F.round("share", 6)).withColumn("passes", F.round("passes", 6))
 
 
