@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
-from weftgraph.operators import audit, graph, resolve
+from weftgraph.operators import audit, graph, modules, resolve
 from weftgraph.session import table
 from weftgraph.sources.code_tree import ENV_NAME
 
@@ -465,6 +465,18 @@ def j1_imports(spark, d):
     return resolve.resolve_imports(imps, f.select("id"))
 
 
+@query(rf"""WITH {_LF}, x AS (SELECT *, lower(regexp_extract(s, '\.([^./]+)$', 1)) AS e, regexp_replace(s, '/?[^/]*$', '') AS here FROM (SELECT DISTINCT id AS s, i.spec AS spec FROM (SELECT id, unnest(imports) AS i FROM lf)) WHERE spec <> ''),
+ b AS (SELECT s, spec, here || '/' || replace(ltrim(spec, '.'), '.', '/') AS b FROM x WHERE e = 'py' AND spec LIKE '.%' AND spec NOT LIKE '..%'),
+ c AS (SELECT s, spec, b || '.py' AS t, 0 AS r FROM b UNION ALL SELECT s, spec, b || '/__init__.py', 1 FROM b UNION ALL SELECT s, spec, here || '/' || spec, 0 FROM x WHERE e IN ('c', 'h')
+  UNION ALL SELECT x.s, x.spec, l.id, 100 + length(l.id) FROM x JOIN lf l ON x.e IN ('c', 'h') AND string_split(l.id, '/')[1] = string_split(x.s, '/')[1] AND ends_with(l.id, '/' || x.spec))
+ SELECT x.s, x.spec, k.t FROM x LEFT JOIN (SELECT s, spec, min(struct_pack(r := r, t := t)).t AS t FROM c WHERE t IN (SELECT id FROM lf) GROUP BY s, spec) k ON k.s = x.s AND k.spec = x.spec""")
+def j2_lookups(spark, d):
+    """Specifiers that are no script's paths, looked up by their language's rules within the repository."""
+    f = _files(spark, d)
+    imps = f.select(F.col("id").alias("s"), F.explode("imports").alias("i")).select("s", "i.spec")
+    return modules.resolve_modules(imps, f.select("id"), table(spark, d, "file_content").select("id", "content"), by_project=True)
+
+
 @query()
 def j8_barrel_reach(spark, d):
     """Files that an import reaches through re-exports, to any depth, for files that import a re-exporting one."""
