@@ -77,8 +77,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None, direction: str =
             .join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
             .withColumn("depth", F.lit(level).cast("long"))
         )
-        frontier = cut(new)
-        if frontier.isEmpty():
+        frontier = cut(new, n=F.count(F.lit(1)))
+        if not frontier._weft_seen["n"]:
             break
         seen = seen.unionByName(frontier)
         if level % SEEN_EVERY == 0:
@@ -120,8 +120,8 @@ def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     level = 0
     while True:
         level += 1
-        frontier = cut(frontier.select(F.col("id").alias("at")).join(hops, "at").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
+        frontier = cut(frontier.select(F.col("id").alias("at")).join(hops, "at").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"), n=F.count(F.lit(1)))
+        if not frontier._weft_seen["n"]:
             return seen
         seen = seen.unionByName(frontier)
         if level % SEEN_EVERY == 0:

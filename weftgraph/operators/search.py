@@ -186,3 +186,22 @@ def explore(symbols: DataFrame, query: str, per_group: int = 8) -> DataFrame:
     g = symbols.where(hit).select("symbol", group.alias("group"), "n_in")
     w = Window.partitionBy("group").orderBy(F.col("n_in").desc(), "symbol")
     return g.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= per_group).select("symbol", "group", "rank", "n_in")
+
+
+def embedded(symbols: DataFrame, embed, batch: int = 32) -> DataFrame:
+    """(id, vector) of (id, text): ``embed`` turns lists of at most ``batch`` texts into vectors, loaded once a task and fed by Arrow batches.
+
+    Null and empty texts get no vector; repeated ids one, of the least text.
+    """
+    kind = symbols.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, texts = (c.to_pylist() for c in b.columns)
+            vectors = [v for at in range(0, len(texts), batch) for v in embed(texts[at : at + batch])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))], names=["id", "vector"])
+
+    own = symbols.where(F.length("text") > 0).groupBy("id").agg(F.min("text").alias("text"))
+    return own.mapInArrow(run, f"id {kind}, vector array<float>")

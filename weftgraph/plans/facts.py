@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.functions import extract, paths
+from weftgraph.functions import extract, paths, references
 from weftgraph.operators import graph, resolve, search
 from weftgraph.session import table
 
@@ -184,3 +184,46 @@ def t6_revision_diff(spark, d):
     r = table(spark, d, "documents").where("text is not null").groupBy("rev_id").agg(F.min_by(F.struct("text", "parent_rev_id"), "doc_id").alias("r")).select("rev_id", F.col("r.text").alias("after"), F.col("r.parent_rev_id").alias("p"))
     before = r.select(F.col("rev_id").alias("p"), F.col("after").alias("before"))
     return search.line_diff(r.where("p is not null").join(before, "p").select(F.col("rev_id").alias("id"), "before", "after")).where("op <> 'eq'")
+
+
+@query()
+def x28_call_sites(spark, d):
+    """Calls of every language by patterns, with receivers and their types."""
+    return references.call_sites(_c(spark, d))
+
+
+@query()
+def x29b_bases(spark, d):
+    """Bases of declared classes."""
+    return references.inheritance(_c(spark, d))
+
+
+@query()
+def x24_foreign(spark, d):
+    """Foreign code that texts call."""
+    return references.foreign(_c(spark, d))
+
+
+@query(rf"""WITH {_KEPT}, l AS (SELECT DISTINCT id, l FROM (SELECT id, unnest(string_split(content, chr(10))) AS l FROM kept WHERE lang IN ('js', 'java', 'go', 'rs')) WHERE regexp_matches(l, '^\s*(?:(?:export|default|public|private|protected|static|final|abstract|async|pub) +)*(?:function|class|interface|func|fn|enum|type) +[A-Za-z_]')),
+ s AS (SELECT id, l, regexp_extract(l, '(?:function|class|interface|func|fn|enum|type) +([A-Za-z_][a-zA-Z0-9_]*)', 1) AS name FROM l)
+ SELECT DISTINCT id, name, regexp_matches(substr(l, 1, 120), '\b(?:pub|public|export|open)\b') OR regexp_matches(regexp_extract(l, '([A-Za-z_][a-zA-Z0-9_]*)', 1), '^[A-Z]') AS exported FROM s""")
+def x29c_exported(spark, d):
+    """Whether declarations are seen from outside, by their line."""
+    c = extract.with_family(_c(spark, d)).where(F.col("lang").isin("js", "java", "go", "rs"))
+    lines = c.select("id", F.explode(F.split("content", "\n")).alias("l")).where(F.col("l").rlike(r"^\s*(?:(?:export|default|public|private|protected|static|final|abstract|async|pub) +)*(?:function|class|interface|func|fn|enum|type) +[A-Za-z_]"))
+    name = F.regexp_extract("l", r"(?:function|class|interface|func|fn|enum|type) +([A-Za-z_]\w*)", 1)
+    return lines.select("id", name.alias("name"), references.exported(F.col("l")).alias("exported")).distinct()
+
+
+@query(f"""WITH {_KEPT}, y AS (SELECT DISTINCT id, name FROM ({_union(extract.SYMBOLS, 'name')})), lf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen DESC NULLS LAST, size DESC NULLS LAST, loc DESC NULLS LAST) AS rn FROM files WHERE id IS NOT NULL) WHERE rn = 1),
+ h AS (SELECT DISTINCT id, r.method AS method, r.path AS path, r.handler AS handler FROM (SELECT id, unnest(routes) AS r FROM lf) WHERE r.handler IS NOT NULL)
+ SELECT h.id AS file, h.method, h.path, h.handler, CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.id = h.id AND y.name = h.handler) THEN h.id || '#' || h.handler WHEN (SELECT count(DISTINCT y.id) FROM y WHERE y.name = h.handler) = 1 THEN (SELECT min(y.id) FROM y WHERE y.name = h.handler) || '#' || h.handler END AS target FROM h""")
+def j19_route_handlers(spark, d):
+    """Routes with the symbol that their handler names: of their own file, else the only one of that name."""
+    r = graph.snapshot(table(spark, d, "files").select("id", "ext", "size", "loc", "last_seen", "routes")).select(F.col("id").alias("file"), F.explode("routes").alias("r"))
+    h = r.select("file", "r.method", "r.path", "r.handler").where("handler is not null").distinct()
+    y = extract.symbols(_c(spark, d)).select("id", F.col("name").alias("handler")).distinct()
+    own = y.select(F.col("id").alias("file"), "handler", F.lit(True).alias("_own"))
+    alone = y.groupBy("handler").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")).where("_n = 1")
+    j = h.join(own, ["file", "handler"], "left").join(alone, "handler", "left")
+    return j.select("file", "method", "path", "handler", F.concat_ws("#", F.coalesce(F.when(F.col("_own"), F.col("file")), F.col("_id")), F.when(F.col("_own") | F.col("_id").isNotNull(), F.col("handler"))).alias("t")).select("file", "method", "path", "handler", F.nullif("t", F.lit("")).alias("target"))

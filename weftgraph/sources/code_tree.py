@@ -23,7 +23,7 @@ ENV_NAME = r"(?:^|/)\.env(?:\.[\w.-]+)?$|(?:^|/)[^/]+\.env$"
 
 
 def scan(spark: SparkSession, root: str, ignore_text: str = "") -> tuple[DataFrame, DataFrame]:
-    """(files, contents) of a directory tree that all executors see.
+    """(files, contents) of a directory tree that all executors see; ``ignore_text`` and the tree's own ignore file leave paths out.
 
     The driver lists names only, leaving tool directories out as it walks; executors read the files. (Spark's own file
     sources pass over names that begin with a dot or an underscore, which source trees are full of.) Only tracked
@@ -43,7 +43,7 @@ def scan(spark: SparkSession, root: str, ignore_text: str = "") -> tuple[DataFra
                     continue
                 listed.append((rel, st.st_size, int(st.st_mtime * 1_000_000)))
     names = spark.createDataFrame(listed, "id string, size long, mtime long")
-    names = names.where(~paths.ignored_by("id", paths.ignore_rules(ignore_text))).repartition(max(1, len(listed) // 500))
+    names = names.where(~paths.ignored_by("id", paths.ignore_rules(ignore_text)) & ~paths.ignored_by("id", project_rules(root))).repartition(max(1, len(listed) // 500))
     base, gate = os.path.abspath(root), PARSE_GATE
 
     def read(batches):
@@ -68,6 +68,21 @@ def scan(spark: SparkSession, root: str, ignore_text: str = "") -> tuple[DataFra
     return files, rows.select("id", "content")
 
 
+#: Names of a project's own ignore file in the order in which they are asked; the first that exists counts, alone.
+PROJECT_IGNORE = (".weftignore", ".graphignore")
+
+
+def project_rules(root: str, names: tuple[str, ...] = PROJECT_IGNORE) -> list[tuple[str, bool]]:
+    """Ignore rules of a tree's own ignore file; none if no such file can be read."""
+    for n in names:
+        try:
+            with open(os.path.join(root, n), encoding="utf-8", errors="replace") as f:
+                return paths.ignore_rules(f.read())
+        except OSError:
+            continue
+    return []
+
+
 def env_files(contents: DataFrame) -> DataFrame:
     """(file, var) declared by environment files at most four directories deep."""
     own = contents.where(F.col("id").rlike(ENV_NAME) & (F.size(F.split("id", "/")) <= 5))

@@ -68,3 +68,35 @@ def context_document(summary: DataFrame, packages: DataFrame, external: DataFram
     out += [f"- {r['package']}: {r['n_files']} files" for r in packages.orderBy(F.col("n_files").desc(), "package").limit(most).collect()]
     out += ["## External hosts"] + [f"- {r['domain']} ({r['n_calls']})" for r in external.orderBy(F.col("n_calls").desc(), "domain").limit(most).collect()]
     return "\n".join([*out, f"## Cleanup candidates: {cleanup_count}"])
+
+
+def trace_json(events: DataFrame, path: str) -> None:
+    """A trace in the order of its events as one JSON-lines file; a trace is one session's log, which a reader opens whole."""
+    events.orderBy("seq").coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_observed(pairs: DataFrame, path: str) -> None:
+    """Appends a batch of observed pairs (cf, cl, ef, el, batch_ts, ...) to a Parquet directory."""
+    pairs.write.mode("append").parquet(path)
+
+
+def compact_observed(spark, path: str, most_bytes: int = 512 << 10) -> bool:
+    """Rewrites a directory of observed pairs without older repeats once it is larger than ``most_bytes``; tells whether it did.
+
+    The new table is written beside the old one and renamed into its place, so a reader sees either.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at) or fs.getContentSummary(at).getLength() <= most_bytes:
+        return False
+    old = spark.read.parquet(path)
+    keys = ["cf", "cl", "ef", "el"]
+    rest = [c for c in old.columns if c not in keys]
+    newest = old.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_ts").alias("_r")).select(*keys, "_r.*").select(*old.columns)
+    fresh, gone = (jvm.org.apache.hadoop.fs.Path(path + tail) for tail in (".new", ".old"))
+    newest.write.mode("overwrite").parquet(path + ".new")
+    fs.rename(at, gone)
+    fs.rename(fresh, at)
+    fs.delete(gone, True)
+    return True

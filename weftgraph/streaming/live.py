@@ -65,3 +65,38 @@ def lease_states(beats: DataFrame, ttl_seconds: int = 15) -> DataFrame:
     newest = beats.groupBy("id").agg(F.max("ts").alias("last_seen"))
     now = beats.agg(F.max("ts").alias("now"))
     return newest.join(F.broadcast(now)).where(F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) <= ttl_seconds * 1_000_000).select("id", "last_seen")
+
+
+def manifests(spark: SparkSession, path: str, schema: str = "id string, mark string, version long") -> DataFrame:
+    """Manifests of a tree as they arrive: Parquet files of (id, mark, version), one version a scan."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def changes(stream: DataFrame, on_changes) -> None:
+    """Runs over the manifests that are there; ``on_changes(changes, version)`` gets the additions, changes and removals of each version.
+
+    A file that a manifest no longer lists is removed, which only the manifest before can tell: it is kept as a table of the shared
+    folder. All versions of one micro-batch settle to its newest one, so a burst of scans is one change. A batch that is run again
+    after a failure compares with the same table, since that is named after the batch.
+    """
+    from weftgraph.operators.views import file_changes
+
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        newest = batch.agg(F.max("version")).first()[0]
+        before = spark.read.parquet(f"{base}/{n - 1}") if n else batch.where("false").select("id", "mark")
+        if newest is None:
+            before.write.mode("overwrite").parquet(f"{base}/{n}")
+            return
+        batch.where(F.col("version") == newest).select("id", "mark").write.mode("overwrite").parquet(f"{base}/{n}")
+        on_changes(file_changes(before, spark.read.parquet(f"{base}/{n}")), newest)
+
+    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def profile_cycles(pairs: DataFrame, late: str = "1 day") -> DataFrame:
+    """Observed pairs of a stream of profile cycles (cf, cl, ef, el, batch_ts), each pair once within the watermark however many cycles see it."""
+    return pairs.withColumn("seen_at", F.col("batch_ts").cast("timestamp")).withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["cf", "cl", "ef", "el"])
