@@ -66,7 +66,7 @@ def s2_ignored(spark, d):
 _RULES = "# built\n/ts-tonrost/lib/\n*.min.js\n**/vendor/**\ngen/\n!*.keep.ts\n"
 
 
-@query()
+@query(r"""SELECT DISTINCT id, NOT regexp_matches(id, '(?:^|/)[^/]*\.keep\.ts(?:/|$)') AND (regexp_matches(id, '^ts-tonrost/lib/') OR regexp_matches(id, '(?:^|/)[^/]*\.min\.js(?:/|$)') OR regexp_matches(id, '(?:^|/)vendor/.') OR regexp_matches(id, '(?:^|/)gen/')) AS ignored FROM files""")
 def s3_ignore_rules(spark, d):
     """Paths under the rules of an ignore file; the last rule that matches decides."""
     rules = paths.ignore_rules(_RULES)
@@ -457,7 +457,12 @@ def j5_api_links(spark, d):
     return resolve.api_links(_files(spark, d))
 
 
-@query()
+_TRIED = [("b", 0), *[(f"b || '.{e}'", 1 + i) for i, e in enumerate(resolve.PROBE_EXT)], *[(f"CASE WHEN regexp_matches(b, '\\.(js|jsx|mjs|cjs)$') THEN regexp_replace(b, '\\.(js|jsx|mjs|cjs)$', '') || '.{e}' END", 20 + i) for i, e in enumerate(("ts", "tsx"))], *[(f"b || '/{n}'", 30 + i) for i, n in enumerate(resolve.INDEX_FILES)]]
+
+
+@query(rf"""WITH {_LF}, a AS (SELECT DISTINCT s, i.spec AS spec, i.kind AS kind, regexp_replace(s, '/?[^/]*$', '') AS here FROM (SELECT id AS s, unnest(imports) AS i FROM lf) WHERE regexp_matches(i.spec, '^\.\.?(/|$)')),
+ b AS (SELECT *, CASE WHEN spec LIKE '../%' THEN regexp_replace(here, '/?[^/]*$', '') || '/' || spec[4:] ELSE here || '/' || spec[3:] END AS b FROM a), c AS ({" UNION ALL ".join(f"SELECT s, spec, kind, {x} AS t, {r} AS r FROM b" for x, r in _TRIED)})
+ SELECT b.s, b.spec, b.kind, k.t FROM b LEFT JOIN (SELECT s, spec, kind, arg_min(t, r) AS t FROM c WHERE t IN (SELECT id FROM lf) GROUP BY s, spec, kind) k ON k.s = b.s AND k.spec = b.spec AND k.kind IS NOT DISTINCT FROM b.kind""")
 def j1_imports(spark, d):
     """Relative import specifiers of every file resolved against the snapshot's ids."""
     f = _files(spark, d)
@@ -477,7 +482,8 @@ def j2_lookups(spark, d):
     return modules.resolve_modules(imps, f.select("id"), table(spark, d, "file_content").select("id", "content"), by_project=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LF}, {_CE}, {_KE}, w(seed, id, n) AS (SELECT s, t, 1 FROM ke WHERE k = 'reexport' AND s IN (SELECT t FROM ke WHERE k = 'import') UNION SELECT w.seed, e.t, w.n + 1 FROM w JOIN ke e ON e.s = w.id AND e.k = 'reexport' WHERE w.n < 400),
+ r AS (SELECT seed, id, min(n) AS n FROM w WHERE seed <> id GROUP BY seed, id) SELECT u.s AS "user", r.id, min(r.n)::BIGINT AS depth FROM (SELECT DISTINCT s, t FROM ke WHERE k = 'import') u JOIN r ON r.seed = u.t GROUP BY u.s, r.id""")
 def j8_barrel_reach(spark, d):
     """Files that an import reaches through re-exports, to any depth, for files that import a re-exporting one."""
     e = _edges(spark, d)
@@ -492,7 +498,9 @@ SQL["j8_barrel_reach"] = f"""WITH RECURSIVE {_LF}, {_CE}, {_KE}, w(seed, id, dep
  hop AS (SELECT seed, id, min(depth) AS depth FROM w GROUP BY seed, id) SELECT u.s AS "user", h.id, min(h.depth)::BIGINT AS depth FROM (SELECT DISTINCT s, t FROM ke WHERE k = 'import') u JOIN hop h ON h.seed = u.t WHERE h.depth > 0 AND h.id <> h.seed GROUP BY u.s, h.id"""
 
 
-@query()
+@query(r"""WITH b AS (SELECT DISTINCT id, regexp_extract(id, '([^/]*)$', 1) AS n, string_split(id, '/')[1] AS top FROM files WHERE id IS NOT NULL),
+ m AS (SELECT id, top, lower(regexp_replace(regexp_replace(n, '\.[^.]*$', ''), '(?i)(?:^test[_-]?|[._-]?(?:test|tests|spec)$)', '', 'g')) AS stem, regexp_matches(n, '(?i)^test_|[._-](?:test|spec)\.|_test\.|(?:Test|Tests|Spec)\.') AS t FROM b)
+ SELECT a.id AS test, min(struct_pack(far := a.top <> b.top, id := b.id)).id AS source FROM m a JOIN m b ON b.stem = a.stem AND a.t AND NOT b.t AND a.stem <> '' GROUP BY a.id""")
 def j18_test_pairs(spark, d):
     return resolve.test_pairs(table(spark, d, "files").select("id").where("id is not null"))
 

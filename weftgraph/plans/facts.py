@@ -55,7 +55,11 @@ def x22_env_reads(spark, d):
     return extract.env_reads(_c(spark, d))
 
 
-@query()
+_DYN = ", ".join("CASE WHEN regexp_matches(content, '" + _q(rx.replace(r"(?<![\w.])", r"(?:^|[^\w.])")) + f"') THEN '{n}' END" for n, rx in extract.DYNAMIC)
+
+
+@query(f"""WITH {_KEPT}, p AS (SELECT id, list_sort(list_distinct(flatten(list(list_filter([{_DYN}], lambda x: x IS NOT NULL))))) AS p FROM kept GROUP BY id)
+ SELECT id, coalesce(array_to_string(p, ','), '') AS patterns, CASE WHEN list_has_any(p, ['eval', 'new-function', 'exec', 'injection']) THEN 'low' WHEN len(p) > 0 THEN 'medium' ELSE 'high' END AS confidence FROM p""")
 def x25_x26_dynamic(spark, d):
     return extract.dynamic(_c(spark, d))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import extract, paths
 from weftgraph.operators import audit, graph, resolve, search, symbols
 from weftgraph.plans import code_graph as cg
+from weftgraph.plans import facts
 from weftgraph.session import table
 
 #: Nodes of one payload of the graph view.
@@ -72,7 +73,8 @@ def j14_dispatch(spark, d):
     return symbols.dispatch(calls, ext, e.where("k = 'import'").select(F.col("s").alias("cls"), F.lit("imports").alias("method")).distinct())
 
 
-@query()
+@query(f"""{_RE}, st AS (SELECT s, min(t) AS n FROM ke WHERE k = 'reexport' GROUP BY s), c(file, place, steps) AS (SELECT s, s, 0 FROM st UNION ALL SELECT c.file, st.n, c.steps + 1 FROM c JOIN st ON st.s = c.place WHERE c.steps < 6)
+ SELECT file, 'default' AS name, arg_max(place, steps) AS target_file, 'default' AS target_name, max(steps)::BIGINT AS steps FROM c GROUP BY file""")
 def j9_alias_chase(spark, d):
     """Re-exports as aliases: where what a file hands on comes from, six steps at most."""
     e = cg._edges(spark, d).where("k = 'reexport'")
@@ -86,7 +88,7 @@ def j5_api_links_loose(spark, d):
     return resolve.api_links(cg._files(spark, d), strict=False)
 
 
-@query()
+@query(f"WITH {facts._KEPT} SELECT DISTINCT * FROM ({facts._union(extract.MODELS, 'name')})")
 def x23_models(spark, d):
     return extract.models(table(spark, d, "file_content").select("id", "content"))
 
@@ -112,10 +114,10 @@ def proj6_glob(spark, d):
     return cg._flat(spark, d).where(F.col("id").rlike("^" + paths.glob_regex("ts-*/src/**/*.ts") + "$")).select("id", "ext")
 
 
-@query()
+@query(f"""WITH {facts._KEPT}, y AS (SELECT DISTINCT id || '#' || name AS symbol, name, kind FROM ({facts._union(extract.SYMBOLS, 'name')})) SELECT symbol, name, kind FROM y WHERE contains(lower(name), 'drim') ORDER BY name, symbol LIMIT 50""")
 def proj11_symbol_find(spark, d):
     s = extract.symbols(table(spark, d, "file_content").select("id", "content")).select(F.concat_ws("#", "id", "name").alias("symbol"), "name", "kind")
-    return symbols.find(s, "shared")
+    return symbols.find(s, "drim")
 
 
 @query(f"""WITH {cg._LF}, {cg._CE}, {cg._KE}, hub AS (SELECT t FROM ke WHERE k = 'import' GROUP BY t ORDER BY count(*) DESC, t LIMIT 1) SELECT DISTINCT s AS caller, t AS callee, s IN (SELECT t FROM ke WHERE k = 'import') AS is_used FROM ke WHERE k = 'import' AND t IN (SELECT t FROM hub)""")
@@ -171,7 +173,7 @@ def a27_changed_sizes(spark, d):
     return f.where("before <> after")
 
 
-@query()
+@query(f"""WITH p AS ({cg.SQL["a13_preflight"]}), o(rank, priority, key) AS (VALUES (0, 'high', 'env-undeclared'), (1, 'high', 'hub-tests'), (2, 'medium', 'orphans'), (3, 'medium', 'env-unused'), (4, 'low', 'dynamic')) SELECT o.rank, o.priority, o.key, p.n FROM o JOIN p ON p.key = o.key WHERE p.status <> 'ok'""")
 def a14_suggestions(spark, d):
     """What to look at next, by priority: environment, hubs without tests, orphans, vendored directories, dynamic share."""
     checks = {r["key"]: r for r in audit.preflight(cg._files(spark, d), cg._edges(spark, d), cg._env(spark, d)).collect()}
