@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import extract, paths, references
-from weftgraph.operators import graph, resolve, search
+from weftgraph.operators import calls, graph, resolve, search
 from weftgraph.session import table
 
 QUERIES: dict = {}
@@ -94,16 +94,15 @@ def x5_x29_python_facts(spark, d):
 @query()
 def j10_resolve_calls(spark, d):
     """Calls of Python files resolved against declarations and imports, or declined with a reason."""
-    calls, symbols, imps = _python(spark, d)
-    return resolve.resolve_calls(calls, symbols, imps)
+    return resolve.resolve_calls(*_python(spark, d))
 
 
 @query()
 def j12_candidates(spark, d):
     """What a declined call could mean."""
-    calls, symbols, imps = _python(spark, d)
-    open_ = resolve.resolve_calls(calls, symbols, imps).where("outcome = 'declined'").select("call")
-    return resolve.candidates(calls.join(open_, "call"), symbols)
+    asked, symbols, imps = _python(spark, d)
+    open_ = resolve.resolve_calls(asked, symbols, imps).where("outcome = 'declined'").select("call")
+    return resolve.candidates(asked.join(open_, "call"), symbols)
 
 
 def _python(spark, d):
@@ -111,9 +110,9 @@ def _python(spark, d):
     symbols = facts.where(F.col("fact").isin("function", "method", "class")).select(
         F.concat_ws("#", "id", "name", F.col("line").cast("string")).alias("symbol"), F.substring_index("name", ".", -1).alias("name"), F.col("id").alias("file"), paths.is_test("id").alias("aux"),
     )
-    calls = facts.where("fact = 'call'").select(F.concat_ws("#", "id", F.col("line").cast("string"), "name").alias("call"), F.col("id").alias("caller_file"), "name").distinct()
+    asked = facts.where("fact = 'call'").select(F.concat_ws("#", "id", F.col("line").cast("string"), "name").alias("call"), F.col("id").alias("caller_file"), "name").distinct()
     e = graph.clean_edges(table(spark, d, "edges")).where("k = 'import'")
-    return calls, symbols, e.select(F.col("s").alias("file"), F.col("t").alias("imported"))
+    return asked, symbols, e.select(F.col("s").alias("file"), F.col("t").alias("imported"))
 
 
 @query()
@@ -231,3 +230,25 @@ def j19_route_handlers(spark, d):
     alone = y.groupBy("handler").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")).where("_n = 1")
     j = h.join(own, ["file", "handler"], "left").join(alone, "handler", "left")
     return j.select("file", "method", "path", "handler", F.concat_ws("#", F.coalesce(F.when(F.col("_own"), F.col("file")), F.col("_id")), F.when(F.col("_own") | F.col("_id").isNotNull(), F.col("handler"))).alias("t")).select("file", "method", "path", "handler", F.nullif("t", F.lit("")).alias("target"))
+
+
+@query()
+def j10_calls(spark, d):
+    """Python calls with receivers and types, resolved in full: qualified names and bases, methods against functions, imports and what they hand on."""
+    c = _c(spark, d)
+    facts = extract.python_facts(c).where(F.col("fact").isin("function", "method", "class"))
+    last = F.substring_index("name", ".", -1)
+    own = facts.select(
+        F.concat_ws("#", "id", "name", F.col("line").cast("string")).alias("symbol"), last.alias("name"), F.when(F.col("fact") == "method", F.substring_index("name", ".", -2)).otherwise(last).alias("qualified"),
+        F.col("id").alias("file"), "line", paths.is_test("id").alias("aux"),
+    )
+    sites = references.call_sites(c.where(F.col("id").rlike(r"(?i)\.py$")))
+    typed = F.col("receiver_type").isNotNull()
+    asked = sites.select(
+        F.concat_ws("#", "id", F.col("line").cast("string"), F.coalesce("receiver", F.lit("")), "name").alias("call"), F.col("id").alias("caller_file"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"),
+        F.when(typed, F.concat_ws(".", "receiver_type", "name")).otherwise(F.col("name")).alias("name"), F.col("receiver").isNotNull().alias("member"), typed.alias("typed"), F.lit(False).alias("imported_only"), F.lit(None).cast("string").alias("module"),
+    )
+    e = graph.clean_edges(table(spark, d, "edges"))
+    bases = references.inheritance(c).select(F.col("class").alias("cls"), "base").distinct()
+    none = spark.createDataFrame([], "file string, exported string, source string, orig string")
+    return calls.resolve_calls(asked, own, e.where("k = 'import'").select(F.col("s").alias("file"), F.col("t").alias("imported")), bases, e.where("k = 'reexport'").select(F.col("s").alias("file"), F.col("t").alias("source")), none)
