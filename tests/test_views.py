@@ -116,3 +116,37 @@ def test_embedding_in_batches(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(1, 71)] + [(100, None), (101, ""), (1, "zz")], "id long, text string").coalesce(1)
     got = {r["id"]: r["vector"] for r in search.embedded(df, sizes).collect()}
     assert len(got) == 70 and got[5][0] == 5.0 and got[1][0] == 1.0 and max(v[1] for v in got.values()) <= 32
+
+
+def test_vendor_directories_by_signs(spark):
+    from weftgraph.operators import audit
+
+    ids = ["p/package.json", "p/a/lib/package.json", "p/a/lib/LICENSE", "p/a/lib/vendor/x.js", "p/third_party/LICENSE", "p/b/.git/config", "p/b/c.py", "q/sub/go.mod", "q/vendor/y.go", "p/deep/er/and/er/LICENSE"]
+    got = {r["dir"]: (r["confidence"], r["reasons"]) for r in audit.vendor_dirs(spark.createDataFrame([(i,) for i in ids], "id string")).collect()}
+    assert got == {"p/a/lib": (0.5, "own licence, own manifest"), "p/third_party": (0.4, "own licence, usual name"), "p/b": (0.5, "nested repository")}
+
+
+def test_server_routes(spark):
+    from weftgraph.functions import paths
+
+    want = {
+        "src/app/api/users/[id]/route.ts": ("ANY", "/api/users/:id"), "pages/api/x/index.js": ("ANY", "/api/x"), "src/routes/(g)/a/+server.ts": ("ANY", "/a"), "server/api/item.get.ts": ("GET", "/api/item"), "server/routes/b/[...all].ts": ("ANY", "/b/*"), "src/app/page.tsx": None,
+    }
+    df = spark.createDataFrame([(p,) for p in want], "p string").select("p", paths.server_route("p").alias("r"))
+    assert {r["p"]: (tuple(r["r"]) if r["r"] else None) for r in df.collect()} == want
+
+
+def test_files_are_written_and_restored_and_reports_told(spark):
+    c = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, content string")
+    t = lambda d: datetime.datetime(2024, 1, d)
+    v = spark.createDataFrame([("a", t(1), "old"), ("a", t(3), "newer")], "id string, ts timestamp, content string")
+    assert {tuple(r) for r in sinks.written(c, "c", "3").collect()} == {("a", "1"), ("b", "2"), ("c", "3")} and {tuple(r) for r in sinks.written(c, "a", "9").collect()} == {("a", "9"), ("b", "2")}
+    assert {tuple(r) for r in sinks.restored(c, v, "a", t(2)).collect()} == {("a", "old"), ("b", "2")} and {tuple(r) for r in sinks.restored(c, v, "b", t(2)).collect()} == {("a", "1"), ("b", "2")}
+    with pytest.raises(ValueError):
+        sinks.written(c, "../x", "")
+    blast = spark.createDataFrame([("f", 12, 1), ("g", 3, 0)], "seed string, dependents long, tests long")
+    assert '"high": true' in sinks.ci_json(blast) and sinks.ci_plain(blast).splitlines()[0] == "f: 12 dependents, 1 tests"
+    f = spark.createDataFrame([("x.ts", "ts"), ("y.ts", "ts"), ("z.py", "py")], "id string, ext string")
+    e = spark.createDataFrame([("y.ts", "x.ts", "i"), ("z.py", "x.ts", "i"), ("x.ts", "y.ts", "i")], E)
+    files, edges = sinks.chosen(f, e, ".TS", 1)
+    assert {r["id"] for r in files.collect()} == {"x.ts", "y.ts"} and edges.count() == 2

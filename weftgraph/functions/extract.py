@@ -232,7 +232,8 @@ def python_flow(contents: DataFrame) -> DataFrame:
 def python_facts(contents: DataFrame) -> DataFrame:
     """(id, fact, name, line, end_line, owner) of Python files by the standard library's parser, in Arrow batches.
 
-    Facts: import, class, function, method, call; ``owner`` is the enclosing definition. A text that does not parse gives one row ``error``.
+    Facts: import, module (what an import may mean: the package and the package with the name), dynamic import (literals), class,
+    function, method, call; ``owner`` is the enclosing definition. A text that does not parse gives one row ``error``.
     """
     import ast
     import warnings
@@ -266,9 +267,15 @@ def python_facts(contents: DataFrame) -> DataFrame:
                 elif isinstance(child, ast.ImportFrom):
                     for a in child.names:
                         yield i, "import", "." * child.level + (child.module or "") + (":" + a.name), child.lineno, child.end_lineno, owner or None
+                        # what is imported may be a module of the package or a name in it: both are asked for
+                        yield i, "module", "." * child.level + (child.module or ""), child.lineno, child.end_lineno, owner or None
+                        if a.name != "*":
+                            yield i, "module", "." * child.level + ".".join(x for x in (child.module, a.name) if x), child.lineno, child.end_lineno, owner or None
                 elif isinstance(child, ast.Call):
                     f = child.func
                     n = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
+                    if n in ("import_module", "__import__") and child.args and isinstance(child.args[0], ast.Constant) and isinstance(child.args[0].value, str):
+                        yield i, "dynamic import", child.args[0].value, child.lineno, child.end_lineno, owner or None
                     if n:
                         yield i, "call", n, child.lineno, child.end_lineno, owner or None
                 todo.append((child, mine))

@@ -121,6 +121,25 @@ def page_route(path) -> Column:
     return F.when(url == "", "/").otherwise(url)
 
 
+def server_route(path) -> Column:
+    """(method, url) that a server file serves under file-system routing; null for other files.
+
+    Route handlers and ``pages/api`` serve ANY method, as ``+server`` files do; a suffix of the name (``x.get.ts``) tells one method.
+    """
+    p = _col(path)
+    ends = r"\.(?:ts|js|mjs|tsx|jsx)$"
+    app = F.regexp_extract(p, r"^(?:src/)?app/(.+)/route" + ends, 1)
+    pages = F.regexp_extract(p, r"^(?:src/)?pages/(api(?:/.+)?)" + ends, 1)
+    kit = F.regexp_extract(p, r"^(?:src/)?routes/(.+)/\+server" + ends, 1)
+    nitro = F.regexp_extract(p, r"^(?:server/)(?:(api/.+?)|routes/(.+?))(?:\.(?:get|post|put|patch|delete|head|options))?" + ends, 1)
+    bare = F.regexp_extract(p, r"^server/routes/(.+?)(?:\.(?:get|post|put|patch|delete|head|options))?" + ends, 1)
+    method = F.upper(F.regexp_extract(p, r"^server/.*\.(get|post|put|patch|delete|head|options)" + ends, 1))
+    own = F.coalesce(*[F.nullif(x, F.lit("")) for x in (app, pages, kit, nitro, bare)])
+    url = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), own), r"/\([^)]+\)", ""), r"/index$", "")
+    url = F.regexp_replace(F.regexp_replace(url, r"\[\.\.\.(\w*)\]", "*"), r"\[(\w+)\]", ":$1")
+    return F.when(own.isNotNull(), F.struct(F.when(method != "", method).otherwise("ANY").alias("method"), F.when(url == "", "/").otherwise(url).alias("url")))
+
+
 def glob_regex(pattern: str) -> str:
     """Pattern of a glob: ``**`` any directories, ``*`` within a segment, ``?`` one character."""
     import re

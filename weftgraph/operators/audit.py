@@ -120,7 +120,11 @@ def safety(seeds: DataFrame, files: DataFrame, edges: DataFrame, depth: int = 3)
         .when((F.col("n_routes") > 0) | (F.col("n_external") > 0) | (F.col("n_api") > 0) | F.col("dynamic") | (F.col("dependents") > 5), "caution")
         .otherwise("safe")
     )
-    return j.select("id", level.alias("level"), "dependents", "n_routes", "n_api", "n_external", "dynamic", "tests", F.when(F.col("dynamic") | F.col("_dyn"), "limited").otherwise("high").alias("confidence"))
+    reasons = F.array_join(F.array_compact(F.array(
+        F.when(F.col("dependents") > 30, "many dependents"), F.when(F.col("n_routes") > 0, "routes"), F.when(F.col("n_external") > 0, "external URLs"), F.when(F.col("n_api") > 0, "API calls"),
+        F.when(F.col("dynamic"), "dynamic"), F.when(F.col("dependents").between(6, 30), "dependents"),
+    )), ", ")
+    return j.select("id", level.alias("level"), reasons.alias("reasons"), "dependents", "n_routes", "n_api", "n_external", "dynamic", "tests", F.when(F.col("dynamic") | F.col("_dyn"), "limited").otherwise("high").alias("confidence"))
 
 
 def partition_reach(nodes: DataFrame, entries: DataFrame, sure: DataFrame, maybe: DataFrame) -> DataFrame:
@@ -150,3 +154,38 @@ def preflight(files: DataFrame, edges: DataFrame, env: DataFrame) -> DataFrame:
         row = df.select(F.lit(key).alias("key"), F.when(F.col("n") >= least, bad).otherwise("ok").alias("status"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# Names of vendor directories and of the files that make a directory a project.
+VENDOR_NAMES = ("vendor", "vendors", "third_party", "third-party", "external", "externals", "deps", "submodules")
+LICENCE_FILE, MANIFEST_FILE = r"/(?:LICENSE|LICENCE|COPYING|LICENSE\.md|LICENSE\.txt)$", r"/(?:package\.json|pyproject\.toml|Cargo\.toml|go\.mod|Gemfile|pom\.xml)$"
+
+
+def vendor_dirs(files: DataFrame, least: float = 0.3, depth: int = 3) -> DataFrame:
+    """(dir, confidence, reasons): directories that look like a project of someone else, ``depth`` levels below a project's root.
+
+    A repository of its own counts 0.5, an own manifest where the root has one too 0.3, a licence 0.2, a usual name 0.2; below a
+    directory that reaches ``least`` no other is looked for. The first segment of a path is the project.
+    """
+    ids = files.select("id").where("id is not null").distinct()
+    p = F.split("id", "/")
+    prefixes = lambda most: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(p) - 1)), lambda n: F.array_join(F.slice(p, 1, n), "/"))
+    dirs = ids.where(F.instr("id", "/") > 0).select(F.explode(prefixes(depth + 1)).alias("dir")).distinct()
+    up = F.regexp_extract("id", r"^(.*)/[^/]*$", 1)
+    sign = lambda rx, name: ids.where(F.col("id").rlike(rx)).select(up.alias("dir"), F.lit(name).alias("sign"))
+    git = ids.where(F.col("id").rlike(r"/\.git/")).select(F.regexp_extract("id", r"^(.*?)/\.git/", 1).alias("dir"), F.lit("git").alias("sign"))
+    manifest = sign(MANIFEST_FILE, "manifest")
+    rooted = manifest.where(F.instr("dir", "/") == 0).select(F.col("dir").alias("top"), F.lit(True).alias("_root")).distinct()
+    signs = sign(LICENCE_FILE, "licence").unionByName(manifest).unionByName(git).groupBy("dir").agg(F.collect_set("sign").alias("signs"))
+    j = dirs.withColumn("top", F.substring_index("dir", "/", 1)).join(signs, "dir", "left").join(rooted, "top", "left").withColumn("signs", F.coalesce("signs", F.array()))
+    has = lambda name: F.array_contains("signs", name)
+    why = F.array_compact(F.array(
+        F.when(has("git"), "nested repository"), F.when(has("licence"), "own licence"), F.when(has("manifest") & F.col("_root") & (F.instr("dir", "/") > 0), "own manifest"), F.when(F.lower(F.substring_index("dir", "/", -1)).isin(*VENDOR_NAMES), "usual name"),
+    ))
+    worth = F.create_map(*[F.lit(x) for x in ("nested repository", 50, "own licence", 20, "own manifest", 30, "usual name", 20)])
+    scored = j.where(F.instr("dir", "/") > 0).select("dir", why.alias("why")).withColumn("c", F.aggregate("why", F.lit(0), lambda n, w: n + worth[w]))
+    hits = scored.where(F.col("c") >= F.lit(round(least * 100)))
+    d = F.split("dir", "/")
+    above = hits.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(d) - 1), lambda n: F.array_join(F.slice(d, 1, n), "/"))).alias("_a"))
+    below = above.join(hits.select(F.col("dir").alias("_a")), "_a", "left_semi").select("dir").distinct()
+    return hits.join(below, "dir", "left_anti").select("dir", (F.least(F.lit(100), F.col("c")) / 100.0).cast("double").alias("confidence"), F.array_join("why", ", ").alias("reasons"))

@@ -99,23 +99,19 @@ def s6_env_keys(spark, d):
     return _declared(spark, d).select("file", "var")
 
 
-@query(rf"""WITH dirs AS (SELECT DISTINCT array_to_string(p[1:n], '/') AS dir FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT DISTINCT string_split(id, '/') AS p FROM files)) WHERE n <= 4),
- lic AS (SELECT DISTINCT regexp_extract(id, '^(.*)/[^/]*$', 1) AS dir FROM files WHERE regexp_matches(id, '/(?:LICENSE|LICENCE|COPYING|LICENSE\.md|LICENSE\.txt)$')),
- man AS (SELECT DISTINCT regexp_extract(id, '^(.*)/[^/]*$', 1) AS dir FROM files WHERE regexp_matches(id, '/(?:package\.json|pyproject\.toml|Cargo\.toml|go\.mod|Gemfile|pom\.xml)$')),
- sc AS (SELECT dir, (CASE WHEN dir IN (SELECT dir FROM lic) THEN 20 ELSE 0 END + CASE WHEN dir IN (SELECT dir FROM man) THEN 30 ELSE 0 END
-  + CASE WHEN lower(regexp_extract(dir, '([^/]*)$', 1)) IN ('vendor', 'vendors', 'third_party', 'third-party', 'external', 'externals', 'deps', 'submodules') THEN 20 ELSE 0 END) AS c FROM dirs)
- SELECT dir, (c / 100.0)::DOUBLE AS confidence FROM sc WHERE c >= 20""")
+_VENDOR_LEAST = 0.2
+
+
+@query(rf"""WITH ids AS (SELECT DISTINCT id FROM files WHERE id IS NOT NULL), dirs AS (SELECT DISTINCT array_to_string(p[1:n], '/') AS dir FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT string_split(id, '/') AS p FROM ids)) WHERE n BETWEEN 2 AND 4),
+ lic AS (SELECT DISTINCT regexp_extract(id, '^(.*)/[^/]*$', 1) AS dir FROM ids WHERE regexp_matches(id, '{audit.LICENCE_FILE}')), man AS (SELECT DISTINCT regexp_extract(id, '^(.*)/[^/]*$', 1) AS dir FROM ids WHERE regexp_matches(id, '{audit.MANIFEST_FILE}')),
+ git AS (SELECT DISTINCT regexp_extract(id, '^(.*?)/\.git/', 1) AS dir FROM ids WHERE contains(id, '/.git/')),
+ sc AS (SELECT dir, [CASE WHEN dir IN (SELECT dir FROM git) THEN 50 ELSE 0 END, CASE WHEN dir IN (SELECT dir FROM lic) THEN 20 ELSE 0 END, CASE WHEN dir IN (SELECT dir FROM man) AND string_split(dir, '/')[1] IN (SELECT dir FROM man) THEN 30 ELSE 0 END,
+  CASE WHEN lower(regexp_extract(dir, '([^/]*)$', 1)) IN ({", ".join(f"'{x}'" for x in audit.VENDOR_NAMES)}) THEN 20 ELSE 0 END] AS c FROM dirs), h AS (SELECT * FROM sc WHERE list_sum(c) >= 20)
+ SELECT dir, (least(100, list_sum(c)) / 100.0)::DOUBLE AS confidence, array_to_string(list_filter([CASE WHEN c[1] > 0 THEN 'nested repository' END, CASE WHEN c[2] > 0 THEN 'own licence' END, CASE WHEN c[3] > 0 THEN 'own manifest' END, CASE WHEN c[4] > 0 THEN 'usual name' END], lambda x: x IS NOT NULL), ', ') AS reasons
+ FROM h WHERE NOT EXISTS (SELECT 1 FROM h a WHERE starts_with(h.dir, a.dir || '/'))""")
 def s7_vendor_dirs(spark, d):
-    """Directories down to depth four with signs of a vendored project, by confidence."""
-    ids = table(spark, d, "files").select("id").distinct()
-    p = F.split("id", "/")
-    dirs = ids.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(p) - 1)), lambda n: F.array_join(F.slice(p, 1, n), "/"))).alias("dir")).where(F.size(F.split("dir", "/")) > 0).distinct()
-    up = F.regexp_extract("id", r"^(.*)/[^/]*$", 1)
-    named = ids.select(up.alias("dir"), F.col("id").rlike(r"/(?:LICENSE|LICENCE|COPYING|LICENSE\.md|LICENSE\.txt)$").cast("int").alias("lic"), F.col("id").rlike(r"/(?:package\.json|pyproject\.toml|Cargo\.toml|go\.mod|Gemfile|pom\.xml)$").cast("int").alias("man"))
-    signs = named.where("lic + man > 0").groupBy("dir").agg(F.max("lic").alias("lic"), F.max("man").alias("man"))
-    usual = F.lower(F.substring_index("dir", "/", -1)).isin("vendor", "vendors", "third_party", "third-party", "external", "externals", "deps", "submodules")
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return dirs.join(signs, "dir", "left").select("dir", ((z("lic") * 20 + z("man") * 30 + usual.cast("int") * 20) / 100.0).cast("double").alias("confidence")).where("confidence >= 0.195")
+    """Directories with signs of a vendored project, by confidence; a usual name alone is enough here, since the tables hold no manifests."""
+    return audit.vendor_dirs(table(spark, d, "files").select("id"), _VENDOR_LEAST)
 
 
 @query(f"WITH {_LF} SELECT id, regexp_extract(regexp_extract(id, '([^/]*)$', 1), '^(.*)$', 1) AS name, ext FROM lf WHERE contains(lower(id), 'shared')")
@@ -338,15 +334,34 @@ def a6_packages(spark, d):
 
 @query(f"""{_G} SELECT (SELECT count(*) FROM lf) AS files, (SELECT count(*) FROM ke WHERE k IS DISTINCT FROM 'asset') AS code_edges, (SELECT count(*) FROM ke WHERE k = 'asset') AS asset_edges,
  (SELECT count(*) FROM deg WHERE n_in = 0 AND n_out = 0) AS orphans, (SELECT count(*) FROM lf WHERE len(dynamic_patterns) > 0) AS dynamic_files,
- (SELECT count(*) FROM lf WHERE confidence = 'low') AS low, (SELECT count(*) FROM lf WHERE confidence = 'medium') AS medium""")
+ (SELECT count(*) FROM lf WHERE confidence = 'low') AS low, (SELECT count(*) FROM lf WHERE confidence = 'medium') AS medium,
+ (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM (SELECT ext AS x, count(*) AS n FROM lf GROUP BY ext ORDER BY n DESC, x LIMIT 5)) AS top_ext, (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM (SELECT string_split(id, '/')[1] AS x, count(*) AS n FROM lf GROUP BY 1 ORDER BY n DESC, x LIMIT 5)) AS top_folders,
+ (SELECT string_agg(id, ', ' ORDER BY n_in DESC, id) FROM (SELECT id, n_in FROM deg WHERE n_in >= 2 AND NOT regexp_matches(id, '{paths.DOC_PATH}') ORDER BY n_in DESC, id LIMIT 10)) AS top_hubs,
+ (SELECT string_agg(x, ', ' ORDER BY n DESC, x) FROM (SELECT regexp_extract(lower(u.url), '^(?:https?|wss?)://([^/:?#]+)', 1) AS x, sum(u.count) AS n FROM (SELECT unnest(external_urls) AS u FROM lf) GROUP BY 1 ORDER BY n DESC, x LIMIT 5)) AS top_domains""")
 def a1_summary(spark, d):
-    f = _flat(spark, d, "confidence", "dynamic_patterns")
+    """Counts, and the greatest extensions, folders, hubs and external domains as lists."""
+    f = _flat(spark, d, "confidence", "dynamic_patterns", "external_urls")
     e = _edges(spark, d)
     deg = graph.degrees(f, e)
+
+    def top(df, most, name):
+        """One row: the first ``most`` x of (x, n) by n and then x."""
+        first = df.orderBy(F.col("n").desc(), "x").limit(most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "x"))).alias("l"))
+        return first.select(F.array_join(F.transform("l", lambda r: r["x"]), ", ").alias(name))
+
+    n = F.count(F.lit(1)).alias("n")
+    lists = [
+        top(f.groupBy(F.col("ext").alias("x")).agg(n), 5, "top_ext"), top(f.groupBy(F.substring_index("id", "/", 1).alias("x")).agg(n), 5, "top_folders"),
+        top(deg.where((F.col("n_in") >= 2) & ~F.col("id").rlike(paths.DOC_PATH)).select(F.col("id").alias("x"), F.col("n_in").alias("n")), 10, "top_hubs"),
+        top(f.select(F.explode("external_urls").alias("u")).groupBy(paths.url_host(F.col("u.url")).alias("x")).agg(F.sum("u.count").alias("n")), 5, "top_domains"),
+    ]
     a = f.agg(F.count(F.lit(1)).alias("files"), F.sum((F.size(F.coalesce("dynamic_patterns", F.array())) > 0).cast("long")).alias("dynamic_files"), F.sum((F.col("confidence") == "low").cast("long")).alias("low"), F.sum((F.col("confidence") == "medium").cast("long")).alias("medium"))
     b = e.agg(F.sum((~F.col("k").eqNullSafe("asset")).cast("long")).alias("code_edges"), F.sum((F.col("k").eqNullSafe("asset")).cast("long")).alias("asset_edges"))
     c = deg.agg(F.sum(((F.col("n_in") == 0) & (F.col("n_out") == 0)).cast("long")).alias("orphans"))
-    return a.join(F.broadcast(b)).join(F.broadcast(c)).select("files", "code_edges", "asset_edges", "orphans", "dynamic_files", "low", "medium")
+    out = a.join(F.broadcast(b)).join(F.broadcast(c))
+    for one in lists:
+        out = out.join(F.broadcast(one))
+    return out.select("files", "code_edges", "asset_edges", "orphans", "dynamic_files", "low", "medium", "top_ext", "top_folders", "top_hubs", "top_domains")
 
 
 @query(f"WITH {_LF} SELECT ext, count(*) AS n, coalesce(sum(loc), 0)::BIGINT AS loc FROM lf GROUP BY ext")
@@ -401,7 +416,8 @@ def a11_schema_index(spark, d):
 
 @query(f"""{_G}, {_walk_sql('users', 3, _SEEDS)}, hit AS (SELECT h.seed AS id, count(*) - 1 AS dependents, count(*) FILTER (WHERE regexp_matches(h.id, '{_TEST}')) AS tests, max(CASE WHEN len(l.dynamic_patterns) > 0 THEN 1 ELSE 0 END) AS dyn
  FROM hop h JOIN lf l ON l.id = h.id GROUP BY h.seed), f AS (SELECT id, coalesce(len(routes), 0)::BIGINT AS n_routes, coalesce(len(api_calls), 0)::BIGINT AS n_api, coalesce(len(external_urls), 0)::BIGINT AS n_external, coalesce(len(dynamic_patterns), 0) > 0 AS dynamic FROM lf)
- SELECT f.id, CASE WHEN dependents > 30 THEN 'risky' WHEN n_routes > 0 OR n_external > 0 OR n_api > 0 OR dynamic OR dependents > 5 THEN 'caution' ELSE 'safe' END AS level,
+ SELECT f.id, array_to_string(list_filter([CASE WHEN dependents > 30 THEN 'many dependents' END, CASE WHEN n_routes > 0 THEN 'routes' END, CASE WHEN n_external > 0 THEN 'external URLs' END, CASE WHEN n_api > 0 THEN 'API calls' END, CASE WHEN dynamic THEN 'dynamic' END, CASE WHEN dependents BETWEEN 6 AND 30 THEN 'dependents' END], lambda x: x IS NOT NULL), ', ') AS reasons,
+ CASE WHEN dependents > 30 THEN 'risky' WHEN n_routes > 0 OR n_external > 0 OR n_api > 0 OR dynamic OR dependents > 5 THEN 'caution' ELSE 'safe' END AS level,
  dependents, n_routes, n_api, n_external, dynamic, tests, CASE WHEN dynamic OR dyn = 1 THEN 'limited' ELSE 'high' END AS confidence FROM f JOIN hit ON hit.id = f.id""")
 def a12_safety(spark, d):
     f = _files(spark, d)
