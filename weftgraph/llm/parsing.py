@@ -198,7 +198,7 @@ PERMITTED: dict[str, frozenset[str]] = {lang: frozenset(_json_pairs() if lang ==
 
 # Productions that pairs cannot say, as patterns of what must not stand in a level: the tokens of one bracket pair, or of the
 # whole text (between ^ and $), in which every inner bracket pair is one closing bracket (H after a header).
-_LINE = r"(?:^|(?<=[NQ]))A?"
+_LINE = r"(?:^|(?<=[NQ]))A?+"
 _CLAUSE = r"(?![%s])[^NQ]*NQ?%s"
 _LAST = {"js": "oO=a!.,?:>hrdqmDRCVXIFcE", "go": "oO=a+!.,:dP@", "java": r"oOa=+!.,?:>hrYJdqpUb@iknsw)\]", "c": r"oOa=+!.,?:hrYJUbd@iknswey)\]", "py": "oa=+!.,qmFcIfd@", "json": ",:"}
 _LAST["ts"] = _LAST["js"]
@@ -235,7 +235,7 @@ PRODUCTIONS: dict[str, tuple[tuple[str, str, str], ...]] = {
         ("no statement before", "", _LINE + _CLAUSE % ("gxlpX", "y")),
         ("no statement before", "", _LINE + _CLAUSE % ("tX", "X")),
         ("no statement before", "", _LINE + _CLAUSE % ("tXy", "z")),
-        ("try alone", "", r"(?:^|(?<=[NQ]))t:[^NQ]*NQ?(?![Xz])"),
+        ("try alone", "", r"(?:^|(?<=[NQ]))t:[^NQ]*NQ?+(?![Xz])"),
         ("colon", "", _LINE + r"(?![FcgxylptzXvMK])[^NQ]*:N"),
         ("import", "", _LINE + r"I(?![^N]*[iwMK)]N)"),
         ("from without import", "", _LINE + r"f(?:I|(?![^N]*I[^N]+N))"),
@@ -297,7 +297,7 @@ def read_levels(distinct: DataFrame) -> DataFrame:
     lambdas = F.when(F.col("body").contains("L"), F.regexp_replace(F.regexp_replace("body", "L[^:L]*:", "k"), "L[^:L]*:", "k")).otherwise(F.col("body"))
     flat = F.when(lang.isin("js", "ts"), F.translate("body", "N", "")).when(lang == "py", F.translate(lambdas, "~", "Q")).otherwise(F.col("body"))
     common = _common(F.col("body"))
-    common = F.when(root, F.concat(F.lit("^"), F.regexp_replace(common, "N+$", ""), F.lit("$"))).otherwise(F.concat(F.translate("open", "`", "N"), common, F.translate(F.substring("level", -1, 1), "~", "N")))
+    common = F.when(root, F.concat(F.lit("^"), F.regexp_replace(common, "(?<!:)N+$", ""), F.lit("$"))).otherwise(F.concat(F.translate("open", "`", "N"), common, F.translate(F.substring("level", -1, 1), "~", "N")))
     ctx = F.when(lang == "json", F.translate("open", "^{[(", "TOAT")).otherwise(F.translate("open", "^`([{", "TTPSB"))
     out = out.select("lang", "level", "open", "wrong", "body", flat.alias("flat"), F.when(typed, cancelled).alias("typed"), ctx.alias("ctx"), F.regexp_replace(common, r"(h|@.)\)", "$1H").alias("common"))
     hits = [F.col("wrong")]
