@@ -174,7 +174,7 @@ class _Seen(dict):
             return "s"
         if a.isdigit() or a == "." and len(t) > 1 and t[1].isdigit() or a == "-" and lang == "json" and len(t) > 1:
             return "n"
-        if a == "_" or a == "$" or a.isalpha() or a > "\x7f":
+        if a == "_" or a == "$" or a <= "\uffff" and (a.isalpha() or a > "\x7f"):
             if len(self) < 60_000:
                 self[t] = "i"
             return "i"
