@@ -49,3 +49,36 @@ def test_foreign_code_and_script_blocks(spark):
     parts = [("a.vue", "<template><p/></template>\n<script setup lang=\"ts\">\nimport x from './x'\n</script>\n<script>let y</script>"), ("b.astro", "---\nconst z = 1\n---\n<html/>"), ("c.svelte", "<p/>"), ("d.ts", "<script>no</script>")]
     got = {r["id"]: r["content"] for r in R.script_blocks(spark.createDataFrame(parts, C)).collect()}
     assert set(got) == {"a.vue.ts", "b.astro.ts"} and "import x" in got["a.vue.ts"] and "let y" in got["a.vue.ts"] and got["b.astro.ts"] == "const z = 1"
+
+
+def test_grouped_imports_are_written_out(spark):
+    rows = [("a.rs", "crate::internals::{attr, ungroup, Ctxt}"), ("b.rs", "crate::de::{enum_::Variant, self}"), ("c.rs", "crate::lib::*"), ("d.rs", "syn::Token as Tok"), ("e.rs", "a::{b, c::{d, e::{f, self}}, g}"), ("f.php", "Monolog\\Formatter\\{LineFormatter, JsonFormatter as JF}")]
+    got = {}
+    for r in R.use_trees(spark.createDataFrame(rows, "id string, use string")).collect():
+        got.setdefault(r["id"], set()).add(r["spec"])
+    assert got == {
+        "a.rs": {"crate::internals::attr", "crate::internals::ungroup", "crate::internals::Ctxt"}, "b.rs": {"crate::de::enum_::Variant", "crate::de"}, "c.rs": {"crate::lib"}, "d.rs": {"syn::Token"},
+        "e.rs": {"a::b", "a::c::d", "a::c::e::f", "a::c::e", "a::g"}, "f.php": {"Monolog\\Formatter\\LineFormatter", "Monolog\\Formatter\\JsonFormatter"},
+    }
+
+
+def test_routes_with_handlers_and_mounts(spark):
+    js = "const r = Router()\nr.get('/x/:id', auth, show)\nr.post('/', (q, s) => s)\napp.use('/api/', r)\napp.all('/top', top)\n"
+    py = "@app.route('/a', methods=['GET', 'POST'])\n@login\ndef a():\n    pass\n\n@bp.route('/b')\nasync def b(): pass\n@router.put('/c')\ndef c(): pass\n"
+    got = {tuple(r)[1:] for r in R.route_handlers(spark.createDataFrame([("m.js", js), ("m.py", py)], C)).collect()}
+    assert got == {("GET", "/api/x/:id", "show"), ("POST", "/api", None), ("ALL", "/top", "top"), ("GET", "/a", "a"), ("POST", "/a", "a"), ("GET", "/b", "b"), ("PUT", "/c", "c")}
+
+
+def test_client_calls_by_method(spark):
+    js = "fetch('/a'); fetch('/b', { method: 'POST', body }); axios.delete('/c'); fetch('/d'); api.get('/d'); $fetch('/e'); axios.get(`/f/${id}/g`)\n"
+    got = {tuple(r)[1:] for r in R.client_calls(spark.createDataFrame([("m.ts", js)], C)).collect()}
+    assert got == {("GET", "/a", None, False), ("POST", "/b", None, False), ("DELETE", "/c", "axios", False), ("GET", "/d", "api", False), ("GET", "/e", "$fetch", False), ("ANY", "/f/", "axios", True)}
+
+
+def test_fields_of_models(spark):
+    rows = [
+        ("s.prisma", 'model User {\n  id Int @id\n  name String\n  @@map("users")\n}\n'), ("m.py", "class A(Base):\n    __tablename__ = 'as'\n    id = Column(Integer, primary_key=True)\n    b = mapped_column(String(9))\n\nclass D(models.Model):\n    title = models.CharField(max_length=9)\n\nx = 1\n"),
+        ("e.ts", "@Entity('things')\nexport class Thing {\n  @Column() name: string;\n  @PrimaryGeneratedColumn()\n  id!: number\n}\n"),
+    ]
+    got = {tuple(r)[1:] for r in R.model_fields(spark.createDataFrame(rows, C)).collect()}
+    assert got == {("User", "users", "id", "Int"), ("User", "users", "name", "String"), ("A", "as", "id", "Integer"), ("A", "as", "b", "String"), ("D", None, "title", "Char"), ("Thing", "things", "name", "string"), ("Thing", "things", "id", "number")}

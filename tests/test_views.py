@@ -150,3 +150,33 @@ def test_files_are_written_and_restored_and_reports_told(spark):
     e = spark.createDataFrame([("y.ts", "x.ts", "i"), ("z.py", "x.ts", "i"), ("x.ts", "y.ts", "i")], E)
     files, edges = sinks.chosen(f, e, ".TS", 1)
     assert {r["id"] for r in files.collect()} == {"x.ts", "y.ts"} and edges.count() == 2
+
+
+def test_statuses_trees_and_budgets(spark, tmp_path):
+    import subprocess
+
+    assert code_tree.git_statuses("A\ta.py\nR087\told.py\tnew.py\nD\tx\n\nU\ty\n") == [("a.py", "added", None), ("new.py", "renamed", "old.py"), ("x", "deleted", None)]
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x.invalid", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n" * 20)
+    git("add", "-A"), git("commit", "-qm", "1")
+    (tmp_path / "a.py").rename(tmp_path / "b.py")
+    (tmp_path / "c.py").write_text("y\n")
+    git("add", "-A"), git("commit", "-qm", "2")
+    assert {tuple(r) for r in code_tree.git_diff(spark, str(tmp_path), "HEAD~1", "HEAD").collect()} == {("b.py", "renamed", "a.py"), ("c.py", "added", None)}
+    assert {tuple(r) for r in code_tree.git_tree(spark, str(tmp_path), "HEAD~1").collect()} == {("a.py", 120)}
+    sym = spark.createDataFrame([("s1", "login", "a", 0, False, False, False, 10), ("s2", "loginForm", "b", 5, False, False, False, 10), ("s3", "other", "c", 9, False, False, False, 10)], "symbol string, name string, file string, n_in long, deprecated boolean, aux boolean, entry boolean, tokens long")
+    vec = spark.createDataFrame([("s3", [1.0, 0.0]), ("s1", [0.0, 1.0])], "id string, vector array<float>")
+    got = [(r["symbol"], r["group"], r["total"]) for r in search.explore_with_vectors(sym, "login", vec, [1.0, 0.0], 25).orderBy("total").collect()]
+    assert got == [("s3", "semantic", 10), ("s1", "exact_match", 20)]
+
+
+def test_pairs_by_a_stem_within_and_points_of_the_module(spark):
+    from weftgraph.operators import resolve
+
+    files = [("r/a/user.js",), ("r/a/userstore.js",), ("q/userstore.js",), ("r/t/userstore_login.test.js",), ("r/t/abc.test.js",), ("r/a/abcd.js",)]
+    got = {r["test"]: r["source"] for r in resolve.test_pairs(spark.createDataFrame(files, "id string")).collect()}
+    assert got == {"r/t/userstore_login.test.js": "r/a/userstore.js"}
+    spans = spark.createDataFrame([("a", "f", 2, 5)], "file string, id string, lo long, hi long")
+    pts = spark.createDataFrame([("1", "a", 3), ("2", "a", 9), ("3", "b", 1)], "point string, file string, line long")
+    assert {r["point"]: r["id"] for r in resolve.enclosing(pts, spans, "file", module=True).collect()} == {"1": "f", "2": "a#<module>", "3": None}

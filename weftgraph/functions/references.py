@@ -114,3 +114,90 @@ def script_blocks(contents: DataFrame) -> DataFrame:
     code = F.array_join(F.filter(F.concat(F.array(front), blocks), lambda x: x != ""), "\n")
     ext = F.when(F.col("content").rlike(r"(?i)<script\b[^>]*\blang\s*=\s*[\"']?ts") | F.col("id").rlike(r"(?i)\.astro$"), ".ts").otherwise(".js")
     return own.select(F.concat("id", ext).alias("id"), code.alias("content")).where("content <> ''")
+
+
+def use_trees(uses: DataFrame) -> DataFrame:
+    """(id, spec) of (id, use): grouped imports of Rust and PHP written out, without aliases, globs and, in Rust, with ``self`` as the group.
+
+    ``a::{b, c::{d, self}} `` gives a::b, a::c::d and a::c; the outermost group is written out first, one level a step.
+    """
+    sep = F.when(F.instr("use", "\\") > 0, F.lit("\\")).otherwise(F.lit("::"))
+    clean = F.regexp_replace(F.regexp_replace("use", r"\s+as\s+\w+", ""), r"\s+", "")
+    rows = uses.select("id", sep.alias("sep"), clean.alias("spec")).where("spec <> ''")
+
+    def cut_outer(spec):
+        # members of the outermost group, told apart at commas of depth one
+        head, body = F.regexp_extract(spec, r"(?s)^([^{}]*)\{(.*)\}$", 1), F.regexp_extract(spec, r"(?s)^([^{}]*)\{(.*)\}$", 2)
+        parts = F.filter(F.regexp_extract_all(body, F.lit(r"((?:[^,{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})+)"), F.lit(1)), lambda x: x != "")
+        return F.when(F.contains(spec, F.lit("{")), F.transform(parts, lambda x: F.concat(head, x))).otherwise(F.array(spec))
+
+    every = F.array("spec")
+    for _ in range(4):  # groups nest four deep at most
+        every = F.flatten(F.transform(every, cut_outer))
+    flat = rows.select("id", "sep", F.explode(every).alias("spec"))
+    bare = F.regexp_replace(F.regexp_replace("spec", r"(?:::|\\)\*$", ""), r"::self$", "")
+    return flat.select("id", bare.alias("spec")).where(~F.contains("spec", F.lit("{")) & (F.col("spec") != "")).distinct()
+
+
+def _triples(rx: str, groups: tuple[int, int, int]):
+    a, b, c = (F.regexp_extract_all("content", F.lit(rx), F.lit(g)) for g in groups)
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c")), lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"), z["c"].alias("c")))
+
+
+def route_handlers(contents: DataFrame) -> DataFrame:
+    """(id, method, path, handler): routes with the name of what handles them.
+
+    Scripts: calls on a router with a named last argument, below the prefix under which the same file mounts the router; a router
+    without a mount serves its paths as they stand. Python: decorators with their methods (GET where a plain route names none),
+    handled by the function they decorate.
+    """
+    c = with_family(contents)
+    js = c.where("lang = 'js'")
+    calls = _triples(r"""\b([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|all)\s*\(\s*['"`]([^'"`\n]*)['"`]""", (1, 2, 3))
+    named = F.regexp_extract_all("content", F.lit(r"""\b[A-Za-z_$][\w$]*\.(?:get|post|put|patch|delete|all)\s*\(\s*['"`][^'"`\n]*['"`](?:\s*(?:,\s*[\w$.]+\s*)*?,\s*([A-Za-z_$][\w$.]*)\s*\)|)"""), F.lit(1))
+    each = js.select("id", F.explode(F.arrays_zip(calls.alias("r"), named.alias("h"))).alias("x")).select("id", F.col("x.r.a").alias("router"), F.upper("x.r.b").alias("method"), F.col("x.r.c").alias("path"), F.nullif("x.h", F.lit("")).alias("handler")).where(F.startswith(F.col("path"), F.lit("/")))
+    mounts = js.select("id", F.explode(_triples(r"""\b([A-Za-z_$][\w$]*)\.use\s*\(\s*['"`](/[^'"`\n]*)['"`]\s*,\s*([A-Za-z_$][\w$]*)\s*\)""", (1, 2, 3))).alias("m")).select("id", F.col("m.c").alias("router"), F.regexp_replace("m.b", "/+$", "").alias("prefix"))
+    scripts = each.join(mounts, ["id", "router"], "left").select("id", "method", F.concat(F.coalesce("prefix", F.lit("")), F.when(F.col("prefix").isNotNull() & (F.col("path") == "/"), "").otherwise(F.col("path"))).alias("path"), "handler")
+    deco = r"""@\w+\.(route|get|post|put|patch|delete)\s*\(\s*['"]([^'"\n]+)['"]([^)\n]*)\)\s*\n(?:\s*@[^\n]*\n)*\s*(?:async\s+)?def\s+(\w+)"""
+    py = c.where("lang = 'py'").select("id", F.explode(F.arrays_zip(_triples(deco, (1, 2, 3)).alias("r"), F.regexp_extract_all("content", F.lit(deco), F.lit(4)).alias("h"))).alias("x"))
+    said = F.regexp_extract_all("x.r.c", F.lit(r"""['"]([A-Za-z]+)['"]"""), F.lit(1))
+    methods = F.when(F.col("x.r.a") != "route", F.array(F.upper("x.r.a"))).when(F.contains("x.r.c", F.lit("methods")) & (F.size(said) > 0), F.transform(said, F.upper)).otherwise(F.array(F.lit("GET")))
+    python = py.select("id", F.explode(methods).alias("method"), F.col("x.r.b").alias("path"), F.col("x.h").alias("handler"))
+    return scripts.unionByName(python).distinct()
+
+
+def client_calls(contents: DataFrame) -> DataFrame:
+    """(id, method, url, via, partial): API calls of client code; of calls alike in method and URL the one that tells its client is kept.
+
+    A URL that a template continues ends at the hole, is partial and may have ANY method; ``fetch`` is GET unless its options name another.
+    """
+    c = with_family(contents).where("lang = 'js'")
+    clients = r"""(?<![\w$.])(axios|http|client|api|ky|got|\$fetch|useFetch)(?:\.(get|post|put|patch|delete))?\s*\(\s*['"`]([^'"`\n]+)['"`]"""
+    plain = r"""(?<![\w$.])fetch\s*\(\s*(['"`])([^'"`\n]+)['"`]\s*(?:,\s*\{[^}]*?\bmethod\s*:\s*['"](\w+)['"])?"""
+    of = c.select("id", F.explode(F.concat(
+        F.transform(_triples(clients, (1, 2, 3)), lambda z: F.struct(z["a"].alias("via"), z["b"].alias("m"), z["c"].alias("u"))), F.transform(_triples(plain, (1, 2, 3)), lambda z: F.struct(F.lit(None).cast("string").alias("via"), z["c"].alias("m"), z["b"].alias("u"))),
+    )).alias("x"))
+    hole = F.contains("x.u", F.lit("${"))
+    rows = of.select("id", F.when(hole, "ANY").otherwise(F.coalesce(F.upper(F.nullif("x.m", F.lit(""))), F.lit("GET"))).alias("method"), F.regexp_replace("x.u", r"\$\{.*$", "").alias("url"), "x.via", hole.alias("partial")).where("url <> ''")
+    return rows.groupBy("id", "method", "url").agg(F.min("via").alias("via"), F.max("partial").alias("partial")).select("id", "method", "url", "via", "partial")
+
+
+def model_fields(contents: DataFrame) -> DataFrame:
+    """(id, model, table_name, field, type): fields of database models in schema files and in Python and script classes.
+
+    A model's body is what follows its head up to the next line that begins with a letter, a closing brace or another model.
+    """
+    c = with_family(contents)
+    heads = {
+        "prisma": (r"(?ms)^model\s+(\w+)\s*\{(.*?)^\}", r"(?m)^\s+(\w+)\s+(\w+)", r"@@map\(\s*\"([^\"]+)\""),
+        "py": (r"(?ms)^class\s+(\w+)\s*\([^)\n]*(?:Base|Model)\b[^)\n]*\)\s*:(.*?)(?=^\S|\Z)", r"(?m)^\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:\w+\.)*(?:Column|mapped_column)?\(?\s*(?:\w+\.)*(\w+?)(?:Field)?\s*[(,)]", r"(?:__tablename__|db_table)\s*=\s*['\"]([^'\"]+)"),
+        "js": (r"(?ms)@Entity\([^)]*\)\s*(?:export\s+)?class\s+(\w+)[^{]*\{(.*?)^\}", r"(?m)@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|\w*To\w+)\([^\n]*?\)\s*(\w+)\s*[?!]?\s*:\s*(\w+)", r"(?!)()"),
+    }
+    out = None
+    for lang, (head, field, table) in heads.items():
+        m = c.where(F.col("lang") == lang).select("id", "content", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(head), F.lit(1)).alias("n"), F.regexp_extract_all("content", F.lit(head), F.lit(2)).alias("b"))).alias("x"))
+        named = F.regexp_extract("content", r"@Entity\(\s*['\"]([^'\"]+)", 1) if lang == "js" else F.regexp_extract("x.b", table, 1)
+        rows = m.select("id", F.col("x.n").alias("model"), F.nullif(named, F.lit("")).alias("table_name"), F.explode(F.arrays_zip(F.regexp_extract_all("x.b", F.lit(field), F.lit(1)).alias("f"), F.regexp_extract_all("x.b", F.lit(field), F.lit(2)).alias("t"))).alias("y"))
+        rows = rows.select("id", "model", "table_name", F.col("y.f").alias("field"), F.col("y.t").alias("type")).where(~F.col("field").rlike("^__"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()

@@ -185,3 +185,10 @@ def bundle(ranked: DataFrame, budget: int, partition: str = "seed") -> DataFrame
     cost = F.ceil(F.coalesce(F.col("size"), F.lit(0)) / 4).cast("long")
     run = ranked.withColumn("tokens", cost).withColumn("total", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.row_number().over(w))
     return run.where((F.col("total") <= budget) | (F.col("_r") == 1)).drop("_r")
+
+
+def first_users(edges: DataFrame, most: int) -> DataFrame:
+    """(id, importers): the first ``most`` users of each file by id, as a list; the rank is cut before the shuffle as well as after it."""
+    w = Window.partitionBy("t").orderBy("s")
+    few = edges.select("s", "t").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return few.groupBy(F.col("t").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("s")), ", ").alias("importers"))

@@ -83,11 +83,12 @@ def api_links(files: DataFrame, strict: bool = True) -> DataFrame:
     return out.where(F.col("s") != F.col("t")).distinct()
 
 
-def enclosing(points: DataFrame, spans: DataFrame, group: str, width: int = 64) -> DataFrame:
+def enclosing(points: DataFrame, spans: DataFrame, group: str, width: int = 64, module: bool = False) -> DataFrame:
     """For (point, <group>, line), the tightest of (<group>, id, lo, hi) that holds the line; null where none does.
 
     A range join by buckets: a span is a row for each bucket of ``width`` lines it touches, a point looks into one bucket;
-    spans longer than 1024 buckets are joined by group alone.
+    spans longer than 1024 buckets are joined by group alone. With ``module`` a point of a known group outside all its spans gets the
+    group's ``<module>``.
     """
     wide = (F.col("hi") - F.col("lo")) >= width * 1024
     cut = spans.where(~wide).withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
@@ -96,6 +97,11 @@ def enclosing(points: DataFrame, spans: DataFrame, group: str, width: int = 64)
     hits = p.join(cut, [group, "_b"]).where(within).select("point", "id", "lo", "hi")
     hits = hits.unionByName(points.join(spans.where(wide), group).where(within).select("point", "id", "lo", "hi"))
     best = hits.groupBy("point").agg(F.min(F.struct(F.col("hi") - F.col("lo"), "id")).alias("_x")).select("point", F.col("_x.id").alias("id"))
+    if module:
+        # a point outside every interval belongs to its group as a whole, where the group is known at all
+        known = spans.select(group).distinct()
+        whole = points.select("point", group).distinct().join(known, group).select("point", F.concat(group, F.lit("#<module>")).alias("_whole"))
+        return points.select("point").distinct().join(best, "point", "left").join(whole, "point", "left").select("point", F.coalesce("id", "_whole").alias("id"))
     return points.select("point").distinct().join(best, "point", "left")
 
 
@@ -190,7 +196,11 @@ def inherited(classes: DataFrame, methods: DataFrame, wanted: DataFrame, limit:
 
 
 def test_pairs(files: DataFrame) -> DataFrame:
-    """(test, source): test files paired with the source of the same stem; same directory tree first, then the smallest id."""
+    """(test, source): test files paired with the source of the same stem; same directory tree first, then the smallest id.
+
+    A test without such a source takes the one whose stem, of four letters or more, stands in its own: the longest, then the same
+    tree, then the smallest id. Stretches of the test's stem are keys, so no test is compared with all sources.
+    """
     stem = F.regexp_replace(F.regexp_replace(paths.base_name("id"), r"\.[^.]*$", ""), r"(?i)(?:^test[_-]?|[._-]?(?:test|tests|spec)$)", "")
     marked = files.select("id", F.lower(stem).alias("_stem"), paths.base_name("id").rlike(r"(?i)^test_|[._-](?:test|spec)\.|_test\.|(?:Test|Tests|Spec)\.").alias("_t"), F.substring_index("id", "/", 1).alias("_top")).distinct()
     tests, sources = marked.where("_t"), marked.where("not _t")
@@ -199,4 +209,11 @@ def test_pairs(files: DataFrame) -> DataFrame:
     near = sources.groupBy("_stem", "_top").agg(F.min("id").alias("_near"))
     far = sources.groupBy("_stem").agg(F.min("id").alias("_far"))
     j = tests.select(F.col("id").alias("test"), "_stem", "_top").join(far, "_stem").join(near, ["_stem", "_top"], "left")
-    return j.select("test", F.coalesce("_near", "_far").alias("source"))
+    exact = j.select("test", F.coalesce("_near", "_far").alias("source"))
+    n = F.length("_stem")
+    parts = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), n - 3), lambda a: F.transform(F.sequence(F.lit(4), n - a + 1), lambda k: F.col("_stem").substr(a, k)))), lambda x: x != F.col("_stem"))
+    open_ = tests.join(exact.select(F.col("test").alias("id")), "id", "left_anti").where(n >= 5)
+    keys = open_.select(F.col("id").alias("test"), "_top", F.explode(F.array_distinct(parts)).alias("_stem"))
+    k = keys.join(far, "_stem").join(near, ["_stem", "_top"], "left")
+    best = F.min(F.struct((-F.length("_stem")).alias("a"), F.col("_near").isNull().alias("b"), F.coalesce("_near", "_far").alias("source"))).alias("x")
+    return exact.unionByName(k.groupBy("test").agg(best).select("test", F.col("x.source").alias("source")))

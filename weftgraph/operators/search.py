@@ -188,6 +188,21 @@ def explore(symbols: DataFrame, query: str, per_group: int = 8) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= per_group).select("symbol", "group", "rank", "n_in")
 
 
+def explore_with_vectors(symbols: DataFrame, query: str, vectors: DataFrame, query_vector: list[float], budget: int, per_group: int = 8, k: int = 30) -> DataFrame:
+    """(symbol, group, rank, total): ``explore`` with a group ``semantic`` of the nearest (id, vector), within ``budget`` tokens.
+
+    ``symbols`` has ``tokens`` too. Groups stand in order, the nearest vectors first; a symbol counts once, in its first group; the prefix whose
+    tokens fit the budget is kept, the first row always. What both legs give is bounded by ``per_group`` and ``k``.
+    """
+    near = cosine_top(vectors, query_vector, k).select(F.col("id").alias("symbol"), F.lit("semantic").alias("group"), F.row_number().over(Window.orderBy(F.col("similarity").desc(), "id")).cast("long").alias("rank"))
+    order = F.create_map(*[F.lit(x) for i, g in enumerate(("semantic", "exact_match", "active", "normal", "entry", "orphan", "aux", "test", "deprecated")) for x in (g, i)])
+    both = near.unionByName(explore(symbols, query, per_group).select("symbol", "group", "rank")).withColumn("_o", order[F.col("group")])
+    once = both.groupBy("symbol").agg(F.min(F.struct("_o", "rank", "group")).alias("x")).select("symbol", "x.group", "x.rank", F.col("x._o").alias("_o"))
+    w = Window.orderBy("_o", "rank", "symbol").rowsBetween(Window.unboundedPreceding, 0)
+    run = once.join(symbols.select("symbol", "tokens").dropDuplicates(["symbol"]), "symbol").withColumn("total", F.sum("tokens").over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    return run.where((F.col("total") <= budget) | (F.col("_n") == 1)).select("symbol", "group", "rank", "total")
+
+
 def embedded(symbols: DataFrame, embed, batch: int = 32) -> DataFrame:
     """(id, vector) of (id, text): ``embed`` turns lists of at most ``batch`` texts into vectors, loaded once a task and fed by Arrow batches.
 

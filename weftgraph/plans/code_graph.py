@@ -127,12 +127,14 @@ def proj1_listing(spark, d):
     return f.where("ext = 'ts'").join(deg.where("n_in >= 2"), "id").select("id", "ext", "loc", "size", "n_in").orderBy(F.col("n_in").desc(), "id").offset(10).limit(50)
 
 
-@query(f"""{_G} SELECT l.id, l.ext, l.loc, l.size, sha256(c.content) AS sha256, d.n_in, d.n_out FROM lf l JOIN deg d ON d.id = l.id
+@query(f"""{_G}, u AS (SELECT t, string_agg(s, ', ' ORDER BY s) AS importers FROM (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY s) AS r FROM (SELECT DISTINCT s, t FROM ke)) WHERE r <= 20 GROUP BY t)
+ SELECT l.id, l.ext, l.loc, l.size, sha256(c.content) AS sha256, d.n_in, d.n_out, coalesce(u.importers, '') AS importers FROM lf l LEFT JOIN u ON u.t = l.id JOIN deg d ON d.id = l.id
  JOIN (SELECT id, max(content) AS content FROM file_content GROUP BY id) c ON c.id = l.id WHERE c.content IS NOT NULL""")
 def proj2_node_detail(spark, d):
     f = _flat(spark, d)
     c = table(spark, d, "file_content").where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.sha2("content", 256)).alias("sha256"), F.count_distinct(F.sha2("content", 256)).alias("_n"))
-    return f.join(c.where("sha256 is not null"), "id").join(graph.degrees(f, _edges(spark, d)), "id").select("id", "ext", "loc", "size", "sha256", "n_in", "n_out")
+    e = _edges(spark, d)
+    return f.join(c.where("sha256 is not null"), "id").join(graph.degrees(f, e), "id").join(graph.first_users(e, 20), "id", "left").select("id", "ext", "loc", "size", "sha256", "n_in", "n_out", F.coalesce("importers", F.lit("")).alias("importers"))
 
 
 @query(f"{_G}, hub AS (SELECT id FROM deg ORDER BY n_in DESC, id LIMIT 1) SELECT s, t, k FROM ke WHERE t IN (SELECT id FROM hub)")
@@ -515,8 +517,8 @@ SQL["j8_barrel_reach"] = f"""WITH RECURSIVE {_LF}, {_CE}, {_KE}, w(seed, id, dep
 
 
 @query(r"""WITH b AS (SELECT DISTINCT id, regexp_extract(id, '([^/]*)$', 1) AS n, string_split(id, '/')[1] AS top FROM files WHERE id IS NOT NULL),
- m AS (SELECT id, top, lower(regexp_replace(regexp_replace(n, '\.[^.]*$', ''), '(?i)(?:^test[_-]?|[._-]?(?:test|tests|spec)$)', '', 'g')) AS stem, regexp_matches(n, '(?i)^test_|[._-](?:test|spec)\.|_test\.|(?:Test|Tests|Spec)\.') AS t FROM b)
- SELECT a.id AS test, min(struct_pack(far := a.top <> b.top, id := b.id)).id AS source FROM m a JOIN m b ON b.stem = a.stem AND a.t AND NOT b.t AND a.stem <> '' GROUP BY a.id""")
+ m AS (SELECT id, top, lower(regexp_replace(regexp_replace(n, '\.[^.]*$', ''), '(?i)(?:^test[_-]?|[._-]?(?:test|tests|spec)$)', '', 'g')) AS stem, regexp_matches(n, '(?i)^test_|[._-](?:test|spec)\.|_test\.|(?:Test|Tests|Spec)\.') AS t FROM b),
+ x AS (SELECT a.id AS test, min(struct_pack(n := -length(b.stem), far := a.top <> b.top, id := b.id)).id AS source FROM m a JOIN m b ON a.t AND NOT b.t AND b.stem <> '' AND (b.stem = a.stem OR length(b.stem) >= 4 AND contains(a.stem, b.stem)) GROUP BY a.id) SELECT test, source FROM x""")
 def j18_test_pairs(spark, d):
     return resolve.test_pairs(table(spark, d, "files").select("id").where("id is not null"))
 

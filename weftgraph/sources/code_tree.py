@@ -177,6 +177,29 @@ def git_history(spark: SparkSession, root: str) -> DataFrame:
     return out.select("hash", F.timestamp_seconds("_ts").alias("ts"), "subject", "id")
 
 
+def git_statuses(text: str) -> list[tuple[str, str, str | None]]:
+    """(id, status, before) of the lines of ``git diff --name-status``: added, modified, deleted, renamed or copied, with the name before."""
+    names, out = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "modified"}, []
+    for line in text.splitlines():
+        parts = line.split("\t")
+        if len(parts) >= 2 and parts[0][:1] in names:
+            out.append((parts[-1], names[parts[0][0]], parts[1] if len(parts) > 2 else None))
+    return out
+
+
+def git_diff(spark: SparkSession, root: str, base: str, head: str) -> DataFrame:
+    """(id, status, before) of files that differ between two commits; the list is one command's output."""
+    got = subprocess.run(["git", "-C", root, "diff", "--name-status", "-M", f"{base}..{head}"], capture_output=True, text=True).stdout
+    return spark.createDataFrame(git_statuses(got), "id string, status string, before string")
+
+
+def git_tree(spark: SparkSession, root: str, commit: str) -> DataFrame:
+    """(id, size) of the files of a commit's tree, whatever is checked out."""
+    got = subprocess.run(["git", "-C", root, "ls-tree", "-r", "-l", "-z", commit], capture_output=True, text=True).stdout
+    rows = [(name, int(meta.split()[-1]) if meta.split()[-1].isdigit() else None) for x in got.split("\0") if x for meta, _, name in (x.partition("\t"),)]
+    return spark.createDataFrame(rows, "id string, size long")
+
+
 def git_changed(spark: SparkSession, root: str, base: str, head: str) -> DataFrame:
     """(id) of files that differ between two commits."""
     got = subprocess.run(["git", "-C", root, "diff", "--name-only", "--diff-filter=ACMR", f"{base}..{head}"], capture_output=True, text=True).stdout
