@@ -180,3 +180,20 @@ def test_pairs_by_a_stem_within_and_points_of_the_module(spark):
     spans = spark.createDataFrame([("a", "f", 2, 5)], "file string, id string, lo long, hi long")
     pts = spark.createDataFrame([("1", "a", 3), ("2", "a", 9), ("3", "b", 1)], "point string, file string, line long")
     assert {r["point"]: r["id"] for r in resolve.enclosing(pts, spans, "file", module=True).collect()} == {"1": "f", "2": "a#<module>", "3": None}
+
+
+def test_leases_run_out_in_a_stream(spark, tmp_path):
+    t = lambda s: datetime.datetime(2024, 1, 1, 0, 0, 0) + datetime.timedelta(seconds=s)
+    for k, rows in enumerate(([("a", t(0)), ("a", t(10)), ("b", t(5))], [("b", t(60)), ("b", t(200))], [("c", t(400))], [("c", t(401))])):
+        spark.createDataFrame(rows, "id string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "beats"))
+    stream = spark.readStream.schema("id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "beats"))
+    got = {(r["id"], r["n_beats"], (r["last_beat"] - t(0)).seconds) for r in live.run(live.expired_leases(stream), "leases", "append").collect()}
+    assert {("a", 2, 10), ("b", 1, 5), ("b", 1, 60), ("b", 1, 200)} <= got and not any(i == "c" for i, _, _ in got)
+
+
+def test_days_of_commits(spark):
+    from weftgraph.operators import trace
+
+    rows = [("c1", datetime.datetime(2024, 1, 1, 9), "a"), ("c1", datetime.datetime(2024, 1, 1, 9), "b"), ("c2", datetime.datetime(2024, 1, 1, 23), "a"), ("c3", datetime.datetime(2024, 1, 2, 1), "a")]
+    got = {(str(r["day"]), r["n_commits"], r["n_files"]) for r in trace.commit_days(spark.createDataFrame(rows, "commit string, ts timestamp, id string")).collect()}
+    assert got == {("2024-01-01", 2, 2), ("2024-01-02", 1, 1)}

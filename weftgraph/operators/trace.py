@@ -70,3 +70,8 @@ def classify_observed(pairs: DataFrame, confident: DataFrame, candidate: DataFra
     b = candidate.select("s", "t").distinct().withColumn("_b", F.lit(True))
     j = p.join(a, ["s", "t"], "left").join(b, ["s", "t"], "left")
     return j.select("s", "t", F.when(F.col("_a"), "confirmed-static").when(F.col("_b"), "confirmed-candidate").otherwise("new-dynamic").alias("verdict"))
+
+
+def commit_days(commits: DataFrame) -> DataFrame:
+    """(day, n_commits, n_files) of a history of (commit, ts, id): what each UTC day added."""
+    return commits.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("commit").alias("n_commits"), F.count_distinct("id").alias("n_files"))

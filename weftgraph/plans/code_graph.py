@@ -562,3 +562,12 @@ def a18_tour(spark, d):
     n = F.size(F.coalesce("external_urls", F.array()))
     ext = f.where(n > 0).join(F.broadcast(entry), "id", "left_anti").join(F.broadcast(hubs), "id", "left_anti").orderBy(n.desc(), "id").limit(3).select("id")
     return entry.withColumn("stop", F.lit("entry")).union(hubs.withColumn("stop", F.lit("hub"))).union(ext.withColumn("stop", F.lit("external")))
+
+
+@query(f"""{_G} SELECT coalesce(l.ext, '') AS ext, l.confidence, count(*) AS n, count(*) FILTER (WHERE d.n_in = 0 AND d.n_out = 0) AS n_alone, count(*) FILTER (WHERE d.n_in >= 10) AS n_hubs FROM lf l JOIN deg d ON d.id = l.id GROUP BY coalesce(l.ext, ''), l.confidence""")
+def a21_node_kinds(spark, d):
+    """Nodes by extension and confidence, with those that stand alone and hubs of ten users or more."""
+    f = _flat(spark, d, "confidence")
+    j = f.join(graph.degrees(f, _edges(spark, d)), "id")
+    n = lambda c: F.sum(c.cast("long"))
+    return j.groupBy(F.coalesce("ext", F.lit("")).alias("ext"), "confidence").agg(F.count(F.lit(1)).alias("n"), n((F.col("n_in") == 0) & (F.col("n_out") == 0)).alias("n_alone"), n(F.col("n_in") >= 10).alias("n_hubs"))

@@ -150,7 +150,7 @@ def a26_a33_health(spark, d):
 
 
 @query("""SELECT CAST(first_seen AS DATE) AS day, count(*) AS n_new FROM (SELECT id, min(last_seen) AS first_seen FROM files WHERE id IS NOT NULL AND last_seen IS NOT NULL GROUP BY id) GROUP BY 1""")
-def a19_timeline(spark, d):
+def a32_first_seen_days(spark, d):
     """Files by the day they were first seen."""
     f = table(spark, d, "files").where("id is not null and last_seen is not null").groupBy("id").agg(F.min("last_seen").alias("t"))
     return f.groupBy(F.to_date("t").alias("day")).agg(F.count(F.lit(1)).alias("n_new"))
@@ -167,18 +167,21 @@ def a25_labels(spark, d):
 
 
 @query(f"""WITH {cg._LF}, o AS (SELECT id, arg_min(size, last_seen) AS before, arg_max(size, last_seen) AS after FROM files WHERE last_seen IS NOT NULL AND size IS NOT NULL GROUP BY id) SELECT id, before, after FROM o WHERE before <> after""")
-def a27_changed_sizes(spark, d):
+def a32_changed_sizes(spark, d):
     """Files whose first and newest scan differ."""
     f = table(spark, d, "files").where("id is not null and last_seen is not null and size is not null").groupBy("id").agg(F.min_by("size", "last_seen").alias("before"), F.max_by("size", "last_seen").alias("after"))
     return f.where("before <> after")
 
 
-@query(f"""WITH p AS ({cg.SQL["a13_preflight"]}), o(rank, priority, key) AS (VALUES (0, 'high', 'env-undeclared'), (1, 'high', 'hub-tests'), (2, 'medium', 'orphans'), (3, 'medium', 'env-unused'), (4, 'low', 'dynamic')) SELECT o.rank, o.priority, o.key, p.n FROM o JOIN p ON p.key = o.key WHERE p.status <> 'ok'""")
+@query(f"""WITH p AS ({cg.SQL["a13_preflight"]}), o(rank, priority, key) AS (VALUES (0, 'high', 'env-undeclared'), (1, 'high', 'hub-tests'), (2, 'medium', 'orphans'), (3, 'medium', 'env-unused'), (4, 'low', 'dynamic')), v AS ({cg.SQL["s7_vendor_dirs"]}) SELECT o.rank, o.priority, o.key, p.n FROM o JOIN p ON p.key = o.key WHERE p.status <> 'ok' UNION ALL SELECT 5, 'low', 'vendored', n FROM (SELECT count(*) AS n FROM v) WHERE n > 0""")
 def a14_suggestions(spark, d):
-    """What to look at next, by priority: environment, hubs without tests, orphans, vendored directories, dynamic share."""
+    """What to look at next, by priority: environment, hubs without tests, orphans, unused variables, dynamic share, vendored directories."""
     checks = {r["key"]: r for r in audit.preflight(cg._files(spark, d), cg._edges(spark, d), cg._env(spark, d)).collect()}
     order = [("high", "env-undeclared"), ("high", "hub-tests"), ("medium", "orphans"), ("medium", "env-unused"), ("low", "dynamic")]
     rows = [(i, p, k, checks[k]["n"]) for i, (p, k) in enumerate(order) if checks[k]["status"] != "ok"]
+    vendored = cg.s7_vendor_dirs(spark, d).count()
+    if vendored:
+        rows.append((len(order), "low", "vendored", vendored))
     return spark.createDataFrame(rows, "rank int, priority string, key string, n long")
 
 

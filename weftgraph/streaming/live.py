@@ -100,3 +100,13 @@ def changes(stream: DataFrame, on_changes) -> None:
 def profile_cycles(pairs: DataFrame, late: str = "1 day") -> DataFrame:
     """Observed pairs of a stream of profile cycles (cf, cl, ef, el, batch_ts), each pair once within the watermark however many cycles see it."""
     return pairs.withColumn("seen_at", F.col("batch_ts").cast("timestamp")).withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["cf", "cl", "ef", "el"])
+
+
+def expired_leases(beats: DataFrame, ttl_seconds: int = 15, late: str = "0 seconds") -> DataFrame:
+    """(id, first_beat, last_beat, n_beats) of leases of a stream of (id, ts) that ran out: no heartbeat came for the time to live.
+
+    A lease is a session window; its state is kept until the watermark passes its end, which is when it is told, once.
+    """
+    b = beats.select("id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late)
+    leases = b.groupBy("id", F.session_window("at", f"{ttl_seconds} seconds").alias("w")).agg(F.min("at").alias("first_beat"), F.max("at").alias("last_beat"), F.count(F.lit(1)).alias("n_beats"))
+    return leases.select("id", "first_beat", "last_beat", "n_beats")
