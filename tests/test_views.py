@@ -197,3 +197,15 @@ def test_days_of_commits(spark):
     rows = [("c1", datetime.datetime(2024, 1, 1, 9), "a"), ("c1", datetime.datetime(2024, 1, 1, 9), "b"), ("c2", datetime.datetime(2024, 1, 1, 23), "a"), ("c3", datetime.datetime(2024, 1, 2, 1), "a")]
     got = {(str(r["day"]), r["n_commits"], r["n_files"]) for r in trace.commit_days(spark.createDataFrame(rows, "commit string, ts timestamp, id string")).collect()}
     assert got == {("2024-01-01", 2, 2), ("2024-01-02", 1, 1)}
+
+
+def test_workspaces_and_their_packages(spark):
+    assert code_tree.yaml_list("packages:\n  - 'a/*'\n  # c\n  - b # d\nother: x\n", "packages") == ["a/*", "b"] and code_tree.yaml_list('packages: ["x/*", y]', "packages") == ["x/*", "y"]
+    kinds = lambda **f: code_tree.workspace({k.replace("__", "-").replace("_", "."): v for k, v in f.items()})
+    assert kinds(pnpm__workspace_yaml="packages:\n- p/*\n", package_json='{"workspaces": ["q/*"]}') == ("pnpm", ["p/*"])
+    assert kinds(package_json='{"workspaces": {"packages": ["q/*"]}}', yarn_lock="") == ("yarn", ["q/*"]) and kinds(package_json='{"workspaces": ["q"]}', turbo_json="{}") == ("turbo", ["q"])
+    assert kinds(lerna_json="{}") == ("lerna", ["packages/*"]) and kinds(rush_json='{"projects": [{"projectFolder": "r/a"},]}') == ("rush", ["r/a"])
+    assert kinds(pyproject_toml="[project]\nname='x'\n[tool.poetry]\n") == ("poetry", []) and kinds() == (None, [])
+    rows = [("package.json", '{"name": "top", "workspaces": ["p/*", "!p/old"]}'), ("p/a/package.json", '{"name": "same",}'), ("p/b/package.json", '{"name": "same"}'), ("p/old/package.json", '{"name": "o"}'), ("x/package.json", '{"name": "out"}'), ("g/go.mod", "module m/g\n"), ("h/setup.py", None)]
+    got = {(r["name"], r["rel_root"], r["kind"], r["language"]) for r in code_tree.packages(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert got == {("top", "", "npm", "js"), ("same", "p/a", "npm", "js"), ("same (p/b)", "p/b", "npm", "js"), ("m/g", "g", "npm", "go"), ("h", "h", "npm", "py")}

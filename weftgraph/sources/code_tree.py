@@ -105,33 +105,71 @@ def edges(files: DataFrame, contents: DataFrame) -> DataFrame:
     return got.where(F.col("t").isNotNull() & (F.col("s") != F.col("t"))).select("s", "t", F.col("kind").alias("k")).distinct()
 
 
+# Manifests with their languages, files of workspace tools and tables of Python's in the order in which they are asked.
+MANIFESTS = {"package.json": "js", "pyproject.toml": "py", "setup.py": "py", "Cargo.toml": "rs", "go.mod": "go", "pom.xml": "java"}
+WORKSPACE_FILES = ("pnpm-workspace.yaml", "lerna.json", "rush.json", "turbo.json", "nx.json", "yarn.lock")
+PYTHON_TOOLS = (("uv", "[tool.uv"), ("poetry", "[tool.poetry"), ("pdm", "[tool.pdm"), ("hatch", "[tool.hatch"), ("setuptools", "[tool.setuptools"), ("pep621", "[project]"))
+
+
+def yaml_list(text: str, key: str) -> list[str]:
+    """The items of a list of plain strings under a key of a YAML text, written as lines or as a flow."""
+    flow = re.search(rf"(?m)^{key}\s*:\s*\[([^\]]*)\]", text)
+    if flow:
+        return [x.strip().strip("'\"") for x in flow[1].split(",") if x.strip()]
+    block = re.search(rf"(?m)^{key}\s*:\s*(?:#.*)?\n((?:[ \t]*(?:-[^\n]*|#[^\n]*)?(?:\n|\Z))*)", text)
+    return [x.strip().strip("'\"") for x in re.findall(r"(?m)^[ \t]*-[ \t]*((?:'[^'\n]*'|\"[^\"\n]*\"|[^#\n])+)", block[1])] if block else []
+
+
+def workspace(root_files: dict[str, str]) -> tuple[str | None, list[str]]:
+    """(kind, globs) that the files at a project's root tell: which tool keeps its packages, and where they are.
+
+    pnpm, then npm or yarn workspaces, lerna, rush; turbo and nx give their name to what the others list. Python projects are named
+    after the first tool whose table their manifest has.
+    """
+    spaces = _json(root_files.get("package.json", "")).get("workspaces")
+    spaces = spaces.get("packages", []) if isinstance(spaces, dict) else spaces
+    kind, globs = None, []
+    if "pnpm-workspace.yaml" in root_files:
+        kind, globs = "pnpm", yaml_list(root_files["pnpm-workspace.yaml"], "packages")
+    elif isinstance(spaces, list):
+        kind, globs = "yarn" if "yarn.lock" in root_files else "npm", spaces
+    elif "lerna.json" in root_files:
+        kind, globs = "lerna", _json(root_files["lerna.json"]).get("packages") or ["packages/*"]
+    elif "rush.json" in root_files:
+        kind, globs = "rush", [p["projectFolder"] for p in _json(root_files["rush.json"]).get("projects", []) if isinstance(p, dict) and "projectFolder" in p]
+    kind = next((k for k in ("turbo", "nx") if f"{k}.json" in root_files), kind)
+    if kind is None:
+        kind = next((k for k, mark in PYTHON_TOOLS if mark in root_files.get("pyproject.toml", "")), None)
+    return kind, [g for g in globs if isinstance(g, str)]
+
+
 def packages(contents: DataFrame) -> DataFrame:
     """(name, rel_root, manifest, kind, language) of the manifests in a tree.
 
-    The kind is that of the root manifest's workspace tool; manifests are few, so they are read on the driver. Of equal
-    names the later root is told by its path.
+    The kind is that of the workspace tool; only the files at the root that tell it, which are of a few fixed names, are read on the
+    driver. Where a workspace lists its packages, script packages outside of its globs are left out. Of equal names the later root
+    is told by its path; a manifest without a name has its directory's.
     """
-    spark = contents.sparkSession
-    wanted = {"package.json": "js", "pyproject.toml": "py", "setup.py": "py", "Cargo.toml": "rs", "go.mod": "go", "pom.xml": "java"}
-    tools = {"pnpm-workspace.yaml": "pnpm", "lerna.json": "lerna", "rush.json": "rush", "turbo.json": "turbo", "nx.json": "nx"}
     name = paths.base_name("id")
-    rows = {r["id"]: r["content"] or "" for r in contents.where(name.isin(*wanted, *tools)).orderBy("id").toLocalIterator()}
-    kind = next((k for f, k in tools.items() if f in rows), None)
-    root = rows.get("package.json")
-    if kind is None and root and "workspaces" in _json(root):
-        kind = "npm"
-    found, seen = [], set()
-    for path, text in rows.items():
-        at, _, manifest = path.rpartition("/")
-        if manifest not in wanted:
-            continue
-        own = _name(manifest, text) or at or "root"
-        if own in seen:
-            own = f"{own} ({at})"
-        seen.add(own)
-        found.append((own, at, manifest, wanted[manifest]))
-    kind = kind or ("multi-package" if len(found) > 1 else "single" if found else "none")
-    return spark.createDataFrame([(n, r, m, kind, lang) for n, r, m, lang in found], "name string, rel_root string, manifest string, kind string, language string")
+    at_root = contents.where(F.col("id").isin(*MANIFESTS, *WORKSPACE_FILES)).select("id", F.coalesce("content", F.lit("")).alias("c"))
+    kind, globs = workspace({r["id"]: r["c"] for r in at_root.groupBy("id").agg(F.max("c").alias("c")).collect()})
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?m)^\s*//.*$", ""), r",(\s*[}\]])", "$1")
+    said = {"pyproject.toml": r"(?m)^\s*name\s*=\s*[\"']([^\"']+)", "setup.py": r"\bname\s*=\s*[\"']([^\"']+)", "Cargo.toml": r"(?m)^\s*name\s*=\s*\"([^\"]+)", "go.mod": r"(?m)^module\s+(\S+)", "pom.xml": r"<artifactId>([^<]+)"}
+    own = F.when(F.col("manifest") == "package.json", F.get_json_object("text", "$.name"))
+    for m, rx in said.items():
+        own = own.when(F.col("manifest") == m, F.regexp_extract("text", rx, 1))
+    rows = contents.where(name.isin(*MANIFESTS)).select("id", name.alias("manifest"), F.regexp_replace("id", r"/?[^/]*$", "").alias("rel_root"), text.alias("text")).dropDuplicates(["id"])
+    keep, drop = [g for g in globs if not g.startswith("!")], [g[1:] for g in globs if g.startswith("!")]
+    member = lambda gs: F.col("rel_root").rlike("|".join("^" + paths.glob_regex(g.removeprefix("./").rstrip("/")) + "$" for g in gs)) if gs else F.lit(False)
+    if keep:
+        rows = rows.where((F.col("manifest") != "package.json") | (F.col("rel_root") == "") | (member(keep) & ~member(drop)))
+    language = F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv])
+    named = rows.select("id", F.coalesce(F.nullif(own, F.lit("")), F.nullif("rel_root", F.lit("")), F.lit("root")).alias("own"), "rel_root", "manifest", language[F.col("manifest")].alias("language"))
+    first = named.groupBy("own").agg(F.min("id").alias("_first"))
+    n = named.agg(F.count(F.lit(1)).alias("_n"))
+    out = named.join(first, "own").join(F.broadcast(n))
+    label = F.lit(kind) if kind else F.when(F.col("_n") > 1, "multi-package").otherwise("single")
+    return out.select(F.when(F.col("id") == F.col("_first"), F.col("own")).otherwise(F.concat("own", F.lit(" ("), "rel_root", F.lit(")"))).alias("name"), "rel_root", "manifest", label.alias("kind"), "language")
 
 
 def _json(text: str) -> dict:
@@ -142,13 +180,6 @@ def _json(text: str) -> dict:
         return {}
 
 
-def _name(manifest: str, text: str) -> str | None:
-    if manifest == "package.json":
-        return _json(text).get("name")
-    rx = {"pyproject.toml": r"(?m)^\s*name\s*=\s*[\"']([^\"']+)", "setup.py": r"\bname\s*=\s*[\"']([^\"']+)", "Cargo.toml": r"(?m)^\s*name\s*=\s*\"([^\"]+)", "go.mod": r"(?m)^module\s+(\S+)", "pom.xml": r"<artifactId>([^<]+)"}[manifest]
-    m = re.search(rx, text)
-    return m[1] if m else None
-
 
 def declared_deps(contents: DataFrame) -> DataFrame:
     """(manifest, dep, range, section) of package.json files."""
