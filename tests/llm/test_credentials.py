@@ -122,3 +122,10 @@ def test_masked_texts_can_be_read_as_before():
     except ImportError:
         return
     assert yaml.safe_load(C.redact("password: Hx9tR2kq81\nkeys:\n  - token: " + B64 + "\n")) == {"password": "xxxxxxxxxx", "keys": [{"token": "x" * len(B64)}]}
+
+
+def test_entropy_of_findings(spark):
+    df = spark.createDataFrame([("a.py", f'token = "{B64}"\npassword = "aaaaaaaaaaa1b"\n')], "id string, content string")
+    got = C.credentials(df).collect()
+    assert [(r["line"], r["entropy"] == round(C.entropy(B64), 6), r["alphabet"]) for r in got] == [(1, True, 62)]
+    assert C.even("Korvel-4821!") and not C.even("aaaaaaaaaaa1b")

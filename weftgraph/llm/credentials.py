@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.batches import map_arrow, spread
 
-#: Shortest token judged by entropy alone, and the share of the greatest entropy for its length that it must have.
-LEAST_TOKEN, SHARE = 20, 0.78
+#: Shortest token judged by entropy alone, and the share of the greatest entropy for its length and alphabet that it must have;
+#: the share for values that a name, a phrase or an option tells, which may be short.
+LEAST_TOKEN, SHARE, TOLD_SHARE = 20, 0.78, 0.6
 
 # Words of names and placeholders, and the public formats of keys.
 _SECRET_WORDS = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passcode", "secret", "token", "credential", "credentials", "cred", "creds", "auth", "authorization", "apikey", "accesskey", "login", "bearer", "jwt"}
@@ -75,6 +76,11 @@ def _alphabet(s: str) -> int:
     return 64
 
 
+def even(s: str, share: float = TOLD_SHARE) -> bool:
+    """Has a value at least this share of the entropy that its length and alphabet allow."""
+    return entropy(s) >= share * math.log2(max(2, min(len(s), _alphabet(s))))
+
+
 def _mixed(kinds: str) -> bool:
     """Do two classes change as often as chance makes them for this mix, less 2.5 deviations."""
     n, d = len(kinds), kinds.count("d")
@@ -107,7 +113,7 @@ def random_looking(s: str) -> bool:
     if turns < (0.35 if len(present) == 3 else 0.3) and not (len(present) == 2 and core.isalnum() and _mixed(letters) and not _wordlike(core)):
         return False
     size = _alphabet(core)
-    return size not in (10, 16) and entropy(core) >= SHARE * math.log2(min(n, size))
+    return size not in (10, 16) and even(core, SHARE)
 
 
 def _name_kind(name: str) -> str:
@@ -163,7 +169,7 @@ def _line(text: str, a: int, b: int, data: bool, found: set) -> None:
         for p in range(m.start(g), m.end(g) + 1):
             names.setdefault(p, kind)
         v = (m[g] or "").rstrip("\r")
-        if kind == "secret" and _usable(v, g == 2 and "login" not in m[1].lower()):
+        if kind == "secret" and _usable(v, g == 2 and "login" not in m[1].lower()) and even(v):
             if not _UUID.match(v) or re.search(r"(?i)key|secret|token|pass", m[1]):
                 add(m.start(g), m.start(g) + len(v), "named")
                 # pieces of one value joined by +
@@ -182,7 +188,7 @@ def _line(text: str, a: int, b: int, data: bool, found: set) -> None:
         elif len(v) >= 16 and any(c.isdigit() for c in v) and not _placeholder(v) and (random_looking(v) or _HEX.match(v) and len(v) >= 32):
             add(m.start(2), m.end(2), "scheme")
     for m in _USER.finditer(line):
-        if _usable(m[2]):
+        if _usable(m[2]) and even(m[2]):
             add(m.start(2), m.end(2), "user")
     for m in _SAID.finditer(line):
         v = m[1].rstrip(".)")
@@ -341,7 +347,9 @@ def _masked(text: str | None) -> tuple[str | None, int]:
 
 
 def credentials(files: DataFrame) -> DataFrame:
-    """(id, line, kind, start, length) of every credential of (id, content), one row each for distinct rows.
+    """(id, line, kind, start, length, entropy, alphabet) of every credential of (id, content), one row each for distinct rows.
+
+    ``entropy`` is that of its characters in bits, ``alphabet`` the size of the smallest usual alphabet that has them all.
 
     Lines count from 1 and end at \\n; a credential over several lines counts at its first. ``start`` counts characters
     of the content from 0. Null and empty contents and null ids give no rows; repeated rows give one. Work is one pass
@@ -350,14 +358,14 @@ def credentials(files: DataFrame) -> DataFrame:
 
     def fn(cols):
         ids, texts = cols
-        rows = [(i, *f) for i, t in zip(ids, texts) for f in find(t)]
+        rows = [(i, *f, round(entropy(v := t[f[1] : f[2]]), 6), _alphabet(v)) for i, t in zip(ids, texts) for f in find(t)]
         if not rows:
             return None
-        i, line, s, e, kind = zip(*rows)
-        return [pa.array(i), pa.array(line, pa.int64()), pa.array(kind), pa.array(s, pa.int32()), pa.array([y - x for x, y in zip(s, e)], pa.int32())]
+        i, line, s, e, kind, bits, size = zip(*rows)
+        return [pa.array(i), pa.array(line, pa.int64()), pa.array(kind), pa.array(s, pa.int32()), pa.array([y - x for x, y in zip(s, e)], pa.int32()), pa.array(bits), pa.array(size, pa.int32())]
 
     have = files.select("id", "content").where(F.col("id").isNotNull() & (F.length("content") > 0))
-    return map_arrow(spread(have), fn, "id string, line long, kind string, start int, length int").distinct()
+    return map_arrow(spread(have), fn, "id string, line long, kind string, start int, length int, entropy double, alphabet int").distinct()
 
 
 def redacted(files: DataFrame) -> DataFrame:
