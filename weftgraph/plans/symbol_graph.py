@@ -8,7 +8,7 @@ from weftgraph.functions import extract, paths
 from weftgraph.operators import audit, graph, resolve, search, symbols
 from weftgraph.plans import code_graph as cg
 from weftgraph.plans import facts
-from weftgraph.session import table
+from weftgraph.session import Cut, table
 
 #: Nodes of one payload of the graph view.
 PAYLOAD_NODES = 40_000
@@ -101,11 +101,9 @@ def x32_python_flow(spark, d):
 @query()
 def r7_argument_reach(spark, d):
     """Where the most common parameter of the smallest function name flows to."""
-    flow = extract.python_flow(table(spark, d, "file_content").select("id", "content")).persist()
+    flow = Cut(spark, "flow")(extract.python_flow(table(spark, d, "file_content").select("id", "content")))
     first = flow.where("fact = 'param'").orderBy("fn", "arg").select("fn", "name").first()
-    out = symbols.argument_reach(flow, first["fn"] if first else "", first["name"] if first else "")
-    flow.unpersist()
-    return out
+    return symbols.argument_reach(flow, first["fn"] if first else "", first["name"] if first else "")
 
 
 @query(rf"""WITH {cg._LF} SELECT id, ext FROM lf WHERE regexp_matches(id, '^ts\-[^/]*/src/(?:.*/)?[^/]*\.ts$')""")
