@@ -37,4 +37,7 @@ SQL: dict[str, str] = {
  c AS (SELECT doc_id, sum(least(400, coalesce(nx - i, 400)))::BIGINT AS shared, count(*) FILTER (WHERE pv IS NULL OR i - pv > 400)::BIGINT AS spans FROM n GROUP BY doc_id)
  SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(c.shared, 0)::BIGINT AS shared_chars, coalesce(c.spans, 0)::BIGINT AS n_spans, round(coalesce(c.shared, 0)::DOUBLE / greatest(1, coalesce(length(d.text), 0)), 6)::DOUBLE AS share
  FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""",
+    # which sources fall short is the same for any tokenizer, so words and signs do
+    "p7_found": r"""WITH d AS (SELECT lower(trim(source)) AS s, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS n FROM documents)
+ SELECT source FROM mix_targets m WHERE coalesce((SELECT sum(n) FROM d WHERE d.s = lower(trim(m.source))), 0) * m.max_repeat < m.weight * (SELECT sum(n) FROM d)""",
 }
