@@ -27,6 +27,14 @@ function run(x: Thing, y) {
     }
 
 
+def test_calls_beside_long_strings(spark):
+    # a repeated group that Java matches by recursion overflows the stack here
+    long = "x\\'" * 40_000
+    rows = [("a.js", f"const s = '{long}'\ngo(`{long}\n{long}`)\nend()\n"), ("b.py", f"s = '{long}'\ngo('{long}')\n"), ("c.ts", "a." * 40_000 + "b()\n")]
+    got = {(r["id"], r["line"], r["name"], len(r["receiver"] or "")) for r in R.call_sites(spark.createDataFrame(rows, C)).collect()}
+    assert got == {("a.js", 2, "go", 0), ("a.js", 4, "end", 0), ("b.py", 2, "go", 0), ("c.ts", 1, "b", 79_999)}
+
+
 def test_bases(spark):
     rows = [("a.java", "public class A<T> extends B<T> implements C, D {\n}\ninterface E extends F {}\n"), ("b.py", "class G(H, i.J, metaclass=K):\n  pass\nclass L: pass\n"), ("c.cs", "class M : N, IO {}\n"), ("d.ts", "export class P extends Q {}\n")]
     got = {(r["class"], r["base"], r["kind"]) for r in R.inheritance(spark.createDataFrame(rows, C)).collect()}

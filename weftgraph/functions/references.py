@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from weftgraph.functions.extract import with_family
 
 #: Strings, templates and comments, which hold no references; what is left of them keeps its line ends.
-_QUIET = r"""(?s)/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
-_QUIET_PY = r"""(?s)#[^\n]*|[rRbBuUfF]{0,2}\"\"\".*?\"\"\"|[rRbBuUfF]{0,2}\'\'\'.*?\'\'\'|[rRbBuUfF]{0,2}"(?:[^"\\\n]|\\.)*"|[rRbBuUfF]{0,2}'(?:[^'\\\n]|\\.)*'"""
+#: Repeats are possessive: Java matches a greedy repeated group by recursion, which overflows the stack on a string of some thousand characters.
+_QUIET = r"""(?s)/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
+_QUIET_PY = r"""(?s)#[^\n]*|[rRbBuUfF]{0,2}\"\"\".*?\"\"\"|[rRbBuUfF]{0,2}\'\'\'.*?\'\'\'|[rRbBuUfF]{0,2}"(?:[^"\\\n]++|\\.)*+"|[rRbBuUfF]{0,2}'(?:[^'\\\n]++|\\.)*+'"""
 # Words that stand before a bracket and call nothing.
 NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "with", "super", "and", "or", "not", "in", "def", "class", "elif", "assert", "yield", "del", "func", "range", "make", "sizeof", "do", "else", "new", "throw", "lambda", "import", "from", "is", "print", "constructor", "synchronized")
 #: Languages whose calls without a receiver may mean a method of the enclosing class.
 IMPLICIT_THIS = ("java", "cs", "kt", "swift", "scala", "cpp", "c")
-_CALL = r"(new\s+)?((?:[A-Za-z_$][\w$]*\s*(?:\?\.|\.)\s*)*)([A-Za-z_$][\w$]*)\s*\("
+_CALL = r"(new\s+)?((?:[A-Za-z_$][\w$]*+\s*+(?:\?\.|\.)\s*+)*+)([A-Za-z_$][\w$]*+)\s*+\("
 
 
 def code_lines(contents: DataFrame) -> DataFrame:
