@@ -27,6 +27,13 @@ function run(x: Thing, y) {
     }
 
 
+def test_bases_beside_long_strings(spark):
+    long = "x\\'" * 40_000
+    rows = [("a.ts", f"const s = '{long}'\nclass A extends B {{}}\n"), ("b.py", f"class C(D):\n    s = '{long}'\n")]
+    got = {(r["id"], r["class"], r["base"], r["kind"]) for r in R.inheritance(spark.createDataFrame(rows, C)).collect()}
+    assert got == {("a.ts", "A", "B", "extends"), ("b.py", "C", "D", "extends")}
+
+
 def test_calls_beside_long_strings(spark):
     # a repeated group that Java matches by recursion overflows the stack here
     long = "x\\'" * 40_000
