@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -26,6 +27,28 @@ def test_bfs_cycle_self_missing_and_empty(spark):
     assert graph.bfs(nodes(spark, []), e, 3).count() == 0
 
 
+@pytest.mark.parametrize("hub_rows", [0, 30])
+def test_bfs_packed_is_bfs(spark, hub_rows):
+    # two hubs, chains between their users, and seeds for two words of 64
+    star = [(f"n{i:03}", "hub" if i % 2 else "hob") for i in range(150)] + [(f"n{i:03}", f"n{i * 7 % 150:03}") for i in range(1, 150, 3)] + [("hub", "far"), ("far", "end")]
+    e = edges(spark, *star)
+    seeds = nodes(spark, [f"n{i:03}" for i in range(100)] + ["hub", "alone", "n001"])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for depth, direction in ((2, "both"), (9, "deps")):
+        assert rows(graph.bfs_packed(seeds, e, depth, direction, hub_rows)) == rows(graph.bfs(seeds, e, depth, direction))
+    assert graph.bfs_packed(nodes(spark, []), e, 2).count() == 0
+
+
+def test_bfs_packed_shuffles_no_row_a_pair(spark):
+    # 2,000 users of a hub, all of them seeds: four million rows, which bfs shuffles one by one
+    e = spark.range(2_000).select(F.concat(F.lit("n"), "id").alias("s"), F.lit("hub").alias("t"), F.lit("import").alias("k"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert graph.bfs_packed(e.select(F.col("s").alias("id")), e, 2, "both", 1 << 10).agg(F.count("seed")).first()[0] == 2_000 * 2_001
+    time.sleep(2)  # the store follows the tasks
+    assert 0 < written() - before < 2 << 20
+
+
 def test_components_closure_reachable(spark):
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)]
     e = edges(spark, *chain, ("x", "y"))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
-from weftgraph.session import Cut
+from weftgraph.session import Cut, small
 
 #: Hops after which what a walk has met is written as one table again.
 SEEN_EVERY = 8
+#: A node whose hop makes more rows than this is a hub of ``bfs_packed``; a task of its last hop has so many rows about.
+HUB_ROWS, TASK_ROWS = 1 << 16, 1 << 19
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -86,6 +88,46 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int | None, direction: str =
     return seen
 
 
+def bfs_packed(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "users", hub_rows: int = HUB_ROWS) -> DataFrame:
+    """The rows of ``bfs`` where many seeds meet at hubs, so that the result is far larger than the edges.
+
+    Seeds are numbered, and 64 of them are one row of an id: (id, word of seeds, mask). A hop joins such rows with the edges and
+    combines masks by ``bit_or``. Links of hubs, which make nearly all rows, are spread by their far end and meet the hubs' masks
+    there by a broadcast, so their rows are combined where they are made, in no shuffle; the rest is combined before a shuffle.
+    The last hop is not written, and masks become rows of (seed, id) as they are read.
+    """
+    cut = Cut(seeds.sparkSession, "bfs")
+    hops = cut(directed(edges, direction))
+    number = cut(seeds.select(F.col("id").alias("seed")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    number = number.select("seed", F.expr("n >> 6").alias("word"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bit"))
+    frontier = number.select(F.col("seed").alias("id"), "word", F.col("bit").alias("mask"))
+    seen, none = frontier.withColumn("depth", F.lit(0).cast("long")), lambda kind: F.lit(None).cast(kind)
+    for level in range(1, depth + 1):
+        at = frontier.withColumnRenamed("id", "at")
+        # what a hop from each node makes: its links times its words of seeds
+        rows = at.groupBy("at").agg(F.count(F.lit(1)).alias("_w")).join(hops, "at").groupBy("at").agg(F.sum("_w").alias("_rows"))
+        hubs = cut(rows.where(F.col("_rows") > hub_rows), n=F.sum("_rows"))
+        masks = cut(at.join(hubs.select("at"), "at", "left_semi").withColumnsRenamed({"word": "_word", "mask": "_mask"}))
+        few = small(hubs.select("at"))
+        far = hops.join(few, "at", "left_semi").select(F.col("next").alias("id"), "at", none("long").alias("word"), none("long").alias("new"), none("long").alias("old"))
+        near = (
+            at.join(few, "at", "left_anti").join(hops, "at").groupBy(F.col("next").alias("id"), "word").agg(F.bit_or("mask").alias("new"))
+            .select("id", none("string").alias("at"), "word", "new", none("long").alias("old"))
+        )
+        met = seen.select("id", none("string").alias("at"), "word", none("long").alias("new"), F.col("mask").alias("old"))
+        tasks = max(int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")), (hubs._weft_seen["n"] or 0) // TASK_ROWS)
+        all_ = far.unionByName(near).unionByName(met).repartition(tasks, "id").join(small(masks), "at", "left")
+        both = all_.select("id", F.coalesce("word", "_word").alias("word"), F.coalesce("new", "_mask", F.lit(0)).alias("new"), F.coalesce("old", F.lit(0)).alias("old"))
+        new = both.groupBy("id", "word").agg(F.bit_or("new").alias("_n"), F.bit_or("old").alias("_o")).select("id", "word", F.expr("_n & ~_o").alias("mask")).where("mask <> 0")
+        if level < depth:
+            new = cut(new, n=F.count(F.lit(1)))
+            if not new._weft_seen["n"]:
+                break
+        frontier = new
+        seen = seen.unionByName(new.withColumn("depth", F.lit(level).cast("long")))
+    return seen.join(small(number), "word").where(F.col("mask").bitwiseAND(F.col("bit")) != 0).select("seed", "id", "depth")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node is connected with, whatever the direction.
 

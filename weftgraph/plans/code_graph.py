@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
 from weftgraph.operators import audit, graph, modules, resolve
-from weftgraph.session import table
+from weftgraph.session import Cut, table
 from weftgraph.sources.code_tree import ENV_NAME
 
 QUERIES: dict = {}
@@ -261,8 +261,8 @@ def r8_bundle(spark, d):
 
 @query(f"{_G}, {_walk_sql('both', 2, _SEEDS)} SELECT seed, id, depth FROM hop")
 def r9_focus_distances(spark, d):
-    e = _edges(spark, d)
-    return graph.bfs(_seeds(spark, d, e), e, 2, "both")
+    e = Cut(spark, "focus")(_edges(spark, d))
+    return graph.bfs_packed(_seeds(spark, d, e), e, 2, "both")
 
 
 @query(f"""{_G}, lab(id, c) AS (SELECT id, id FROM lf UNION SELECT e.s, l.c FROM lab l JOIN ke e ON e.t = l.id WHERE l.c < e.s AND e.k = 'reexport' UNION SELECT e.t, l.c FROM lab l JOIN ke e ON e.s = l.id WHERE l.c < e.t AND e.k = 'reexport')
