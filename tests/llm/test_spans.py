@@ -4,6 +4,7 @@ import numpy as np
 
 from weftgraph.llm import spans
 from weftgraph.llm.winnow import Rolling, codes, minima
+from weftgraph.session import Cut
 
 DOC = "doc_id long, text string, key string, pos int"
 
@@ -90,3 +91,35 @@ def test_unitigs_merge_what_is_shared_alike(spark):
     df = spark.createDataFrame([(1, t), (2, t), (3, t[500:1500])], "doc_id long, text string")
     got = [(r["span_chars"], r["n_docs"]) for r in spans.unitigs(df).collect()]
     assert any(n == 3 and s > 600 for s, n in got) and any(n == 2 and s > 1000 for s, n in got)
+
+
+def test_tables_written_do_not_grow_with_a_path(spark):
+    written = []
+    for n in (600, 40_000):
+        t = text(random.Random(7), n)
+        cut = Cut(spark, "runs")
+        edges = cut(spans.token_edges(spark.createDataFrame([(1, t), (2, "x" + t), (3, t[:300])], "doc_id long, text string")))
+        runs = spans._runs(cut, edges).orderBy("doc_id").collect()
+        assert [r["doc_id"] for r in runs] == [1, 2] and runs[0]["unitig"] == runs[1]["unitig"] and runs[0]["end_"] - runs[0]["from_"] > n - 400
+        written.append(cut.n)
+    assert written == [2, 2]
+
+
+def test_paths_end_where_texts_differ(spark):
+    rng = random.Random(8)
+    a, b = text(rng, 700), text(rng, 700)
+    rows = [(1, a + "x" + b), (2, a + "y" + b), (3, "z" + a[:450]), (3, b[-420:] + "z"), (3, b[-420:] + "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, cover = brute(rows[:3], 400)
+    got = {r["doc_id"]: (r["shared_chars"], r["n_spans"]) for r in spans.shared_coverage(df.where("doc_id < 3")).collect()}
+    assert got == {1: (1400, 2), 2: (1400, 2)} and found == {1, 2, 3}
+    assert {r[0] for r in spans.shared_documents(df).collect()} == {1, 2, 3}
+
+
+def test_edges_and_links_do_not_depend_on_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, text(rng, n)) for i, n in enumerate((9000, 500, 12_345, 450))], "doc_id long, text string")
+    pick = lambda: sorted(map(tuple, spans.token_edges(df).select("doc_id", "pos", "len", "key", "fwd", "bwd").collect()))
+    whole = pick()
+    monkeypatch.setattr(spans, "PIECE", 2000)
+    assert pick() == whole and [r[4] for r in whole if r[4]] == [r[5] for r in whole if r[5]]

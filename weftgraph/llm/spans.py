@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.batches import map_arrow, spread
-from weftgraph.llm.winnow import Rolling, codes, minima
+from weftgraph.llm.winnow import Rolling, codes, minima_of_all, pair
 from weftgraph.session import Cut, small
 
 MIN_LEN, Q, W = 400, 24, 112
 #: Characters handled at a time; longer texts go in overlapping pieces of this size.
 PIECE = 1 << 20
+#: Characters of shorter texts handled together, so that the arrays beside them stay in a core's cache.
+GROUP = 1 << 16
 
 
 def _pieces(texts: list[str], margin_left: int, margin_right: int):
@@ -35,7 +37,7 @@ def _pieces(texts: list[str], margin_left: int, margin_right: int):
 def _groups(pieces):
     got, size = [], 0
     for p in pieces:
-        if got and size + len(p[4]) > PIECE:
+        if got and size + len(p[4]) > min(PIECE, GROUP):
             yield got
             got, size = [], 0
         got.append(p)
@@ -45,45 +47,53 @@ def _groups(pieces):
 
 
 def token_edges(docs: DataFrame, min_len: int = MIN_LEN, q: int = Q, w: int = W) -> DataFrame:
-    """(doc_id, pos, len, key) of (doc_id, text): the edges of each text of at least ``min_len`` characters.
+    """(doc_id, pos, len, key, row, fwd, bwd) of (doc_id, text): the edges of each text of at least ``min_len`` characters.
 
-    ``key`` identifies the characters of a run of tokens of ``min_len - 3 * w + 3`` characters or more.
+    ``key`` identifies the characters of a run of tokens of ``min_len - 3 * w + 3`` characters or more, ``row`` the text.
+    ``fwd`` identifies the edge, the next one of the text and the distance between them, ``bwd`` the same of the edge before; 0 if there is none.
     """
     least = min_len - 3 * w + 3
     if least < q:
         raise ValueError("w is too large for min_len")
 
     def fn(cols):
-        ids, texts = cols
+        ids, texts, numbers = cols
         out = []
-        for group in _groups(_pieces(texts, w, 2 * min_len + 2 * w + q)):
+        for group in _groups(_pieces(texts, 2 * w, 2 * min_len + 2 * w + q)):
             cp, at = codes([p[4] for p in group])
             if len(cp) < q:
                 continue
             roll = Rolling(cp)
-            grams = roll.grams(q)
-            for n, (row, off, first, last, t) in enumerate(group):
-                b, e = int(at[n]), int(at[n + 1])
-                m = minima(grams, b, e, q, w)
-                if not len(m):
-                    continue
-                j = np.searchsorted(m, m + (least - q))
-                use = (j < len(m)) & (m >= b + first) & (m < b + last)
-                s, end = m[use], m[j[use]] + q
-                out.append((np.full(len(s), row), s - b + off, end - s, roll.spans(s, end).view(np.int64)))
+            m = minima_of_all(roll.grams(q), at, q, w)
+            j = np.searchsorted(m, m + (least - q))
+            text = np.searchsorted(at, m, "right") - 1
+            use = j < len(m)
+            use[use] = text[j[use]] == text[use]
+            if not use.any():
+                continue
+            s, end, text = m[use], m[j[use]] + q, text[use]
+            key, link = roll.spans(s, end), np.zeros(len(s) + 1, np.uint64)
+            follows = text[1:] == text[:-1]
+            link[1:-1][follows] = pair(key[:-1], key[1:], s[1:] - s[:-1])[follows]
+            row, off, first, last = (np.array(x, np.int64) for x in list(zip(*group))[:4])
+            own = (s >= (at[:-1] + first)[text]) & (s < (at[:-1] + last)[text])
+            got = row[text], s + (off - at[:-1])[text], end - s, key.view(np.int64), link[1:].view(np.int64), link[:-1].view(np.int64)
+            out.append([x[own] for x in got])
         if not out:
             return None
-        row, pos, ln, key = (np.concatenate(x) for x in zip(*out))
+        row, pos, ln, key, fwd, bwd = (np.concatenate(x) for x in zip(*out))
         import pyarrow as pa
 
-        return [pa.array(ids).cast(id_type).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(ln.astype(np.int32)), pa.array(key)]
+        row = pa.array(row)
+        return [pa.array(ids).cast(id_type).take(row), pa.array(pos.astype(np.int32)), pa.array(ln.astype(np.int32)), pa.array(key), pa.array(numbers, pa.int64()).take(row), pa.array(fwd), pa.array(bwd)]
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     kind = docs.schema["doc_id"].dataType.simpleString()
     long_enough = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= min_len))
-    return map_arrow(spread(long_enough), fn, f"doc_id {kind}, pos int, len int, key long")
+    numbered = spread(long_enough).select("doc_id", "text", F.monotonically_increasing_id())
+    return map_arrow(numbered, fn, f"doc_id {kind}, pos int, len int, key long, row long, fwd long, bwd long")
 
 
 def _repeated(df: DataFrame, key: str) -> DataFrame:
@@ -93,41 +103,23 @@ def _repeated(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def compact(cut: Cut, occurrences: DataFrame) -> DataFrame:
-    """(key, unitig, at): edges of (doc_id, pos, key) merged along nonbranching paths.
+def compact(edges: DataFrame) -> DataFrame:
+    """(doc_id, row, pos, len, unitig, from_): the edges that two documents share, merged along nonbranching paths; ``from_`` is where the path stands.
 
     e and f merge if every occurrence of e is followed by f and every occurrence of f is preceded by e, each time at
-    the same distance. Links of e to f then form paths (and rings), which pointer doubling labels by their first edge
-    in a logarithmic number of joins; ``at`` is the distance in characters from that edge. A ring, which a text that repeats one
-    period makes, keeps its edges as unitigs of their own: a walk of length d passes walks of every smaller length, so
-    the first round in which the number of open walks stays as it is proves that all of these go round rings.
+    the same distance. An occurrence of one edge of a path is then an occurrence of the whole path, so any text that holds
+    it shows the path in full: it is labelled by its first edge, and no walk over the graph is needed, however long the
+    path. What stands before and behind an edge that two documents share, and merges with it, is shared by these too. There are
+    no rings: the last occurrence of an edge of a ring in a text would have no next one.
     """
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    near = occurrences.select(
-        "doc_id", "pos", "key", F.lead("key").over(by_doc).alias("next"), F.lag("key").over(by_doc).alias("prev"),
-        (F.lead("pos").over(by_doc) - F.col("pos")).alias("step"),
-    )
-    one = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
-    nodes = cut(near.groupBy("key").agg(
-        F.when(one("next") & one("step"), F.min("next")).alias("next"), F.when(one("prev"), F.min("prev")).alias("prev"), F.min("step").alias("step"),
-    ))
-    back = nodes.where(F.col("prev").isNotNull()).select(F.col("key").alias("next"), F.col("prev").alias("key"))
-    links = nodes.where(F.col("next").isNotNull()).select("key", "next", "step").join(back, ["key", "next"]).where(F.col("key") != F.col("next"))
-    up = cut(links.select(F.col("next").alias("key"), F.col("key").alias("to"), F.col("step").cast("long").alias("at"), F.lit(True).alias("open")))
-    before = -1
-    while True:
-        ahead = up.select(F.col("key").alias("to"), F.col("to").alias("to2"), F.col("at").alias("at2"))
-        new = up.where("open").join(ahead, "to", "left").select(
-            "key", F.coalesce("to2", "to").alias("to"), (F.col("at") + F.coalesce("at2", F.lit(0))).alias("at"), F.col("to2").isNotNull().alias("open"),
-        )
-        old, up = up, cut(up.where("not open").unionByName(new), left=F.coalesce(F.sum(F.col("open").cast("long")), F.lit(0)))
-        Cut.drop(old)
-        left = up._weft_seen["left"]
-        if not left or left == before:
-            break
-        before = left
-    led = up.where("not open").select("key", "to", "at")
-    return nodes.select("key").join(led, "key", "left").select("key", F.coalesce("to", "key").alias("unitig"), F.coalesce("at", F.lit(0)).cast("long").alias("at"))
+    one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
+    nodes = edges.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"), one("fwd").alias("_on"), one("bwd").alias("_back"))
+    nodes = nodes.where(F.col("_a") != F.col("_b")).select("key", "_on", "_back")
+    by_text = Window.partitionBy("row").orderBy("pos")
+    led = edges.select("doc_id", "row", "pos", "len", "key").join(nodes, "key")
+    led = led.withColumn("_head", ~(F.col("_back") & F.coalesce(F.lag("_on").over(by_text), F.lit(False))))
+    head = lambda c: F.last(F.when(F.col("_head"), F.col(c)), ignorenulls=True).over(by_text.rowsBetween(Window.unboundedPreceding, 0))
+    return led.select("doc_id", "row", "pos", "len", head("key").alias("unitig"), head("pos").alias("from_"))
 
 
 def _runs(cut: Cut, edges: DataFrame) -> DataFrame:
@@ -136,14 +128,8 @@ def _runs(cut: Cut, edges: DataFrame) -> DataFrame:
     Every occurrence of one edge of a path is an occurrence of the whole path, so all runs of a unitig have the same
     length, and stand in two documents at least.
     """
-    shared = cut(edges.join(_repeated(edges, "key"), "key", "left_semi"))
-    paths = compact(cut, shared.select("doc_id", "pos", "key"))
-    return cut(
-        shared.join(paths, "key")
-        .groupBy("doc_id", "unitig", (F.col("pos") - F.col("at")).alias("_start"))
-        .agg(F.min("pos").alias("from_"), F.max("pos").alias("to_"), F.max(F.col("pos") + F.col("len")).alias("end_"))
-        .drop("_start")
-    )
+    paths = compact(edges).groupBy("row", "doc_id", "unitig", "from_").agg(F.max("pos").alias("to_"), F.max(F.col("pos") + F.col("len")).alias("end_"))
+    return cut(paths.drop("row"))
 
 
 def _slices(cut: Cut, docs: DataFrame, claims: DataFrame, min_len: int) -> DataFrame:

@@ -19,6 +19,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def pair(a: np.ndarray, b: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Identifies two hashes, in their order, and the distance between them."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a + _U(_P1)) + b * _U(_P2 | 1) + step.astype(_U))
+
+
+#: Powers of a base and of its inverse, as far as texts needed them; those of long texts are not kept.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEPT = 1 << 17
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers from 0 to ``n`` at least, modulo 2**64."""
+    got = _POWERS.get(base)
+    if got is None or len(got[0]) <= n:
+        size = max(n + 1, min(2 * n, _KEPT))
+        got = np.full(size, base, _U), np.full(size, pow(base, -1, 1 << 64), _U)
+        with np.errstate(over="ignore"):
+            for x in got:
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+        if size <= _KEPT:
+            _POWERS[base] = got
+    return got
+
+
 class Rolling:
     """Polynomial hashes of any span of an array of code points, from prefix sums modulo 2**64.
 
@@ -27,14 +53,8 @@ class Rolling:
 
     def __init__(self, codes: np.ndarray, base: int = _P1):
         n = len(codes)
-        inv = pow(base, -1, 1 << 64)
+        up, self.down = _powers(base, n)
         with np.errstate(over="ignore"):
-            up = np.full(n + 1, base, _U)
-            up[0] = 1
-            np.multiply.accumulate(up, out=up)
-            self.down = np.full(n + 1, inv, _U)
-            self.down[0] = 1
-            np.multiply.accumulate(self.down, out=self.down)
             self.sums = np.zeros(n + 1, _U)
             np.cumsum(mix(codes.astype(_U) + _U(base)) * up[:n], out=self.sums[1:])
 
@@ -65,15 +85,21 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(grams: np.ndarray, begin: int, end: int, q: int, w: int) -> np.ndarray:
-    """Positions in the text [begin, end) that hold the least q-gram hash of some window of ``w`` q-grams.
+    """``minima_of_all`` of the one text [begin, end)."""
+    return minima_of_all(grams[begin : end - q + 1], np.array([0, end - begin]), q, w) + begin
+
+
+def minima_of_all(grams: np.ndarray, at: np.ndarray, q: int, w: int) -> np.ndarray:
+    """Positions in the texts [at[n], at[n + 1]) that hold the least q-gram hash of some window of ``w`` q-grams of their text.
 
     Which positions these are depends on nothing further than ``w`` q-grams away; equal least values all count. So
     two texts with a stretch in common choose the same positions inside it, away from its ends.
     """
-    own = grams[begin : end - q + 1]
-    if len(own) < w:
+    if len(grams) < w:
         return np.empty(0, np.int64)
-    low = _slide(own, w, np.minimum)
-    pad = np.zeros(w - 1, low.dtype)
-    top = _slide(np.concatenate([pad, low, pad]), w, np.maximum)
-    return np.flatnonzero(own == top) + begin
+    pad = np.zeros(w - 1, grams.dtype)
+    low = np.concatenate([pad, _slide(grams, w, np.minimum), pad])
+    # windows that run over the end of a text
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        low[w - 1 + max(begin, end - w - q + 2) : w - 1 + end] = 0
+    return np.flatnonzero(grams == _slide(low, w, np.maximum))
